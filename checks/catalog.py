@@ -1,4 +1,4 @@
 """All check queries."""
 
-from . import features  # noqa: F401
+from . import behaviour, features, models, policy_checks  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

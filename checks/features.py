@@ -180,10 +180,10 @@ def user_time_delta(spark, sf_dir):
 
 @check("window_gap_stats", with_(LOG, sql.windows(), (
     "g AS (SELECT window_no, (t - lag(t) OVER (PARTITION BY user_id ORDER BY ts, request_id)) / 1e6::DOUBLE AS gap FROM wr)"),
-    select=f"SELECT window_no, {r('round(avg(gap), 4)')} AS avg_time_delta, {r('min(gap)')} AS min_time_delta FROM g GROUP BY 1"))
+    select=f"SELECT window_no, {r('round(avg(gap), 2)')} AS avg_time_delta, {r('min(gap)')} AS min_time_delta FROM g GROUP BY 1"))
 def window_gap_stats(spark, sf_dir):
     return out(behavior.window_gap_stats(log(spark, sf_dir), HOUR), "window_no",
-               F.round("avg_time_delta", 4).alias("avg_time_delta"), "min_time_delta")
+               F.round("avg_time_delta", 2).alias("avg_time_delta"), "min_time_delta")
 
 
 def rolled(*cols: str, whole: tuple = ()) -> str:

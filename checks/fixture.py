@@ -74,5 +74,5 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("is_attack").alias("actual_label"), (~F.col("allow")).cast("int").alias("predicted_label"),
         F.struct(
             F.least(F.lit(100.0), F.col("request_count") * CPU_PER_REQUEST).alias("cpu_usage"),
-            (F.col("avg_response_time") * LATENCY_SCALE).alias("avg_response_time"),
+            (F.round("avg_response_time", 6) * LATENCY_SCALE).alias("avg_response_time"),
             F.col("error_rate").alias("error_rate")).alias("system_metrics"))

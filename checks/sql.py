@@ -166,7 +166,7 @@ fb AS (
               WHEN is_attack = 1 THEN 'false_negative' ELSE 'true_negative' END AS type,
          is_attack AS actual_label, CAST(NOT allow AS INT) AS predicted_label,
          least(100.0::DOUBLE, request_count * {d(CPU_PER_REQUEST)}) AS cpu_usage,
-         avg_response_time * {d(LATENCY_SCALE)} AS rt, error_rate
+         round(avg_response_time, 6) * {d(LATENCY_SCALE)} AS rt, error_rate
   FROM dec),
 rw AS (
   SELECT *, 0.7::DOUBLE * CASE type WHEN 'true_positive' THEN 1.0 WHEN 'true_negative' THEN 0.5

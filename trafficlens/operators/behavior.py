@@ -67,7 +67,8 @@ def _sequence_match(w, pattern: SequencePattern) -> Column:
         if need == 1:
             hit = hit & F.array_contains(run, endpoint)
         else:
-            hit = hit & (F.size(F.filter(run, lambda e, v=endpoint: e == v)) >= need)
+            hits = sum((F.when(F.lag("endpoint", i).over(w) == endpoint, 1).otherwise(0) for i in range(size)), F.lit(0))
+            hit = hit & (hits >= need)
     start = F.lag("_t", size - 1).over(w)
     hit = hit & (F.col("_t") - start <= pattern.max_time_ms * 1000)
     return F.when(hit, F.struct(start.alias("t"), (F.row_number().over(w) - size + 1).alias("row")))
