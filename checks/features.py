@@ -8,7 +8,7 @@ from trafficlens.functions.columns import temporal
 from trafficlens.operators import behavior, rolling, scaling, windows as win
 from trafficlens.plans.feature_table import feature_table
 from trafficlens.config import WindowConfig
-from trafficlens.session import shared_dir
+from trafficlens.session import materialize, shared_dir
 from trafficlens.sources import request_log, tables
 
 from . import sql
@@ -281,8 +281,8 @@ def feature_matrix(spark, sf_dir):
     r(f"(coalesce({n}, 0) - avg(coalesce({n}, 0)) OVER ()) / CASE WHEN stddev_pop(coalesce({n}, 0)) OVER () = 0 "
       f"THEN 1 ELSE stddev_pop(coalesce({n}, 0)) OVER () END") + f" AS {n}" for n in NAMES) + " FROM rf"))
 def scaled_features(spark, sf_dir):
-    """Scaler fitted, saved, loaded again and applied."""
-    table = feature_table(log(spark, sf_dir), HOURLY)
+    """Scaler fitted on the written feature table, saved, loaded and applied."""
+    table = materialize(feature_table(log(spark, sf_dir), HOURLY), "features")
     path = shared_dir(spark, "scaler")
     scaling.fit_scaler(table, scaling.present_features(table)).save(spark, path)
     model = scaling.ScalerModel.load(spark, path)

@@ -10,7 +10,7 @@ from trafficlens.operators import evaluate as ev, explain as ex, forecast as fc,
 from trafficlens.plans import comparison, training
 from trafficlens.plans.decisions import heaviest_user, simple_features
 from trafficlens.plans.feature_table import feature_table
-from trafficlens.session import prepare, shared_dir
+from trafficlens.session import materialize, prepare, shared_dir
 from trafficlens.sources import tables
 
 from . import sql
@@ -172,8 +172,13 @@ def method_improvement(spark, sf_dir):
 SMALL = ForestConfig(n_estimators=50)
 
 
+def features(spark, sf_dir):
+    """The feature table, written once; models are fitted on the written copy."""
+    return materialize(feature_table(log(spark, sf_dir), HOURLY), "features")
+
+
 def vectors(spark, sf_dir):
-    table = feature_table(log(spark, sf_dir), HOURLY)
+    table = features(spark, sf_dir)
     names = scaling.present_features(table, optional=False)
     model = scaling.fit_scaler(table, names)
     return table.withColumn("features", model.vector()), names
@@ -219,7 +224,7 @@ def anomaly_verdict(spark, sf_dir):
 
 @check("iforest_normal_only")
 def iforest_normal_only(spark, sf_dir):
-    table = feature_table(log(spark, sf_dir), HOURLY)
+    table = features(spark, sf_dir)
     names = scaling.present_features(table, optional=False)
     scaler, model = training.fit_forest(table, names, ForestConfig(n_estimators=50, contamination=0.15), normal_only=True)
     return out(model.transform(table.withColumn("features", scaler.vector())), "window_start", "is_attack", "is_anomaly", "anomaly_score")
@@ -273,7 +278,7 @@ def top_factors(spark, sf_dir):
 
 @check("method_comparison_forest")
 def method_comparison_forest(spark, sf_dir):
-    table = feature_table(log(spark, sf_dir), HOURLY)
+    table = features(spark, sf_dir)
     shares = heaviest_user(log(spark, sf_dir), HOUR)
     rows = table.join(shares, win.KEY, "left").withColumn(
         "user_ratio", F.coalesce(F.col("user_requests") / F.col("total_requests"), F.lit(1.0)))

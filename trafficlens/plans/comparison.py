@@ -8,6 +8,7 @@ from ..config import ForestConfig
 from ..operators import evaluate
 from ..operators.rolling import chronological_split, smoothed_signal
 from ..operators.windows import KEY
+from ..session import materialize
 from .training import fit_forest
 
 FIXED, SIMPLE_ANOMALY, HYBRID = "fixed", "anomaly", "hybrid"
@@ -46,19 +47,19 @@ def heuristic_comparison(table: DataFrame, anomaly: Column) -> DataFrame:
     ``table`` needs ``request_count, is_attack, user_ratio`` and whatever
     ``anomaly`` reads.
     """
-    prepared = with_signals(table, anomaly)
+    prepared = materialize(with_signals(table, anomaly), "comparison")
     parts = [fixed_predictions(prepared), anomaly_predictions(prepared), hybrid_predictions(prepared)]
     merged = parts[0].select(*COLUMNS)
     for part in parts[1:]:
         merged = merged.unionByName(part.select(*COLUMNS))
-    return evaluate.compare_methods(merged)
+    return evaluate.compare_methods(materialize(merged, "predictions"))
 
 
 def forest_comparison(table: DataFrame, names: list[str],
                       simple: ForestConfig = ForestConfig(n_estimators=50, contamination=0.15),
                       hybrid: ForestConfig = ForestConfig()) -> DataFrame:
     """All three methods with forests fitted on the normal training windows."""
-    prepared = chronological_split(smoothed_signal(table))
+    prepared = materialize(chronological_split(smoothed_signal(table)), "comparison")
     train = _part(prepared, "train")
     predictions = [fixed_predictions(prepared).select(*COLUMNS)]
     scaler, forest = fit_forest(table, names, simple, normal_only=True, train=train)
@@ -72,4 +73,4 @@ def forest_comparison(table: DataFrame, names: list[str],
     merged = predictions[0]
     for part in predictions[1:]:
         merged = merged.unionByName(part)
-    return evaluate.compare_methods(merged)
+    return evaluate.compare_methods(materialize(merged, "predictions"))

@@ -11,6 +11,7 @@ from ..operators import iforest
 from ..operators.forecast import LagRegression, chronological, lag_sequences
 from ..operators.scaling import ScalerModel, fit_scaler, present_features
 from ..operators.windows import KEY
+from ..session import materialize
 from .feature_table import feature_table
 
 
@@ -40,7 +41,7 @@ def fit_forest(table: DataFrame, names: list[str], cfg: ForestConfig, *, normal_
 
 def train(log: DataFrame, cfg: EngineConfig = EngineConfig(), *, optional: bool = True) -> TrainedModels:
     """Fit all models on a request log."""
-    table = feature_table(log, cfg.windows)
+    table = materialize(feature_table(log, cfg.windows), "training")
     scaler, forest = fit_forest(table, present_features(table, optional), cfg.forest)
     length = cfg.forecast.sequence_length
     sequences = chronological(lag_sequences(table, length), cfg.forecast.validation_split)
