@@ -47,11 +47,12 @@ WIDE, STEP = 6 * HOUR * 1_000_000, HOUR * 1_000_000
     "sa AS (SELECT s, count(*) AS n, count(DISTINCT user_id) AS u, count(DISTINCT ip) AS i, count(*) FILTER (status_code >= 400) AS e, "
     "avg(response_time) AS a FROM sl GROUP BY 1)"), select=(
     f"SELECT make_timestamp(s) AS window_start, make_timestamp(s + {WIDE}) AS window_end, n AS request_count, u AS unique_users, i AS unique_ips, "
-    f"{r('e::DOUBLE / n')} AS error_rate, {r('a')} AS avg_response_time, {r('n::DOUBLE / i')} AS ip_concentration FROM sa WHERE s + {WIDE} <= {CLOSED}")))
+    f"{r('e::DOUBLE / n')} AS error_rate, {r('round(a * n, 3)')} AS total_response_time, {r('n::DOUBLE / i')} AS ip_concentration FROM sa WHERE s + {WIDE} <= {CLOSED}")))
 def stream_sliding_stats(spark, sf_dir):
     sink = drain(sw.sliding_statistics(stream(spark, sf_dir), "6 hours", "1 hour", DELAY), "stream-sliding")
-    return out(sink, "window_start", "window_end", "request_count", "unique_users", "unique_ips", "error_rate",
-               "avg_response_time", "ip_concentration")
+    total = F.round(F.col("avg_response_time") * F.col("request_count"), 3).alias("total_response_time")
+    return out(sink, "window_start", "window_end", "request_count", "unique_users", "unique_ips", "error_rate", total,
+               "ip_concentration")
 
 
 STREAM_RAW = (f"sw AS (SELECT *, {d(SIMPLE_LIMITS.base_limit)} * (1 - ({WINDOW_SCORE.replace('spike_ratio', '0')})) AS raw_limit FROM wf "

@@ -19,6 +19,7 @@ from ..functions.columns import micros
 from ..operators.windows import NO, SERIES, START
 
 US = 1_000_000
+CHUNK_HISTORIES = 4
 
 
 def _gather(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
@@ -170,12 +171,12 @@ class _Patterns(StatefulProcessor):
         self.cfg = cfg
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = self.cfg.history_seconds * 6 * 1000
-        self.state = handle.getListState("history", "t bigint, endpoint string", ttl)
+        self.handle = handle
+        self.state = handle.getValueState("history", "t array<bigint>, endpoint array<string>")
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = _gather(rows, ["t", "request_id"])
-        history = [tuple(r) for r in self.state.get()]
+        history = list(zip(*self.state.get())) if self.state.exists() else []
         out = []
         for row in pdf.itertuples(index=False):
             cutoff = row.t - self.cfg.history_seconds * US
@@ -186,23 +187,32 @@ class _Patterns(StatefulProcessor):
                 if found:
                     out.append((key[0], int(row.request_id), max(p.severity for p in found),
                                 ",".join(p.name for p in found)))
-        self.state.put(history)
+        if not self.state.exists():
+            # nothing can look into a chunk after its end
+            self.handle.registerTimer((int(key[1]) + 1) * CHUNK_HISTORIES * self.cfg.history_seconds * 1000)
+        self.state.update(([t for t, _ in history], [e for _, e in history]))
         yield pd.DataFrame(out, columns=["user_id", "request_id", "suspicion_score", "matched_patterns"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.state.clear()
+        yield pd.DataFrame([], columns=["user_id", "request_id", "suspicion_score", "matched_patterns"])
+
     def close(self) -> None:
         pass
 
 
-def bot_patterns(stream: DataFrame, cfg: BehaviorConfig = BehaviorConfig()) -> DataFrame:
+def bot_patterns(stream: DataFrame, cfg: BehaviorConfig = BehaviorConfig(), delay: str = "10 minutes") -> DataFrame:
     """Suspicious requests with their patterns, as they arrive.
 
-    Users are cut into the same time chunks as in the batch operator, and state
-    of a chunk expires, so state stays bounded by the active chunks.
+    Users are cut into the same time chunks as in the batch operator. State of
+    a chunk is dropped once the watermark passes its end, so it stays bounded
+    by the active chunks.
     """
     reach = cfg.history_seconds * US
-    cut = with_lookback(stream.withColumn("t", micros(F.col("ts"))), F.col("t"), 4 * reach, reach)
-    slim = cut.select("user_id", CHUNK, "t", "request_id", "endpoint", F.col(OWN).alias("own"))
+    timed = stream.withWatermark("ts", delay).withColumn("t", micros(F.col("ts")))
+    cut = with_lookback(timed, F.col("t"), CHUNK_HISTORIES * reach, reach)
+    slim = cut.select("user_id", CHUNK, "ts", "t", "request_id", "endpoint", F.col(OWN).alias("own"))
     return slim.groupBy("user_id", CHUNK).transformWithStateInPandas(
         statefulProcessor=_Patterns(cfg),
         outputStructType="user_id string, request_id bigint, suspicion_score double, matched_patterns string",
-        outputMode="Append", timeMode="ProcessingTime")
+        outputMode="Append", timeMode="EventTime")
