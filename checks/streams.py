@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trafficlens.operators import heuristics
 from trafficlens.operators.windows import KEY
-from trafficlens.schema import FEEDBACK
+from trafficlens.schema import FEEDBACK as FEEDBACK_SCHEMA
 from trafficlens.session import materialize, prepare, shared_dir
 from trafficlens.sources.request_log import events_request_stream
 from trafficlens.streaming import state, windows as sw
@@ -78,7 +78,7 @@ def stream_bot_patterns(spark, sf_dir):
 def stream_weights(spark, sf_dir):
     path = shared_dir(prepare(spark), "feedback")
     feedback(spark, sf_dir).write.parquet(path)
-    arriving = spark.readStream.schema(FEEDBACK).parquet(path)
+    arriving = spark.readStream.schema(FEEDBACK_SCHEMA).parquet(path)
     return out(drain(state.learned_weights(arriving, SIMPLE_LIMITS), "stream-weights"))
 
 
