@@ -40,8 +40,17 @@ def only(pattern) -> BehaviorConfig:
     return BehaviorConfig(history_seconds=86_400, rapid_gap_seconds=600, patterns=(pattern,))
 
 
+def session(spark: SparkSession) -> SparkSession:
+    """Library settings; on one machine also no more shuffle partitions than cores."""
+    prepare(spark)
+    cores = spark.sparkContext.defaultParallelism
+    if spark.sparkContext.master.startswith("local") and int(spark.conf.get("spark.sql.shuffle.partitions")) > cores:
+        spark.conf.set("spark.sql.shuffle.partitions", str(cores))
+    return spark
+
+
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_request_log(prepare(spark), sf_dir)
+    return events_request_log(session(spark), sf_dir)
 
 
 def out(df: DataFrame, *cols) -> DataFrame:

@@ -10,12 +10,12 @@ from trafficlens.operators import evaluate as ev, explain as ex, forecast as fc,
 from trafficlens.plans import comparison, training
 from trafficlens.plans.decisions import heaviest_user, simple_features
 from trafficlens.plans.feature_table import feature_table
-from trafficlens.session import materialize, prepare, shared_dir
+from trafficlens.session import materialize, shared_dir
 from trafficlens.sources import tables
 
 from . import sql
 from .features import HOURLY, SIGNAL
-from .fixture import GAP, HOUR, RULES, decisions, log, out
+from .fixture import GAP, HOUR, RULES, decisions, log, out, session
 from .policy_checks import HEAVY, SHARES
 from .registry import check
 from .sql import DECISIONS, LOG, WINDOW_SCORE, d, r, with_
@@ -127,7 +127,7 @@ def roc_auc(spark, sf_dir):
     "WITH sc AS (SELECT 'a' AS m, l.toxic AS is_attack, 0 AS blocked, n_chars AS score FROM labels l JOIN documents USING (doc_id)), "
     + metric_ctes("sc", "m") + f" SELECT {r('roc_auc')} AS roc_auc FROM me"))
 def roc_auc_labels(spark, sf_dir):
-    prepare(spark)
+    session(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars")
     rows = spark.read.parquet(f"{sf_dir}/labels.parquet").join(docs, "doc_id")
     return out(ev.roc_auc(rows, score="n_chars", label="toxic"))
@@ -242,7 +242,7 @@ def iforest_roundtrip(spark, sf_dir):
 @check("iforest_embeddings")
 def iforest_embeddings(spark, sf_dir):
     """The forest on another wide matrix: the embedding table."""
-    rows = prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet").select(
+    rows = session(spark).read.parquet(f"{sf_dir}/embeddings.parquet").select(
         "vec_id", "label", F.col("embedding").cast("array<double>").alias("features"))
     model = iforest.fit(rows, "features", ["vec_id"], SMALL)
     return out(model.transform(rows), "vec_id", "label", "anomaly_score", "is_anomaly")

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from trafficlens.operators import heuristics
 from trafficlens.operators.windows import KEY
 from trafficlens.schema import FEEDBACK as FEEDBACK_SCHEMA
-from trafficlens.session import materialize, prepare, shared_dir
+from trafficlens.session import materialize, shared_dir
 from trafficlens.sources.request_log import events_request_stream
 from trafficlens.streaming import state, windows as sw
 from trafficlens.streaming.runner import drain
 
 from . import sql
-from .fixture import DAY, HOUR, RULES, SIMPLE_LIMITS, decisions, feedback, out
+from .fixture import DAY, HOUR, RULES, SIMPLE_LIMITS, decisions, feedback, out, session
 from .registry import check
 from .sql import DECISIONS, FEEDBACK, LOG, WINDOW_SCORE, d, fold, r, with_
 
@@ -22,7 +22,7 @@ CLOSED = f"(SELECT (max(t) // 1000) * 1000 FROM request_log) - {DELAY_US}"
 
 
 def stream(spark, sf_dir):
-    return events_request_stream(prepare(spark), sf_dir)
+    return events_request_stream(session(spark), sf_dir)
 
 
 def closed(seconds: int) -> str:
@@ -76,7 +76,7 @@ def stream_bot_patterns(spark, sf_dir):
 
 @check("stream_weights")
 def stream_weights(spark, sf_dir):
-    path = shared_dir(prepare(spark), "feedback")
+    path = shared_dir(session(spark), "feedback")
     feedback(spark, sf_dir).write.parquet(path)
     arriving = spark.readStream.schema(FEEDBACK_SCHEMA).parquet(path)
     return out(drain(state.learned_weights(arriving, SIMPLE_LIMITS), "stream-weights"))

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from trafficlens.config import CREDENTIAL_STUFFING, BehaviorConfig, ParallelPattern, SequencePattern
@@ -85,16 +86,17 @@ def test_patterns_equal_brute_force(make_log):
     assert got == want and len({tuple(w) for w in want}) > 3
 
 
-def test_trailing_equals_brute_force(make_log):
+@pytest.mark.parametrize("max_rows", [None, 7])
+def test_trailing_equals_brute_force(make_log, max_rows):
     rng = random.Random(5)
     rows, t = [], 0.0
     for _ in range(400):
         t += rng.choice([0.0, 0.5, 3.0, 20.0, 60.0])
         rows.append((t, f"u{rng.randint(0, 4)}", "/a", {
             "ip": f"i{rng.randint(0, 3)}", "status_code": rng.choice([200, 500]), "response_time": float(rng.randint(1, 50))}))
-    got = trailing_features(make_log(rows)).orderBy("request_id").collect()
+    got = trailing_features(make_log(rows), max_rows=max_rows).orderBy("request_id").collect()
     for i, (t, user, _, x) in enumerate(rows):
-        inside = [r for r in rows if t - 60 < r[0] <= t]
+        inside = [r for r in rows if t - 60 < r[0] <= t][-(max_rows or len(rows)):]
         g = got[i]
         assert g.request_count == len(inside)
         assert g.unique_users == len({r[1] for r in inside}) and g.unique_ips == len({r[3]["ip"] for r in inside})

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.chunks import CHUNK
+from ..functions.chunks import CHUNK, running_sum
 from ..functions.columns import floor_div, indicator, micros, or_zero, safe_ratio
 from .windows import SERIES
 
@@ -51,8 +51,9 @@ def _key_statistics(df: DataFrame, key: str, width: int) -> DataFrame:
     by = [SERIES, key, CHUNK]
     ordered = Window.partitionBy(*by).orderBy("_e.at", F.col("_e.kind").desc(), "request_id")
     so_far = Window.partitionBy(*by).orderBy("_e.at").rangeBetween(Window.unboundedPreceding, 0)
-    previous = F.last(F.when(entered, t), ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    start = F.greatest(t, previous + width)
+    previous = F.last(F.when(entered, F.col("_exit")), ignorenulls=True).over(
+        ordered.rowsBetween(Window.unboundedPreceding, -1))
+    start = F.greatest(t, previous)
     return (
         rows.withColumns({
             f"{key}_from": F.when(entered, F.when(start < F.col("_exit"), start)),
@@ -62,12 +63,34 @@ def _key_statistics(df: DataFrame, key: str, width: int) -> DataFrame:
     )
 
 
-def trailing_features(log: DataFrame, seconds: int = 60, *, default_latency: float = 100.0) -> DataFrame:
+def _exits(rows: DataFrame, width: int, max_rows: int | None) -> DataFrame:
+    """Add ``_exit``: when a request leaves the window.
+
+    With ``max_rows`` it also leaves when that many newer requests have
+    arrived: the arrival of the row ``max_rows`` positions later, found by an
+    equi-join on dense positions.
+    """
+    rows = rows.withColumn("_exit", F.col("_t") + width)
+    if max_rows is None:
+        return rows
+    placed = running_sum(rows.withColumn(CHUNK, floor_div(F.col("_t"), width)), [SERIES], CHUNK,
+                         ["_t", "request_id"], {"_position": F.lit(1)}).drop(CHUNK)
+    pushing = placed.select(SERIES, (F.col("_position") - max_rows).alias("_position"), F.col("_t").alias("_pushed"))
+    return placed.join(pushing, [SERIES, "_position"], "left").withColumn(
+        "_exit", F.least("_exit", "_pushed")).drop("_position", "_pushed")
+
+
+def trailing_features(log: DataFrame, seconds: int = 60, *, max_rows: int | None = None,
+                      default_latency: float = 100.0) -> DataFrame:
     """Per request: count, distinct users and ips, error rate, mean latency,
-    counts of its own user and ip, and requests per ip over ``(t - width, t]``."""
+    counts of its own user and ip, and requests per ip over ``(t - width, t]``.
+
+    ``max_rows`` limits the window to its newest requests, as an online
+    gateway with a bounded buffer sees it (10,000 there).
+    """
     width = seconds * US
     rows = log if SERIES in log.columns else log.withColumn(SERIES, F.lit("all"))
-    rows = rows.withColumn("_t", micros(F.col("ts"))).withColumn("_exit", F.col("_t") + width)
+    rows = _exits(rows.withColumn("_t", micros(F.col("ts"))), width, max_rows)
     rows = _key_statistics(rows, "user_id", width)
     rows = _key_statistics(rows, "ip", width)
     events = [

@@ -11,10 +11,16 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the runtime settings results depend on: UTC event time and AQE."""
+    """Pin the runtime settings results depend on: UTC event time and AQE.
+
+    Joins of requests with window tables are often followed by an aggregation
+    on the same keys. Skewed windows are split there too, at the price of one
+    more shuffle and only when a join is found skewed at run time.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return spark
