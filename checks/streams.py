@@ -13,7 +13,9 @@ from trafficlens.streaming import state, windows as sw
 from trafficlens.streaming.runner import drain
 
 from . import sql
+from .behaviour import SUSPICION
 from .fixture import DAY, HOUR, RULES, SIMPLE_LIMITS, decisions, feedback, out, session
+from .policy_checks import CLAMPED
 from .registry import check
 from .sql import DECISIONS, FEEDBACK, LOG, WINDOW_SCORE, d, fold, r, with_
 
@@ -69,12 +71,15 @@ def stream_adaptive_limit(spark, sf_dir):
     return sink.select("window_no", "request_count", "rate_limit", "allow")
 
 
-@check("stream_bot_patterns")
+@check("stream_bot_patterns", with_(*SUSPICION, select=(
+    f"SELECT user_id, request_id, {r('score')} AS suspicion_score, names AS matched_patterns FROM sus WHERE names <> ''")))
 def stream_bot_patterns(spark, sf_dir):
     return out(drain(state.bot_patterns(stream(spark, sf_dir), DAY), "stream-patterns"))
 
 
-@check("stream_weights")
+@check("stream_weights", with_(LOG, FEEDBACK, CLAMPED, select=(
+    f"SELECT policy_key, request_id, ts, {r('w')} AS anomaly_weight, {r('1 - w')} AS forecast_weight FROM nf JOIN cw USING (rn)"),
+    recursive=True))
 def stream_weights(spark, sf_dir):
     path = shared_dir(session(spark), "feedback")
     feedback(spark, sf_dir).write.parquet(path)
@@ -82,7 +87,8 @@ def stream_weights(spark, sf_dir):
     return out(drain(state.learned_weights(arriving, SIMPLE_LIMITS), "stream-weights"))
 
 
-@check("stream_forecast")
+@check("stream_forecast", with_(LOG, sql.simple_features(), select=(
+    f"SELECT series_key, window_no, request_count, {r('predicted')} AS predicted FROM sf WHERE request_count > 0 AND {closed(HOUR)}")))
 def stream_forecast(spark, sf_dir):
     rows = sw.window_features(stream(spark, sf_dir), HOUR, DELAY)
     return out(drain(state.rolling_forecast(rows, SIMPLE_LIMITS.base_limit), "stream-forecast"))
