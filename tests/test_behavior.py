@@ -60,6 +60,15 @@ def test_identical_timestamps(make_log):
     assert last.request_rate is None and last.avg_inter_request_time == 0 and last.has_rapid_sequence
 
 
+def test_blocks_do_not_change_features(make_log):
+    rng = random.Random(9)
+    rows = [(round(rng.random() * 300, 3), "u", rng.choice(["/a", "/b"])) for _ in range(300)]
+    log = make_log(rows)
+    plain, cut = (behavior.behavior_features(log, BehaviorConfig(max_history=20, **x)).drop("traffic_type")
+                  .orderBy("request_id").collect() for x in ({}, {"dense_rows": 10, "block_rows": 25}))
+    assert plain == cut and len(cut) == 300
+
+
 def brute(rows, cfg):
     """Suspicion of each request by scanning its whole history."""
     seen, out = {}, []
@@ -71,14 +80,15 @@ def brute(rows, cfg):
     return out
 
 
-def test_patterns_equal_brute_force(make_log):
+@pytest.mark.parametrize("dense", [{}, {"dense_rows": 5, "block_rows": 8}])
+def test_patterns_equal_brute_force(make_log, dense):
     rng = random.Random(3)
     ends = ["/a", "/b", "/c", "/login"]
     rows, t = [], 0.0
     for _ in range(600):
         t += rng.choice([0.2, 1.0, 7.0, 90.0])
         rows.append((round(t, 3), rng.choice(["u", "v"]), rng.choice(ends)))
-    cfg = BehaviorConfig(history_seconds=20, max_history=6, patterns=(
+    cfg = BehaviorConfig(history_seconds=20, max_history=6, **dense, patterns=(
         SequencePattern("seq", ("/a", "/b", "/c"), 9000, 0.9), SequencePattern("login", ("/login",) * 2, 5000, 0.8),
         ParallelPattern("par", 3, 6000, 0.7)))
     got = [sorted(s[2]) for s in scores(make_log(rows), cfg)]

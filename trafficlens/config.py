@@ -99,6 +99,9 @@ class BehaviorConfig:
     history_seconds: int = 60
     max_history: int = 100
     rapid_gap_seconds: float = 0.1
+    # a user's chunk with more rows than this is cut into blocks
+    dense_rows: int = 100_000
+    block_rows: int = 10_000
     patterns: tuple = DEFAULT_PATTERNS
 
 

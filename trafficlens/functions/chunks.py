@@ -9,6 +9,8 @@ length:
 * ``running_sum`` / ``carried_lag``: for unbounded frames. One seed row per
   chunk carries the state left by the earlier chunks.
 * ``heavy_key_chunk``: chunks only the few keys that are too large for a task.
+* ``split_dense``: cuts the few chunks that are still too large into blocks of
+  rows, for frames that reach back a limited number of rows.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .columns import floor_div
 
-CHUNK, OWN = "_chunk", "_own"
+CHUNK, OWN, BLOCK = "_chunk", "_own", "_block"
 
 
 def with_lookback(df: DataFrame, position: Column, size: int, reach: int) -> DataFrame:
@@ -37,7 +39,7 @@ def with_lookback(df: DataFrame, position: Column, size: int, reach: int) -> Dat
 
 
 def own_rows(df: DataFrame) -> DataFrame:
-    return df.where(F.col(OWN)).drop(CHUNK, OWN)
+    return df.where(F.col(OWN)).drop(CHUNK, OWN, BLOCK)
 
 
 def running_sum(df: DataFrame, keys: list[str], chunk: str, order: list, sums: dict[str, Column]) -> DataFrame:
@@ -100,3 +102,28 @@ def heavy_key_chunk(df: DataFrame, key: str, ts: str, *, split_seconds: int = 60
         .withColumn(CHUNK, F.when(F.col("_heavy"), slice_).otherwise(F.lit(0)).cast("bigint"))
         .drop("_heavy_key", "_heavy")
     )
+
+
+def split_dense(df: DataFrame, keys: list[str], time: str, order: list[str], *, reach: int, slice_units: int,
+                block: int = 10_000, max_dense: int = 100_000, min_rows: int = 100_000) -> DataFrame:
+    """Add ``_block``: blocks of rows for dense groups, 0 for all others.
+
+    ``df`` comes from ``with_lookback`` and is grouped by ``keys``. A group is
+    dense when it holds more than ``rows / max_dense`` rows (and more than
+    ``min_rows``), so fewer than ``max_dense`` keys are broadcast. Its rows get
+    dense positions by prefix counts over time slices; the last ``reach`` rows
+    of a block are copied into the next.
+    """
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    cut = counts.agg(
+        F.greatest(F.lit(float(min_rows)), F.sum("_n") / F.lit(float(max_dense)))).scalar()
+    dense = F.broadcast(counts.where(F.col("_n") > cut).select(*[F.col(k).alias(f"_d_{k}") for k in keys]))
+    same = [F.col(k).eqNullSafe(F.col(f"_d_{k}")) for k in keys]
+    light = df.join(dense, same, "left_anti").withColumn(BLOCK, F.lit(0).cast("bigint"))
+    heavy = df.join(dense, same, "left_semi").withColumn("_slice", floor_div(F.col(time), slice_units))
+    heavy = running_sum(heavy, keys, "_slice", order, {"_at": F.lit(1)})
+    first = floor_div(F.col("_at") - 1, block)
+    last = floor_div(F.col("_at") - 1 + F.lit(reach), block)
+    heavy = heavy.withColumn(BLOCK, F.explode(F.sequence(first, last))).withColumn(
+        OWN, F.col(OWN) & (F.col(BLOCK) == first)).drop("_slice", "_at")
+    return light.unionByName(heavy)

@@ -3,7 +3,8 @@
 The history of a request is the newest ``max_history`` requests of its user,
 itself included, that are at most ``history_seconds`` old. It never reaches
 beyond that age, so users are cut into time chunks with a copied look-back and
-even a user with most of the traffic spreads over many tasks.
+even a user with most of the traffic spreads over many tasks. It also has a limited
+number of rows, so a chunk that is still too dense is cut into blocks of rows.
 """
 
 from __future__ import annotations
@@ -13,11 +14,13 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import REQUEST_DEFAULTS, BehaviorConfig, ParallelPattern, SequencePattern
-from ..functions.chunks import CHUNK, carried_lag, heavy_key_chunk, own_rows, with_lookback
+from ..functions.chunks import BLOCK, CHUNK, carried_lag, heavy_key_chunk, own_rows, split_dense, with_lookback
 from ..functions.columns import micros, or_zero, with_defaults
 from .windows import KEY, assign_windows
 
 US = 1_000_000
+CHUNK_HISTORIES = 4
+SLICES = 64
 
 
 def user_time_delta(log: DataFrame, **split) -> DataFrame:
@@ -35,9 +38,12 @@ def window_gap_stats(log: DataFrame, seconds: int) -> DataFrame:
 
 
 def _chunked(log: DataFrame, cfg: BehaviorConfig) -> tuple[DataFrame, Window]:
+    """Users in time chunks with look-back; dense chunks in blocks of rows."""
     reach = cfg.history_seconds * US
-    cut = with_lookback(log.withColumn("_t", micros(F.col("ts"))), F.col("_t"), 4 * reach, reach)
-    return cut, Window.partitionBy("user_id", CHUNK).orderBy("_t", "request_id")
+    cut = with_lookback(log.withColumn("_t", micros(F.col("ts"))), F.col("_t"), CHUNK_HISTORIES * reach, reach)
+    cut = split_dense(cut, ["user_id", CHUNK], "_t", ["_t", "request_id"], reach=cfg.max_history - 1,
+                      slice_units=max(1, reach // SLICES), min_rows=cfg.dense_rows, block=cfg.block_rows)
+    return cut, Window.partitionBy("user_id", CHUNK, BLOCK).orderBy("_t", "request_id")
 
 
 def _raw_history(w, cfg: BehaviorConfig) -> Column:
@@ -149,12 +155,12 @@ def behavior_features(log: DataFrame, cfg: BehaviorConfig = BehaviorConfig()) ->
         F.sequence(F.lit(2), n),
         lambda i: (F.element_at("history", i).t - F.element_at("history", i - 1).t) / F.lit(float(US)))
     rows = rows.withColumn("_gaps", F.when(n >= 2, gaps))
-    total = F.aggregate("_gaps", F.lit(0.0), lambda a, x: a + x)
-    rows = rows.withColumn("avg_inter_request_time", total / (n - 1))
+    span = (F.element_at("history", -1).t - F.element_at("history", 1).t) / F.lit(float(US))
+    # the gaps add up to the span of the history
+    rows = rows.withColumn("avg_inter_request_time", F.when(n >= 2, span / (n - 1)))
     mean = F.col("avg_inter_request_time")
     spread = F.aggregate("_gaps", F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
     unique = F.size(F.array_distinct(F.transform("history", lambda x: x.endpoint)))
-    span = (F.element_at("history", -1).t - F.element_at("history", 1).t) / F.lit(float(US))
     return rows.withColumns({
         "std_inter_request_time": F.sqrt(spread / (n - 1)),
         "min_inter_request_time": F.array_min("_gaps"),
