@@ -6,18 +6,26 @@ sorted inside the handler; across batches the order is that of the input.
 
 from __future__ import annotations
 
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from .. import config
 from ..config import FULL, SIMPLE, BehaviorConfig, LearningConfig, LimitConfig, ParallelPattern
 from ..functions.chunks import CHUNK, OWN, with_lookback
 from ..functions.columns import micros
 from ..operators.windows import NO, SERIES, START
 
+# State processors also start in a helper process that gets no shipped files,
+# so they travel with their code.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(config)
+
 US = 1_000_000
 CHUNK_HISTORIES = 4
 
