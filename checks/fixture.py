@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from trafficlens.config import (
     BehaviorConfig, HeuristicConfig, LimitConfig, OnlineHeuristicConfig, ParallelPattern, SequencePattern)
 from trafficlens.operators import feedback as fb
-from trafficlens.operators.windows import NO, SERIES, START
+from trafficlens.operators.windows import SERIES, START
 from trafficlens.plans import decisions as plans
 from trafficlens.session import prepare
 from trafficlens.sources.request_log import events_request_log

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trafficlens.config import ForestConfig, HeuristicConfig
+from trafficlens.config import ForestConfig
 from trafficlens.functions.columns import sigmoid_of_score
-from trafficlens.operators import evaluate as ev, explain as ex, forecast as fc, heuristics, iforest, rolling, scaling, windows as win
+from trafficlens.operators import evaluate as ev, explain as ex, forecast as fc, heuristics, iforest, scaling, windows as win
 from trafficlens.plans import comparison, training
 from trafficlens.plans.decisions import heaviest_user, simple_features
 from trafficlens.plans.feature_table import feature_table
@@ -15,10 +15,10 @@ from trafficlens.sources import tables
 
 from . import sql
 from .features import HOURLY, SIGNAL
-from .fixture import GAP, HOUR, RULES, decisions, log, out, session
+from .fixture import HOUR, RULES, decisions, log, out, session
 from .policy_checks import HEAVY, SHARES
 from .registry import check
-from .sql import DECISIONS, LOG, WINDOW_SCORE, d, r, with_
+from .sql import DECISIONS, LOG, WINDOW_SCORE, r, with_
 
 # --- evaluation ---------------------------------------------------------------------------------------------
 

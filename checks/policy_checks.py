@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from trafficlens.config import EXPLAIN_FEATURES
-from trafficlens.operators import explain as ex, feedback as fb, forecast as fc, heuristics, policy, windows as win
+from trafficlens.operators import explain as ex, feedback as fb, forecast as fc, policy, windows as win
 from trafficlens.plans import decisions as plans
 from trafficlens.session import shared_dir
 from trafficlens.sources import tables
@@ -13,7 +13,7 @@ from trafficlens.sources import tables
 from . import sql
 from .behaviour import LADDER, SUSPICION
 from .fixture import (
-    CPU_PER_REQUEST, DAY, FULL_LIMITS, HOUR, ONLINE_RULES, RULES, SIMPLE_LIMITS, decisions, feedback, log, out, with_ids)
+    CPU_PER_REQUEST, DAY, FULL_LIMITS, HOUR, ONLINE_RULES, SIMPLE_LIMITS, decisions, feedback, log, out, with_ids)
 from .registry import check
 from .sql import DECISIONS, FEEDBACK, LOG, add_score, d, fold, r, two, with_
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .fixture import (
-    CPU_PER_REQUEST, FULL_LIMITS, GAP, HOUR, LATENCY_SCALE, RULES, SIMPLE_LIMITS)
+    CPU_PER_REQUEST, FULL_LIMITS, HOUR, LATENCY_SCALE, RULES, SIMPLE_LIMITS)
 
 
 def r(expr: str) -> str:

@@ -6,13 +6,13 @@ and runs as a chunked fold (see ``functions.fold``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import FULL, ONLINE, SIMPLE, HeuristicConfig, LimitConfig
 from ..functions.chunks import CHUNK, running_sum
 from ..functions.columns import clip, floor_div, micros, two_decimals
 from ..functions.fold import limit_trajectory
-from .windows import KEY, NO, POS, SERIES, assign_windows
+from .windows import KEY, POS, SERIES, assign_windows
 
 US = 1_000_000
 

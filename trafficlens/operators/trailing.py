@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.chunks import CHUNK, running_sum
-from ..functions.columns import floor_div, indicator, micros, or_zero, safe_ratio
+from ..functions.columns import floor_div, indicator, micros, safe_ratio
 from .windows import SERIES
 
 US = 1_000_000
