@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -48,10 +49,16 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder for tables and stream checkpoints.
 
     It lies under ``spark.checkpoint.dir``, which a cluster points at storage
-    every executor reaches. Only where that is unset (tests on one machine) a
-    local temporary folder is used.
+    every executor reaches. A ``local`` master has one machine only and gets a
+    temporary folder, set once for the session; any other master without the
+    setting is an error, because its executors would not see each other's files.
     """
-    root = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="trafficlens-")
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='trafficlens-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/trafficlens/{purpose}-{uuid.uuid4().hex}"
 
 
