@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, mixing
 from .common import table
 
 QUERIES: dict = {}
@@ -22,3 +22,8 @@ def query(name: str, sql: str | None = None):
 @query("op4_exact_dedup", exact_dedup.SQL)
 def op4(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op8_mixing")
+def op8(spark, sf_dir):
+    return mixing.Mix(table(spark, sf_dir, "documents")).taken()
