@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, tokens
 from .common import table
 
 QUERIES: dict = {}
@@ -27,3 +27,8 @@ def op4(spark, sf_dir):
 @query("op8_mixing")
 def op8(spark, sf_dir):
     return mixing.Mix(table(spark, sf_dir, "documents")).taken()
+
+
+@query("op10_token_output")
+def op10(spark, sf_dir):
+    return tokens.encode_corpus(table(spark, sf_dir, "documents"))
