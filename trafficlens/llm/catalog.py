@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, tokens
+from . import decontaminate, exact_dedup, mixing, tokens
 from .common import table
 
 QUERIES: dict = {}
@@ -32,3 +32,8 @@ def op8(spark, sf_dir):
 @query("op10_token_output")
 def op10(spark, sf_dir):
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+@query("op7_decontamination", decontaminate.SQL)
+def op7(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
