@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, tokens
+from . import decontaminate, exact_dedup, mixing, quality, tokens
 from .common import table
 
 QUERIES: dict = {}
@@ -37,3 +37,8 @@ def op10(spark, sf_dir):
 @query("op7_decontamination", decontaminate.SQL)
 def op7(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_quality")
+def op9(spark, sf_dir):
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

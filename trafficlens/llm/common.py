@@ -69,6 +69,24 @@ def filled(column) -> pa.Array:
     return column.fill_null("") if column.null_count else column
 
 
+def word_bounds(inside: np.ndarray, at: np.ndarray):
+    """Runs of true bytes that don't cross a text's end.
+
+    Start and end of each, the first run of each text (one more at the end) and
+    the text of each run.
+    """
+    wide = np.zeros(len(inside) + 2, bool)
+    wide[1:-1] = inside
+    edges = np.flatnonzero(wide[1:] != wide[:-1])
+    cuts = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(inside))]
+    both = np.unique(cuts[wide[cuts] & wide[cuts + 1]])
+    if len(both):
+        edges = np.sort(np.concatenate([edges, both, both]))
+    start, end = edges[0::2], edges[1::2]
+    first = np.searchsorted(start, at)
+    return start, end, first, np.repeat(np.arange(len(at) - 1), np.diff(first))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser: spreads every input bit over the 64 output bits."""
     x = x ^ (x >> U64(30))
@@ -114,7 +132,7 @@ class Rolling:
         if n <= 0:
             return np.zeros(0, U64)
         raw = (self.sums[width:] - self.sums[:n]) * Rolling._back[:n]
-        return mix64(raw + U64(width) * U64(0xD6E8FEB86659FD93))
+        return mix64(raw + np.full(1, width, U64) * U64(0xD6E8FEB86659FD93))
 
 
 BIT_LOG = 25

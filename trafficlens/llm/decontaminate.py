@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import U64, Rolling, bitmap, columns, filled, may_hold, mix64, slices, stored, utf8
+from .common import U64, Rolling, bitmap, columns, filled, may_hold, mix64, slices, stored, utf8, word_bounds
 
 WINDOW, GRAM = 13, 8
 
@@ -36,17 +36,8 @@ class Words:
     def __init__(self, texts: pa.Array):
         raw, at = utf8(texts)
         self.data = _LOWER[raw]
-        inside = np.zeros(len(raw) + 2, bool)
-        inside[1:-1] = _WORD[self.data]
-        edges = inside[1:] != inside[:-1]
-        # a word also ends where its text does
-        cuts = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(raw))]
-        both = cuts[inside[cuts] & inside[cuts + 1]]
-        edge = np.sort(np.concatenate([np.flatnonzero(edges), np.repeat(np.unique(both), 2)]))
-        self.start, self.end = edge[0::2], edge[1::2]
-        self.first = np.searchsorted(self.start, at)
+        self.start, self.end, self.first, self.of = word_bounds(_WORD[self.data], at)
         self.hash = Rolling(self.data.astype(U64)).of(self.start, self.end)
-        self.of = np.repeat(np.arange(len(texts)), np.diff(self.first))
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of each run of n words inside one text."""
