@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import U64, Rolling, columns, filled, mix64, slices, utf8, word_bounds
 
@@ -234,14 +234,17 @@ def _scorer(model, rest: list[str]):
     return rows
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add ``_score`` to every row; null and empty texts are scored like a text without words."""
-    spark = docs.sparkSession
-    if "_score" in docs.columns or "_text" in docs.columns:
+def scored(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns of ``keep`` (all if None) and ``_score`` of every row.
+
+    Null and empty texts are scored like a text without words.
+    """
+    keep = docs.columns if keep is None else keep
+    if {"_score", "_text"} & set(docs.columns):
         raise ValueError("the input has a column named _score or _text")
-    schema = docs.schema.add("_score", "double")
-    rows = docs.withColumn("_text", F.col(f"`{text}`"))
-    return rows.mapInArrow(_scorer(spark.sparkContext.broadcast(model), docs.columns), schema)
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("_score", T.DoubleType())])
+    return rows.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), list(keep)), schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", *,
@@ -252,6 +255,6 @@ def quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
     a row without id is not held out.
     """
     model = learn(docs, labels, id, text, label, sample=sample)
-    rows = scored(columns(docs, doc_id=id, text=text), model)
+    rows = scored(columns(docs, doc_id=id, text=text), model, keep=["doc_id"])
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"),
                        (F.col("_score") >= floor).cast("int").alias("predicted"))
