@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, quality, tokens
+from . import decontaminate, exact_dedup, mixing, pii, quality, tokens
 from .common import table
 
 QUERIES: dict = {}
@@ -42,3 +42,8 @@ def op7(spark, sf_dir):
 @query("op9_quality")
 def op9(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op1_personal_data")
+def op1(spark, sf_dir):
+    return pii.personal_data(table(spark, sf_dir, "documents"))
