@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, pii, quality, tokens
+from . import decontaminate, exact_dedup, html_text, mixing, pii, quality, tokens
 from .common import table
 
 QUERIES: dict = {}
@@ -47,3 +47,8 @@ def op9(spark, sf_dir):
 @query("op1_personal_data")
 def op1(spark, sf_dir):
     return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op6_main_text")
+def op6(spark, sf_dir):
+    return html_text.main_text(table(spark, sf_dir, "pages"))
