@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_text, mixing, pii, quality, tokens
+from . import decontaminate, exact_dedup, html_text, mixing, near_dedup, pii, quality, tokens
 from .common import table
 
 QUERIES: dict = {}
@@ -52,3 +52,8 @@ def op1(spark, sf_dir):
 @query("op6_main_text")
 def op6(spark, sf_dir):
     return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op2_near_dedup")
+def op2(spark, sf_dir):
+    return near_dedup.NearDuplicates(table(spark, sf_dir, "documents")).groups()
