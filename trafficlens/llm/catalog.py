@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_text, mixing, near_dedup, pii, quality, tokens
+from . import decontaminate, exact_dedup, html_text, mixing, near_dedup, pii, quality, repeats, tokens
 from .common import table
 
 QUERIES: dict = {}
@@ -57,3 +57,8 @@ def op6(spark, sf_dir):
 @query("op2_near_dedup")
 def op2(spark, sf_dir):
     return near_dedup.NearDuplicates(table(spark, sf_dir, "documents")).groups()
+
+
+@query("op5_repeats")
+def op5(spark, sf_dir):
+    return repeats.Repeats(table(spark, sf_dir, "documents")).report()
