@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_text, mixing, near_dedup, pii, quality, repeats, tokens
+from . import decontaminate, exact_dedup, html_text, line_dedup, mixing, near_dedup, pii, quality, repeats, tokens
 from .common import table
 
 QUERIES: dict = {}
@@ -62,3 +62,8 @@ def op2(spark, sf_dir):
 @query("op5_repeats")
 def op5(spark, sf_dir):
     return repeats.Repeats(table(spark, sf_dir, "documents")).report()
+
+
+@query("op3_line_dedup")
+def op3(spark, sf_dir):
+    return line_dedup.LineDuplicates(table(spark, sf_dir, "documents")).report()

@@ -138,21 +138,21 @@ class Rolling:
 BIT_LOG = 25
 
 
-def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
-    """A set of 2**25 bits (4 MB) with a bit for each value of a long column.
+def bitmap(hashes: DataFrame, column: str, log: int = BIT_LOG) -> np.ndarray:
+    """A set of 2**log bits (4 MB for 25) with a bit for each value of a long column.
 
     Its size is fixed whatever the data, so it may be broadcast. It lets all
     members pass and some others; a join or an exact count has to follow. The
-    driver gets at most 2**19 words, already combined on the executors.
+    driver gets at most 2**(log - 6) words, already combined on the executors.
     """
-    slot = F.shiftright(F.col(column), 64 - BIT_LOG).bitwiseAND((1 << BIT_LOG) - 1)
+    slot = F.shiftrightunsigned(F.col(column), 64 - log)
     words = hashes.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (BIT_LOG - 6), np.int64)
+    out = np.zeros(1 << (log - 6), np.int64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out.view(U64)
 
 
-def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slot = hashes.view(U64) >> U64(64 - BIT_LOG)
+def may_hold(bits: np.ndarray, hashes: np.ndarray, log: int = BIT_LOG) -> np.ndarray:
+    slot = hashes.view(U64) >> U64(64 - log)
     return (bits[(slot >> U64(6)).astype(np.int64)] >> (slot & U64(63))) & U64(1) != 0
