@@ -1,7 +1,71 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read by the next.
+
+Quality removes what the classifier rejects; near dedup keeps one document of
+each group; decontamination removes documents that the benchmark's passages
+fill; mixing brings the sources to their weights; the last stage writes token
+ids and returns their digests.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from trafficlens.llm import decontaminate, mixing, near_dedup, quality, tokens
+from trafficlens.llm.common import free_name, stored, table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores at its floor or above; labels come from ``labels``."""
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    score = free_name(docs, "score")
+    return quality.scored(docs, model, score=score).where(F.col(score) >= quality.FLOOR).drop(score)
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is not among ``ids``.
+
+    The ids are read back from files, so that Spark knows their size and
+    broadcasts them only if they are few; otherwise both sides are shuffled.
+    """
+    return docs.join(stored(ids.distinct(), "dropped"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group of near copies: shingles of five words, similarity 0.8."""
+    groups = near_dedup.NearDuplicates(docs, width=5).groups()
+    return _without(docs, groups.where("not kept").select("doc_id"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth of the words stand in benchmark windows."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.where("contaminated").select("doc_id"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes, as documents: once, twice, or in part."""
+    return mixing.Mix(docs).documents()
+
+
+def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests read back from the token table."""
+    return tokens.encode_corpus(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("MinHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing sources to target weights", mix_sources),
+    ("token-ID output", write_ids),
+]
+
+#: The classifier, the permutations of the mix and the tokenizer have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
+    return docs

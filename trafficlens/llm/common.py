@@ -32,6 +32,14 @@ def columns(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*[F.col(f"`{column}`").alias(name) for name, column in names.items()])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the same with underscores where the table has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(texts: pa.Array, most: int = 1 << 21):
     """Row ranges of an Arrow string column with about ``most`` bytes each.
 

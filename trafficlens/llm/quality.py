@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import U64, Rolling, columns, filled, mix64, slices, utf8, word_bounds
+from .common import U64, Rolling, columns, filled, free_name, mix64, slices, utf8, word_bounds
 
 FEATURES = (
     "log_words", "word_length", "upper", "symbols", "stops", "digits", "wide", "repeats", "distinct", "top_word",
@@ -223,28 +223,30 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     return fit(x[order], y[order])
 
 
-def _scorer(model, rest: list[str]):
+def _scorer(model, texts: str, keep: list[str], score: str):
     def rows(batches):
         for batch in batches:
-            texts = filled(batch.column("_text"))
-            scores = [model.value.score(text_features(texts.slice(a, b - a))) for a, b in slices(texts)]
+            texts_ = filled(batch.column(texts))
+            scores = [model.value.score(text_features(texts_.slice(a, b - a))) for a, b in slices(texts_)]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in rest], pa.array(np.concatenate([np.zeros(0), *scores]))], [*rest, "_score"])
+                [*[batch.column(c) for c in keep], pa.array(np.concatenate([np.zeros(0), *scores]))], [*keep, score])
 
     return rows
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns of ``keep`` (all if None) and ``_score`` of every row.
+def scored(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None,
+           score: str = "score") -> DataFrame:
+    """The columns of ``keep`` (all if None) and the score of every row, as a column named ``score``.
 
     Null and empty texts are scored like a text without words.
     """
-    keep = docs.columns if keep is None else keep
-    if {"_score", "_text"} & set(docs.columns):
-        raise ValueError("the input has a column named _score or _text")
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("_score", T.DoubleType())])
-    return rows.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), list(keep)), schema)
+    keep = list(docs.columns if keep is None else keep)
+    if score in keep:
+        raise ValueError(f"the input has a column {score}; name another one")
+    texts = free_name(docs, "text")
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(texts))
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(score, T.DoubleType())])
+    return rows.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), texts, keep, score), schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", *,
@@ -256,5 +258,5 @@ def quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
     """
     model = learn(docs, labels, id, text, label, sample=sample)
     rows = scored(columns(docs, doc_id=id, text=text), model, keep=["doc_id"])
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"),
-                       (F.col("_score") >= floor).cast("int").alias("predicted"))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                       (F.col("score") >= floor).cast("int").alias("predicted"))
