@@ -25,11 +25,11 @@ from .common import columns, filled, slices
 
 BLOCK_IDS = 1 << 16
 END_ID = 0
-POOL = 400_000
+POOL = 800_000
 
 #: Characters that a tokenizer may count as white space although str.isspace does not.
 _ODD = "᠎​﻿"
-_WHITE = re.compile(f"[\\s{_ODD}]")
+_WHITE = frozenset({chr(c) for c in range(0x3001) if chr(c).isspace()} | set(_ODD))
 _CUT = re.compile(f"(?<=[^\\s{_ODD}]) (?=[^\\s{_ODD}])")
 
 SCHEMA = "part int, block int, docs array<bigint>, ends array<bigint>, bits int, packed binary"
@@ -62,20 +62,35 @@ def unpack(packed: bytes, bits: int, first: int, last: int) -> np.ndarray:
 
 
 class _Numbers(dict):
-    def __init__(self, number):
-        self.number = number
+    """Numbers given to keys in the order they come up."""
+
+    def __init__(self, owner, lead: str):
+        self.owner, self.lead, self.new = owner, lead, []
 
     def __missing__(self, key: str) -> int:
-        n = self[key] = self.number(key)
+        n = self[key] = self.owner.count
+        self.owner.count = n + 1
+        self.new.append((n, key))
         return n
 
 
+class _After(_Numbers):
+    """As above; -1 for a piece with white space at an end, where the cut isn't one."""
+
+    def __missing__(self, key: str) -> int:
+        if not key or key[0] in _WHITE or key[-1] in _WHITE:
+            self[key] = -1
+            return -1
+        return super().__missing__(key)
+
+
 class Pieces:
     """Ids of text pieces, each encoded once by the tokenizer.
 
-    A byte-level BPE splits a text before a single space that stands between
-    two characters other than white space, so the pieces between such spaces
-    can be encoded alone. Beyond ``POOL`` pieces the memory starts anew.
+    A byte-level BPE splits a text before a single space and around a single
+    line end that stand between two characters other than white space, so the
+    pieces between such places can be encoded alone. Beyond ``POOL`` pieces the
+    memory starts anew.
     """
 
     def __init__(self, path: str):
@@ -84,40 +99,66 @@ class Pieces:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
+        self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # a token's letters stand for one byte each
+        for token, n in self.tokenizer.get_vocab().items():
+            self.bytes_of[n] = len(token)
         self.reset()
 
     def reset(self):
-        self.new: list[str] = []
         self.count = 0
-        self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        self.whole = _Numbers(self._number)
-        # pieces after a space; -1 where white space touches the cut, so that it isn't one
-        self.after = _Numbers(lambda x: -1 if not x or _WHITE.match(x[0]) or _WHITE.match(x[-1]) else self.whole[" " + x])
-
-    def _number(self, piece: str) -> int:
-        self.new.append(piece)
-        self.count += 1
-        return self.count - 1
+        self.flat = np.zeros(0, np.uint32)
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.whole = _Numbers(self, "")
+        self.after = _After(self, " ")
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        coded = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        return np.fromiter(itertools.chain.from_iterable(coded), np.uint32, sizes.sum()), sizes
+
+    def _joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts that start with a space, many in one call; the tokens' bytes tell where each ends."""
+        runs = ["".join(texts[i:i + 256]) for i in range(0, len(texts), 256)]
+        ids, _ = self._ids(runs)
+        ends = np.cumsum(np.fromiter((len(x.encode("utf-8", "replace")) for x in texts), np.int64, len(texts)))
+        reached = np.cumsum(self.bytes_of[ids])
+        at = np.searchsorted(reached, ends)
+        if len(ends) and (reached[-1] != ends[-1] or (reached[at] != ends).any()):
+            return self._ids(texts)  # a special token inside, or another kind of tokenizer
+        return ids, np.diff(at + 1, prepend=0)
 
     def _settle(self):
         """Encode the pieces that were new."""
-        if self.new:
-            coded = [x.ids for x in self.tokenizer.encode_batch_fast(self.new, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-            flat = np.fromiter(itertools.chain.from_iterable(coded), np.uint32, sizes.sum())
-            self.flat = np.concatenate([self.flat, flat])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
-            self.new = []
+        flat, first, size = [self.flat], [self.first], [self.size]
+        grown = np.zeros(self.count - len(self.first), np.int64)
+        starts, sizes, base = grown.copy(), grown.copy(), len(self.flat)
+        for table, encode in ((self.whole, self._ids), (self.after, self._joined)):
+            if table.new:
+                at = np.array([n for n, _ in table.new]) - len(self.first)
+                ids, own = encode([table.lead + key for _, key in table.new])
+                starts[at], sizes[at] = base + np.cumsum(own) - own, own
+                base += len(ids)
+                flat.append(ids)
+                table.new = []
+        if len(grown):
+            self.flat = np.concatenate(flat)
+            self.first, self.size = np.concatenate([*first, starts]), np.concatenate([*size, sizes])
 
     def _pieces(self, text: str) -> list[int]:
         if not text:
             return []
-        first, *rest = text.split(" ")
-        found = list(map(self.after.__getitem__, rest))
-        if first and not _WHITE.match(first[-1]) and -1 not in found:
-            return [self.whole[first], *found]
-        first, *rest = _CUT.split(text)
-        return [self.whole[first], *[self.whole[" " + x] for x in rest]]
+        out = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            found = list(map(self.after.__getitem__, rest))
+            if not first or first[0] in _WHITE or first[-1] in _WHITE or -1 in found:
+                first, *rest = _CUT.split(text)
+                return [self.whole[first], *[self.whole[" " + x] for x in rest]]
+            if out:
+                out.append(self.whole["\n"])
+            out.append(self.whole[first])
+            out += found
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and the number of ids of each."""
@@ -126,7 +167,7 @@ class Pieces:
         found = [self._pieces(text) for text in texts]
         self._settle()
         index = np.fromiter(itertools.chain.from_iterable(found), np.int64)
-        first, size = self.at[index], self.at[index + 1] - self.at[index]
+        first, size = self.first[index], self.size[index]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(first - ends + size, size) + np.arange(size.sum())]
         ends = np.concatenate([[0], ends])[np.cumsum([0, *map(len, found)])]
