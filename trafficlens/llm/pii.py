@@ -31,6 +31,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 CHAIN, SAME, ALIKE = range(3)
 SAMPLE, TURNS, SURE, SMOOTH = 20_000, 12, 0.9, 0.5
+#: Pairs of agreeing labels that skip factors start from, before any evidence.
+AGREE = {SAME: 20.0, ALIKE: 4.0}
 #: No mail address has a longer part before or after the @ in a mention that isn't a base span.
 MAIL_PART = 64
 
@@ -180,8 +182,8 @@ class Field:
         self.tables = np.zeros((3, n, n))
         for kind in range(3):
             table = SMOOTH * np.outer(prior, prior) * n
-            if kind != CHAIN:
-                table = table + SMOOTH * np.diag(prior)  # before any evidence, like mentions agree
+            if kind in AGREE:
+                table = table + AGREE[kind] * np.diag(prior)
             for (k, a, b), count in pairs.items():
                 if k == kind:
                     table[a, b] += count

@@ -11,8 +11,13 @@ its first ``depth``, and an array is sorted by them.
 Documents arrive in batches. Each batch gets its array, which is merge-scanned
 against the arrays of the family: suffixes that meet an equal one start a match
 of ``depth`` bytes or more. Arrays of one size merge into the next level.
-Where such matches start, every string of ``length`` bytes is counted by a hash
-of all its bytes.
+
+The strings that one suffix marks start side by side, at a run of places, and
+equal strings are marked by equal suffixes. So runs are compared per suffix:
+runs equal in whole by a hash of all their bytes, others with the most frequent
+run of the suffix, extending the match to both sides. A place that is not
+matched there can only match another such place; these are counted by a hash of
+all bytes of their string.
 """
 
 from __future__ import annotations
@@ -101,24 +106,38 @@ class Strings:
             head = (head << 8) | self.raw[place + i]
         return place, head ^ np.int64(-1 << 63), self.rolling.of(place, place + self.depth).view(np.int64)
 
-    def chosen(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and hash of the strings marked by the suffixes at ``places``."""
-        flags = np.zeros(len(self.raw) + 1, bool)
-        flags[places] = True
-        start = self.start[flags[self.mark]]
-        return start, self.rolling.of(start, start + self.length).view(np.int64)
+    def runs(self) -> np.ndarray:
+        """First and last string of each run of strings with one mark, as positions in ``start``."""
+        cut = np.flatnonzero(self.mark[1:] != self.mark[:-1]) + 1
+        return np.concatenate([[0], cut])[:len(self.start)], np.concatenate([cut, [len(self.mark)]])[:len(self.start) or 0] - 1
+
+    def kinds(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Hash of all bytes of each run, of its length and of the place of its suffix."""
+        a, b = self.start[first], self.start[last] + self.length
+        return mix64(self.rolling.of(a, b) + mix64((self.mark[first] - a).astype(U64))).view(np.int64)
+
 
+def _parts(texts: pa.Array, length: int, depth: int):
+    """(first text, strings, offsets, place of the first byte in its text) of slices and of parts of long texts.
 
-def _parts(texts: pa.Array, length: int):
-    """(first text, bytes, offsets, place of the first byte in its text) of slices and of parts of long texts."""
+    A part of a long text ends before its last run, with which the next begins.
+    """
     for low, high in slices(texts):
         raw, at = utf8(texts.slice(low, high - low))
         if high - low > 1 or len(raw) <= PART:
-            yield low, raw, at, 0
+            yield low, Strings(raw, at, length, depth), at, 0
             continue
-        for first in range(0, len(raw), PART):
-            piece = raw[first:first + PART + length - 1]
-            yield low, piece, np.array([0, len(piece)]), first
+        begin = 0
+        while True:
+            piece = raw[begin:begin + PART + length]
+            strings, bounds = Strings(piece, np.array([0, len(piece)]), length, depth), np.array([0, len(piece)])
+            if begin + len(piece) >= len(raw):
+                yield low, strings, bounds, begin
+                break
+            left = int(np.searchsorted(strings.mark, strings.mark[-1]))
+            strings.start, strings.mark, step = strings.start[:left], strings.mark[:left], int(strings.start[left])
+            yield low, strings, bounds, begin
+            begin += step
 
 
 def _sha(texts: pa.Array) -> list[bytes]:
@@ -155,9 +174,9 @@ def _suffix_rows(length: int, depth: int, batches_of: int, bits):
     def rows(batches):
         for batch in batches:
             texts, names, _ = _wanted(batch, bits)
-            for first, raw, at, _ in _parts(texts, length):
-                place, head, key = Strings(raw, at, length, depth).suffixes()
-                own = names[first + np.searchsorted(at, place, "right") - 1, 0]
+            for low, strings, at, _ in _parts(texts, length, depth):
+                place, head, key = strings.suffixes()
+                own = names[low + np.searchsorted(at, place, "right") - 1, 0]
                 table = pa.table({"batch": pa.array(own % batches_of, pa.int32()), "head": head, "key": key})
                 table = table.group_by(["batch", "head", "key"]).aggregate([([], "count_all")])
                 yield from table.rename_columns(["batch", "head", "key", "many"]).to_batches()
@@ -165,18 +184,91 @@ def _suffix_rows(length: int, depth: int, batches_of: int, bits):
     return rows
 
 
-def _string_rows(length: int, depth: int, bits, marks):
+def _run_rows(length: int, depth: int, bits, marks):
+    """The runs of suffixes that the bitmap of matches holds."""
     def rows(batches):
         for batch in batches:
             texts, names, _ = _wanted(batch, bits)
-            for first, raw, at, begin in _parts(texts, length):
-                strings = Strings(raw, at, length, depth)
-                place, _, key = strings.suffixes()
-                start, hashes = strings.chosen(place[may_hold(marks.value, key)])
+            for low, strings, at, begin in _parts(texts, length, depth):
+                key = strings.suffixes()[2]
+                some = np.flatnonzero(may_hold(marks.value, key))
+                first, last = (x[some] for x in strings.runs())
+                start = strings.start[first]
                 own = np.searchsorted(at, start, "right") - 1
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(names[first + own, 0]), pa.array(names[first + own, 1]),
-                    pa.array(start - at[own] + begin, pa.int64()), pa.array(hashes)], ["d1", "d2", "start", "h"])
+                    pa.array(names[low + own, 0]), pa.array(names[low + own, 1]),
+                    pa.array(start - at[own] + begin, pa.int64()), pa.array(last - first + 1, pa.int32()),
+                    pa.array(key[some]), pa.array(strings.kinds(first, last))], ["d1", "d2", "start", "n", "key", "kind"])
+
+    return rows
+
+
+def _context_rows(length: int, depth: int, bits, kinds):
+    """The bytes of the runs whose kind the bitmap holds, each kind once per slice."""
+    def rows(batches):
+        for batch in batches:
+            texts, _, _ = _wanted(batch, bits)
+            for _, strings, _, _ in _parts(texts, length, depth):
+                key = strings.suffixes()[2]
+                first, last = strings.runs()
+                kind = strings.kinds(first, last)
+                some = np.unique(kind, return_index=True)[1]
+                some = some[may_hold(kinds.value, kind[some])]
+                a, b = strings.start[first[some]], strings.start[last[some]] + length
+                held = [strings.raw[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist())]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(key[some]), pa.array(kind[some]), pa.array(strings.mark[first[some]] - a, pa.int32()),
+                    pa.array(held, pa.binary())], ["key", "kind", "at", "held"])
+
+    return rows
+
+
+def _aligned(held, at: np.ndarray, left: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of bytes with their suffixes at column ``left``; 256 stands where a row has no byte. And the rows' sizes."""
+    out = np.full((len(at), width), 256, np.int16)
+    sizes = np.zeros(len(at), np.int64)
+    for i, (x, a) in enumerate(zip(held, at.tolist())):
+        x = np.frombuffer(x.as_buffer(), np.uint8)
+        sizes[i] = len(x)
+        out[i, left - a:left - a + len(x)] = x
+    return out, sizes
+
+
+def _compared(length: int, depth: int):
+    """Runs against the most frequent run of their suffix: matched places of both, and hashes of the run's other places."""
+    left = length - depth - GRAM + 2
+
+    def pieces(batch):
+        for low in range(0, batch.num_rows, 2000):
+            yield batch.slice(low, 2000)
+
+    def rows(batches):
+        for batch in (p for b in batches for p in pieces(b)):
+            at, hub_at = batch.column("at").to_numpy(), batch.column("hub_at").to_numpy()
+            own, size = _aligned(batch.column("held"), at, left, left + length)
+            hub, hub_size = _aligned(batch.column("hub_held"), hub_at, left, left + length)
+            same = (own == hub) & (own < 256)
+            before = np.where(same[:, :left].all(1), left, np.argmin(same[:, :left][:, ::-1], axis=1))
+            after = np.where(same[:, left:].all(1), length, np.argmin(same[:, left:], axis=1))
+            low, high = np.maximum(at - before, 0), np.minimum(at + after - length, size - length)
+            shift = hub_at - at
+            some = high >= low
+            hashes, places = [], []
+            for i, x in enumerate(batch.column("held")):
+                rest = np.arange(size[i] - length + 1) if batch.column("kinds")[i].as_py() > 2 else np.zeros(0, int)
+                if some[i]:
+                    rest = rest[(rest < low[i]) | (rest > high[i])]
+                places.append(rest)
+                hashes.append(Rolling(np.frombuffer(x.as_buffer(), np.uint8).astype(U64)).of(rest, rest + length)
+                              if len(rest) else np.zeros(0, U64))
+            ends = np.cumsum([0, *map(len, places)]).astype(np.int32)
+            flat = [np.concatenate([np.zeros(0, t), *x]) for x, t in ((places, int), (hashes, U64))]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("key"), batch.column("kind"), batch.column("hub"),
+                *[pa.array(np.where(some, x, -1), pa.int32()) for x in (low, high, low + shift, high + shift)],
+                pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(
+                    [pa.array(flat[0], pa.int32()), pa.array(flat[1].view(np.int64))], ["place", "h"]))],
+                ["key", "kind", "hub", "low", "high", "hub_low", "hub_high", "rest"])
 
     return rows
 
@@ -195,10 +287,10 @@ def _cut(length: int):
     def rows(batches):
         for batch in batches:
             removed, spans, digests = [], [], []
-            for raw, starts in zip(batch.column("raw"), batch.column("starts")):
-                raw, starts = np.frombuffer(raw.as_buffer(), np.uint8), np.sort(starts.values.to_numpy())
-                steps = np.bincount(starts, minlength=len(raw) + 1)[:len(raw) + 1].astype(np.int64)
-                steps[length:] -= np.bincount(starts, minlength=len(raw) + 1)[:len(raw) + 1 - length]
+            for raw, found in zip(batch.column("raw"), batch.column("spans")):
+                raw = np.frombuffer(raw.as_buffer(), np.uint8)
+                first, last = (found.values.field(k).to_numpy() for k in ("first", "last"))
+                steps = np.bincount(first, minlength=len(raw) + 1) - np.bincount(last + length, minlength=len(raw) + 1)
                 gone = np.cumsum(steps)[:len(raw)] > 0
                 removed.append(int(gone.sum()))
                 spans.append(int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()))
@@ -211,7 +303,7 @@ def _cut(length: int):
 
 
 class Repeats:
-    """The search over ``docs``; ``report`` gives a row per document, ``starts`` the repeated strings.
+    """The search over ``docs``; ``report`` gives a row per document, ``spans`` where repeated strings start.
 
     Documents that are wholly equal are told by their digest: with ``length``
     bytes or more all of them go, and one of them stands for all in the search.
@@ -252,14 +344,36 @@ class Repeats:
             out = out.union(table)
         return out
 
-    def starts(self) -> DataFrame:
-        """(d1, d2, start): the repeated strings of each distinct text."""
-        bits = self._bits(self.groups)
-        marks = self._broadcast(bitmap(self.matches(bits), "key"))
-        strings = stored(self.rows.mapInArrow(
-            _string_rows(self.length, self.depth, bits, marks), "d1 bigint, d2 bigint, start bigint, h bigint"), "strings")
-        many = strings.groupBy("h").agg(F.count("*").alias("many")).where("many > 1").select("h")
-        return strings.join(many, "h").select("d1", "d2", "start")
+    def spans(self) -> DataFrame:
+        """(d1, d2, first, last): ranges of places in each distinct text where a repeated string starts."""
+        own = self._bits(self.groups)
+        marks = self._broadcast(bitmap(self.matches(own), "key"))
+        runs = stored(self.rows.mapInArrow(
+            _run_rows(self.length, self.depth, own, marks),
+            "d1 bigint, d2 bigint, start bigint, n int, key bigint, kind bigint"), "repeat-runs")
+        kinds = stored(runs.groupBy("key", "kind").agg(F.count("*").alias("many"), F.any_value("n").alias("n")), "repeat-kinds")
+        hubs = kinds.groupBy("key").agg(
+            F.count("*").alias("kinds"), F.max(F.struct("many", "kind")).getField("kind").alias("hub")).where("kinds > 1")
+        several = stored(kinds.join(hubs, "key").select("key", "kind", "kinds", "hub"), "repeat-several")
+        wanted = self._broadcast(bitmap(several, "kind"))
+        texts = self.rows.mapInArrow(_context_rows(self.length, self.depth, own, wanted),
+                                     "key bigint, kind bigint, at int, held binary")
+        # a kind's bytes once, from whatever text
+        texts = texts.groupBy("key", "kind").agg(F.any_value(F.struct("at", "held")).alias("run"))
+        texts = stored(texts.join(several, ["key", "kind"]).select("key", "kind", "kinds", "hub", "run.*"), "repeat-texts")
+        hub = texts.where("kind = hub").select("key", F.col("at").alias("hub_at"), F.col("held").alias("hub_held"))
+        compared = stored(texts.where("kind <> hub").join(hub, "key").mapInArrow(
+            _compared(self.length, self.depth),
+            "key bigint, kind bigint, hub bigint, low int, high int, hub_low int, hub_high int, "
+            "rest array<struct<place:int,h:bigint>>"), "repeat-compared")
+        rest = compared.select("key", "kind", F.explode("rest").alias("x")).select("key", "kind", "x.*")
+        again = rest.groupBy("h").agg(F.count("*").alias("many")).where("many > 1").select("h")
+        found = kinds.where("many > 1").select("key", "kind", F.lit(0).alias("low"), (F.col("n") - 1).alias("high"))
+        found = found.union(compared.where("low >= 0").select("key", "kind", "low", "high"))
+        found = found.union(compared.where("low >= 0").select("key", "hub", "hub_low", "hub_high").distinct())
+        found = found.union(rest.join(again, "h").select("key", "kind", "place", F.col("place").alias("same")))
+        return runs.join(found, ["key", "kind"]).select(
+            "d1", "d2", (F.col("start") + F.col("low")).alias("first"), (F.col("start") + F.col("high")).alias("last"))
 
     def report(self) -> DataFrame:
         """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
@@ -270,7 +384,7 @@ class Repeats:
         """
         by = ["d1", "d2"]
         single = self.groups.where("many = 1").drop("many")
-        spans = self.starts().groupBy(*by).agg(F.collect_set("start").alias("starts"))
+        spans = self.spans().groupBy(*by).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
         spans = stored(single.join(spans, by), "repeat-spans")
         texts = self.rows.mapInArrow(_text_rows(self._bits(spans)), "id bigint, d1 bigint, d2 bigint, raw binary")
         cut = texts.join(spans.drop("id"), by).mapInArrow(
