@@ -32,12 +32,12 @@ SCAN = SequencePattern(
     "endpoint_scanning", ("/api/products", "/api/cart", "/login", "/api/payment"), DAY_MS // 2, 0.95)
 PARALLEL = ParallelPattern("parallel_requests", 3, DAY_MS, 0.85)
 LOGINS = SequencePattern("credential_stuffing", ("/login", "/login", "/login"), DAY_MS, 0.9)
-SHORT = BehaviorConfig(history_seconds=HISTORY, rapid_gap_seconds=600, patterns=(CHECKOUT,))
-DAY = BehaviorConfig(history_seconds=86_400, rapid_gap_seconds=600, patterns=(CHECKOUT, SCAN, PARALLEL, LOGINS))
+SHORT = BehaviorConfig(history_seconds=HISTORY, max_history=100, rapid_gap_seconds=600, patterns=(CHECKOUT,))
+DAY = BehaviorConfig(history_seconds=86_400, max_history=100, rapid_gap_seconds=600, patterns=(CHECKOUT, SCAN, PARALLEL, LOGINS))
 
 
 def only(pattern) -> BehaviorConfig:
-    return BehaviorConfig(history_seconds=86_400, rapid_gap_seconds=600, patterns=(pattern,))
+    return BehaviorConfig(history_seconds=86_400, max_history=100, rapid_gap_seconds=600, patterns=(pattern,))
 
 
 def session(spark: SparkSession) -> SparkSession:

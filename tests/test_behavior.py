@@ -50,7 +50,8 @@ def test_history_edges(make_log):
     got = behavior.with_history(make_log(rows)).orderBy("request_id").collect()
     assert [[h.endpoint for h in r.history] for r in got] == [["/a"], ["/a", "/b"], ["/b", "/c"]]
     many = [(0.1 * i, "u", f"/{i}") for i in range(101)]
-    last = behavior.with_history(make_log(many)).where("request_id = 100").first()
+    assert len(behavior.with_history(make_log(many)).where("request_id = 100").first().history) == 101
+    last = behavior.with_history(make_log(many), BehaviorConfig(max_history=100)).where("request_id = 100").first()
     assert len(last.history) == 100 and last.history[0].endpoint == "/1"
 
 
@@ -65,7 +66,7 @@ def test_blocks_do_not_change_features(make_log):
     rows = [(round(rng.random() * 300, 3), "u", rng.choice(["/a", "/b"])) for _ in range(300)]
     log = make_log(rows)
     plain, cut = (behavior.behavior_features(log, BehaviorConfig(max_history=20, **x)).drop("traffic_type")
-                  .orderBy("request_id").collect() for x in ({}, {"dense_rows": 10, "block_rows": 25}))
+                  .orderBy("request_id").collect() for x in ({}, {"block_rows": 25}))
     assert plain == cut and len(cut) == 300
 
 
@@ -75,12 +76,12 @@ def brute(rows, cfg):
     for t, user, endpoint in rows:
         history = seen.setdefault(user, [])
         history.append((round(t * 1e6), endpoint))
-        recent = [h for h in history[-cfg.max_history:] if h[0] >= round(t * 1e6) - cfg.history_seconds * 10**6]
+        recent = [h for h in history[-(cfg.max_history or 0):] if h[0] >= round(t * 1e6) - cfg.history_seconds * 10**6]
         out.append(sorted(p.name for p in cfg.patterns if len(recent) > 1 and _matches(p, recent)))
     return out
 
 
-@pytest.mark.parametrize("dense", [{}, {"dense_rows": 5, "block_rows": 8}])
+@pytest.mark.parametrize("dense", [{}, {"block_rows": 8}, {"max_history": None}])
 def test_patterns_equal_brute_force(make_log, dense):
     rng = random.Random(3)
     ends = ["/a", "/b", "/c", "/login"]
@@ -88,7 +89,7 @@ def test_patterns_equal_brute_force(make_log, dense):
     for _ in range(600):
         t += rng.choice([0.2, 1.0, 7.0, 90.0])
         rows.append((round(t, 3), rng.choice(["u", "v"]), rng.choice(ends)))
-    cfg = BehaviorConfig(history_seconds=20, max_history=6, **dense, patterns=(
+    cfg = BehaviorConfig(**{"history_seconds": 20, "max_history": 6, **dense}, patterns=(
         SequencePattern("seq", ("/a", "/b", "/c"), 9000, 0.9), SequencePattern("login", ("/login",) * 2, 5000, 0.8),
         ParallelPattern("par", 3, 6000, 0.7)))
     got = [sorted(s[2]) for s in scores(make_log(rows), cfg)]
@@ -130,7 +131,7 @@ def test_heavy_user_split_keeps_gaps(make_log):
         t += rng.choice([0.0, 1.0, 30.0, 200.0])
         rows.append((t, rng.choice(["hot"] * 9 + ["cold"]), "/a"))
     log = make_log(rows)
-    split = behavior.user_time_delta(log, min_rows=10, max_heavy=3).orderBy("request_id").collect()
+    split = behavior.user_time_delta(log, split_seconds=7).orderBy("request_id").collect()
     last, want = {}, []
     for t, user, _ in rows:
         want.append(None if user not in last else t - last[user])
@@ -149,3 +150,15 @@ def test_matcher_counts_repeats():
     login = SequencePattern("l", ("/login", "/login"), 1000, 1.0)
     assert _matches(login, [(0, "/login"), (1, "/login")]) and not _matches(login, [(0, "/login"), (1, "/a")])
     assert Counter(login.endpoints)["/login"] == 2
+
+
+def test_an_outlier_leaves_no_trace_in_the_mean(make_log):
+    rows = [(0.0, "u", "/a", {"response_time": 1e15})] + [(70.0 + i, "u", "/a", {"response_time": 1.1}) for i in range(5)]
+    got = trailing_features(make_log(rows)).orderBy("request_id").collect()
+    assert [r.avg_response_time for r in got[1:]] == pytest.approx([1.1] * 5, abs=1e-12)
+
+
+def test_lonely_request_has_no_parallel_pattern(make_log):
+    cfg = BehaviorConfig(history_seconds=60, patterns=(ParallelPattern("par", 1, 1000, 0.7),))
+    got = scores(make_log([(0.0, "u", "/a"), (1.0, "u", "/a")]), cfg)
+    assert [list(s[2]) for s in got] == [[], ["par"]]

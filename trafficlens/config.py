@@ -97,10 +97,10 @@ DEFAULT_PATTERNS = (RAPID_CHECKOUT, ENDPOINT_SCANNING, PARALLEL_REQUESTS, CREDEN
 @dataclass(frozen=True)
 class BehaviorConfig:
     history_seconds: int = 60
-    max_history: int = 100
+    # only the newest rows of the history, as a bounded buffer has them; None: all
+    max_history: int | None = None
     rapid_gap_seconds: float = 0.1
-    # a user's chunk with more rows than this is cut into blocks
-    dense_rows: int = 100_000
+    # with max_history, users are cut into blocks of this many rows
     block_rows: int = 10_000
     patterns: tuple = DEFAULT_PATTERNS
 

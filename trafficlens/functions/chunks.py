@@ -8,9 +8,9 @@ length:
   are copied into the following one, so each chunk sees its own look-back.
 * ``running_sum`` / ``carried_lag``: for unbounded frames. One seed row per
   chunk carries the state left by the earlier chunks.
-* ``heavy_key_chunk``: chunks only the few keys that are too large for a task.
-* ``split_dense``: cuts the few chunks that are still too large into blocks of
-  rows, for frames that reach back a limited number of rows.
+* ``time_chunk``: slices of time, for ``running_sum`` and ``carried_lag``.
+* ``row_blocks``: blocks of rows, for frames that reach back a limited number of
+  rows.
 """
 
 from __future__ import annotations
@@ -84,46 +84,21 @@ def carried_lag(df: DataFrame, keys: list[str], chunk: str, order: list[str], co
     )
 
 
-def heavy_key_chunk(df: DataFrame, key: str, ts: str, *, split_seconds: int = 60,
-                    max_heavy: int = 10_000, min_rows: int = 1_000_000) -> DataFrame:
-    """Add ``_chunk``: time slices for heavy keys, 0 for all others.
-
-    A key is heavy when it holds more than ``rows / max_heavy`` rows (and more
-    than ``min_rows``), so there are fewer than ``max_heavy`` of them whatever
-    the data: that bounds the broadcast.
-    """
-    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
-    cut = counts.agg(
-        F.greatest(F.lit(float(min_rows)), F.sum("_n") / F.lit(float(max_heavy)))).scalar()
-    heavy = counts.where(F.col("_n") > cut).select(F.col(key).alias("_heavy_key"), F.lit(True).alias("_heavy"))
-    slice_ = floor_div(F.unix_micros(ts), split_seconds * 1_000_000)
-    return (
-        df.join(F.broadcast(heavy), F.col(key).eqNullSafe(F.col("_heavy_key")), "left")
-        .withColumn(CHUNK, F.when(F.col("_heavy"), slice_).otherwise(F.lit(0)).cast("bigint"))
-        .drop("_heavy_key", "_heavy")
-    )
+def time_chunk(df: DataFrame, ts: str, seconds: int) -> DataFrame:
+    """Add ``_chunk``: the slice of ``seconds`` that a row's time falls in."""
+    return df.withColumn(CHUNK, floor_div(F.unix_micros(ts), seconds * 1_000_000))
 
 
-def split_dense(df: DataFrame, keys: list[str], time: str, order: list[str], *, reach: int, slice_units: int,
-                block: int = 10_000, max_dense: int = 100_000, min_rows: int = 100_000) -> DataFrame:
-    """Add ``_block``: blocks of rows for dense groups, 0 for all others.
+def row_blocks(df: DataFrame, keys: list[str], time: str, order: list[str], *, reach: int, slice_units: int,
+               block: int = 10_000) -> DataFrame:
+    """Add ``_block``: blocks of ``block`` rows of each group.
 
-    ``df`` comes from ``with_lookback`` and is grouped by ``keys``. A group is
-    dense when it holds more than ``rows / max_dense`` rows (and more than
-    ``min_rows``), so fewer than ``max_dense`` keys are broadcast. Its rows get
+    ``df`` comes from ``with_lookback`` and is grouped by ``keys``. Rows get
     dense positions by prefix counts over time slices; the last ``reach`` rows
     of a block are copied into the next.
     """
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    cut = counts.agg(
-        F.greatest(F.lit(float(min_rows)), F.sum("_n") / F.lit(float(max_dense)))).scalar()
-    dense = F.broadcast(counts.where(F.col("_n") > cut).select(*[F.col(k).alias(f"_d_{k}") for k in keys]))
-    same = [F.col(k).eqNullSafe(F.col(f"_d_{k}")) for k in keys]
-    light = df.join(dense, same, "left_anti").withColumn(BLOCK, F.lit(0).cast("bigint"))
-    heavy = df.join(dense, same, "left_semi").withColumn("_slice", floor_div(F.col(time), slice_units))
-    heavy = running_sum(heavy, keys, "_slice", order, {"_at": F.lit(1)})
+    df = running_sum(df.withColumn("_slice", floor_div(F.col(time), slice_units)), keys, "_slice", order, {"_at": F.lit(1)})
     first = floor_div(F.col("_at") - 1, block)
     last = floor_div(F.col("_at") - 1 + F.lit(reach), block)
-    heavy = heavy.withColumn(BLOCK, F.explode(F.sequence(first, last))).withColumn(
+    return df.withColumn(BLOCK, F.explode(F.sequence(first, last))).withColumn(
         OWN, F.col(OWN) & (F.col(BLOCK) == first)).drop("_slice", "_at")
-    return light.unionByName(heavy)

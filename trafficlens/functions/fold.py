@@ -28,11 +28,14 @@ def _run(df: DataFrame, key: str, position: str, size: int, *, start, table, cha
     """The three passes shared by both folds; ``df`` has a dense position."""
     cut = _chunked(df, position, size)
 
+    def _with_key(rest: str) -> T.StructType:
+        return T.StructType([df.schema[key], *T._parse_datatype_string(rest).fields])
+
     def build(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({key: [group[0]], CHUNK: [group[1]], "_table": [table(pdf.sort_values(position))]})
 
     tables = cut.groupBy(key, CHUNK).applyInPandas(
-        build, f"{key} string, {CHUNK} bigint, _table {table_type}")
+        build, _with_key(f"{CHUNK} bigint, _table {table_type}"))
 
     def link(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(CHUNK)
@@ -42,7 +45,7 @@ def _run(df: DataFrame, key: str, position: str, size: int, *, start, table, cha
             state = chain(one, state)
         return pd.DataFrame({key: pdf[key], CHUNK: pdf[CHUNK], "_start": states})
 
-    starts = tables.groupBy(key).applyInPandas(link, f"{key} string, {CHUNK} bigint, _start {state_type}")
+    starts = tables.groupBy(key).applyInPandas(link, _with_key(f"{CHUNK} bigint, _start {state_type}"))
     schema = T.StructType([*df.schema.fields, output])
 
     def replay(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

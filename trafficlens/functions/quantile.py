@@ -12,24 +12,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ACCURACY = 10_000
-MARGIN = 5.0 / ACCURACY
+#: Distances of the marks from the wanted probability; the last reaches the ends.
+STEPS = [5.0 / ACCURACY * 2**i for i in range(12)]
 
 
 def bracket(value: Column, p: float) -> Column:
     """Aggregate: two values with the order statistics of ``p`` between them.
 
-    Small groups are covered by the minimum and maximum, because the sketch
-    may be off by one rank there.
+    The sketch is off by at most n / ACCURACY ranks. The nearest marks that are
+    two ranks farther from the wanted one than that are taken.
     """
-    probs = [max(0.0, p - MARGIN), min(1.0, p + MARGIN)]
-    marks = F.percentile_approx(value, probs, ACCURACY)
+    below = F.percentile_approx(value, [max(0.0, p - s) for s in STEPS], ACCURACY)
+    above = F.percentile_approx(value, [min(1.0, p + s) for s in STEPS], ACCURACY)
     n = F.count(value)
-    small = n < F.lit(2 * ACCURACY)
-    return F.struct(
-        n.alias("n"),
-        F.when(small, F.min(value)).otherwise(marks[0]).alias("low"),
-        F.when(small, F.max(value)).otherwise(marks[1]).alias("high"),
-    )
+    step = F.ceil(F.log2((n / F.lit(float(ACCURACY)) + 2) / (n * F.lit(STEPS[0]))))
+    mark = F.greatest(F.lit(1), F.least(F.lit(len(STEPS)), step + 1)).cast("int")
+    return F.struct(n.alias("n"), F.element_at(below, mark).alias("low"), F.element_at(above, mark).alias("high"))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:

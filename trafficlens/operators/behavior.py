@@ -1,10 +1,10 @@
 """Cross-endpoint behaviour of users: request gaps, histories, bot patterns.
 
-The history of a request is the newest ``max_history`` requests of its user,
-itself included, that are at most ``history_seconds`` old. It never reaches
-beyond that age, so users are cut into time chunks with a copied look-back and
-even a user with most of the traffic spreads over many tasks. It also has a limited
-number of rows, so a chunk that is still too dense is cut into blocks of rows.
+The history of a request is all requests of its user, itself included, that are
+at most ``history_seconds`` old; with ``max_history`` only the newest of these. It
+never reaches beyond that age, so users are cut into time chunks with a copied
+look-back and even a user with most of the traffic spreads over many tasks. With
+``max_history`` the chunks are cut into blocks of rows as well.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import REQUEST_DEFAULTS, BehaviorConfig, ParallelPattern, SequencePattern
-from ..functions.chunks import BLOCK, CHUNK, carried_lag, heavy_key_chunk, own_rows, split_dense, with_lookback
+from ..functions.chunks import BLOCK, CHUNK, carried_lag, own_rows, row_blocks, time_chunk, with_lookback
 from ..functions.columns import micros, or_zero, with_defaults
 from .windows import KEY, assign_windows
 
@@ -23,9 +23,12 @@ CHUNK_HISTORIES = 4
 SLICES = 64
 
 
-def user_time_delta(log: DataFrame, **split) -> DataFrame:
-    """Seconds since the user's previous request (null on the first)."""
-    cut = heavy_key_chunk(log, "user_id", "ts", **split)
+def user_time_delta(log: DataFrame, split_seconds: int = 3600) -> DataFrame:
+    """Seconds since the user's previous request (null on the first).
+
+    Users are cut into slices of ``split_seconds``; each hands its last row on.
+    """
+    cut = time_chunk(log, "ts", split_seconds)
     out = carried_lag(cut, ["user_id"], CHUNK, ["ts", "request_id"], {"prev_time": "ts"})
     return out.withColumn("time_delta", (micros(F.col("ts")) - micros(F.col("prev_time"))) / US).drop(CHUNK)
 
@@ -38,16 +41,20 @@ def window_gap_stats(log: DataFrame, seconds: int) -> DataFrame:
 
 
 def _chunked(log: DataFrame, cfg: BehaviorConfig) -> tuple[DataFrame, Window]:
-    """Users in time chunks with look-back; dense chunks in blocks of rows."""
+    """Users in time chunks with look-back; with ``max_history`` in blocks of rows."""
     reach = cfg.history_seconds * US
     cut = with_lookback(log.withColumn("_t", micros(F.col("ts"))), F.col("_t"), CHUNK_HISTORIES * reach, reach)
-    cut = split_dense(cut, ["user_id", CHUNK], "_t", ["_t", "request_id"], reach=cfg.max_history - 1,
-                      slice_units=max(1, reach // SLICES), min_rows=cfg.dense_rows, block=cfg.block_rows)
+    if cfg.max_history is None:
+        cut = cut.withColumn(BLOCK, F.lit(0).cast("bigint"))
+    else:
+        cut = row_blocks(cut, ["user_id", CHUNK], "_t", ["_t", "request_id"], reach=cfg.max_history - 1,
+                         slice_units=max(1, reach // SLICES), block=cfg.block_rows)
     return cut, Window.partitionBy("user_id", CHUNK, BLOCK).orderBy("_t", "request_id")
 
 
 def _raw_history(w, cfg: BehaviorConfig) -> Column:
-    frame = w.rowsBetween(-(cfg.max_history - 1), 0)
+    oldest = Window.unboundedPreceding if cfg.max_history is None else 1 - cfg.max_history
+    frame = w.rowsBetween(oldest, 0)
     return F.collect_list(F.struct(F.col("_t").alias("t"), "endpoint")).over(frame)
 
 
@@ -81,13 +88,27 @@ def _sequence_match(w, pattern: SequencePattern) -> Column:
 
 
 def _parallel_match(pattern: ParallelPattern) -> Column:
-    """Some endpoint of the history has enough hits, all of them close together."""
-    def crowded(endpoint):
-        times = F.transform(F.filter("history", lambda x: x.endpoint == endpoint), lambda x: x.t)
-        return (F.size(times) >= pattern.min_count) & (
-            F.array_max(times) - F.array_min(times) <= pattern.max_time_ms * 1000)
+    """Some endpoint of a history of two or more has enough hits, all of them close together.
+
+    One pass over the history in the order of endpoint and time; a run of one
+    endpoint counts where it ends.
+    """
+    ordered = F.array_sort(F.transform("history", lambda x: F.struct(x.endpoint.alias("e"), x.t.alias("t"))))
+    limit = pattern.max_time_ms * 1000
+
+    def crowded(run):
+        return (run.n >= pattern.min_count) & (run.last - run.first <= limit)
+
+    def step(run, x):
+        same = run.e.eqNullSafe(x.e) & (run.n > 0)
+        return F.struct(
+            x.e.alias("e"), F.when(same, run.n + 1).otherwise(1).alias("n"),
+            F.when(same, run.first).otherwise(x.t).alias("first"), x.t.alias("last"),
+            (run.hit | (~same & crowded(run))).alias("hit"))
 
-    return F.exists(F.array_distinct(F.transform("history", lambda x: x.endpoint)), crowded)
+    start = F.struct(F.lit(None).cast("string").alias("e"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("first"),
+                     F.lit(0).cast("bigint").alias("last"), F.lit(False).alias("hit"))
+    return (F.size("history") >= 2) & F.aggregate(ordered, start, step, lambda run: run.hit | crowded(run))
 
 
 def match_patterns(log: DataFrame, cfg: BehaviorConfig = BehaviorConfig(), *,
@@ -111,7 +132,8 @@ def match_patterns(log: DataFrame, cfg: BehaviorConfig = BehaviorConfig(), *,
     if parallels or keep_history:
         cut = cut.withColumn("_all", _raw_history(w, cfg))
     rows = own_rows(cut)
-    oldest_t, oldest_row = F.col("_t") - cfg.history_seconds * US, F.col("_row") - cfg.max_history + 1
+    oldest_t = F.col("_t") - cfg.history_seconds * US
+    oldest_row = F.lit(1) if cfg.max_history is None else F.col("_row") - cfg.max_history + 1
     rows = rows.withColumns({
         f"hit_{p.name}": F.coalesce(
             (F.col(f"_m_{p.name}.t") >= oldest_t) & (F.col(f"_m_{p.name}.row") >= oldest_row), F.lit(False))

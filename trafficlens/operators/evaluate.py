@@ -6,20 +6,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.chunks import running_sum
 from ..functions.columns import clip, safe_ratio
+from ..functions.quantile import exact_quantiles
 from .heuristics import threshold_score
 
 # Candidate forecast weights, built as start + i * step.
 WEIGHT_GRID = tuple(0.3 + i * 0.1 for i in range(7))
-SCORE_CHUNKS = 65_536
+SCORE_RANGES = 256
 
 
 def normal_threshold(train: DataFrame, p: float = 0.9, value: str = "request_count") -> DataFrame:
-    """Linear-interpolated percentile of the normal windows' counts, one row.
-
-    Counts repeat, so frequencies are aggregated first.
-    """
-    freq = train.where(F.col("is_attack") == 0).groupBy(value).agg(F.count("*").alias("_f"))
-    return freq.agg(F.percentile(F.col(value), F.lit(p), F.col("_f")).alias("threshold"))
+    """Linear-interpolated percentile of the normal windows' counts, one row."""
+    found = exact_quantiles(train.where(F.col("is_attack") == 0), [], value, {"threshold": p})
+    return found.agg(F.max("threshold").alias("threshold"))  # a null row where there are no normal windows
 
 
 def fixed_limiter(test: DataFrame, threshold: DataFrame, value: str = "request_count") -> DataFrame:
@@ -85,19 +83,17 @@ def roc_auc(rows: DataFrame, *by: str, score: str = "score", label: str = "is_at
     """Area under the ROC curve with ties counted half; 0.5 for one class.
 
     Equal scores are pre-aggregated. Negatives below a score are a running sum
-    over ranges of the score, so there is no global ranking.
+    over ranges of the score with about as many distinct scores each, so there
+    is no global ranking.
     """
     keys = list(by) or ["_k"]
     rows = rows if by else rows.withColumn("_k", F.lit(0))
     y = F.col(label) == 1
     per_score = rows.groupBy(*keys, F.col(score).cast("double").alias("_s")).agg(
         F.count_if(y).alias("_p"), F.count_if(~y).alias("_n"))
-    bounds = rows.agg(F.struct(
-        F.min(score).cast("double").alias("lo"), F.max(score).cast("double").alias("hi"))).scalar()
-    cut = per_score.withColumn("_bounds", bounds)
-    width = F.col("_bounds.hi") - F.col("_bounds.lo")
-    cut = cut.withColumn("_range", F.coalesce(
-        F.floor(F.try_divide(F.col("_s") - F.col("_bounds.lo"), width) * SCORE_CHUNKS), F.lit(0))).drop("_bounds")
+    bounds = per_score.agg(F.percentile_approx("_s", [i / SCORE_RANGES for i in range(1, SCORE_RANGES)])).scalar()
+    cut = per_score.withColumn("_bounds", bounds).withColumn(
+        "_range", F.size(F.filter("_bounds", lambda x: x < F.col("_s")))).drop("_bounds")
     placed = running_sum(cut, keys, "_range", ["_s"], {"_upto": F.col("_n")})
     below = F.col("_upto") - F.col("_n")
     sums = placed.groupBy(*keys).agg(

@@ -24,6 +24,7 @@ NODES = ("tree_id int, node_id int, feature int, threshold double, left int, rig
          "depth int, n_samples int")
 OVERSAMPLE = 4
 HASH_RANGE = 1 << 53
+RANK_ROWS = 20_000
 
 
 def average_path(n):
@@ -34,7 +35,8 @@ def average_path(n):
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, long))
 
 
-def sample_trees(df: DataFrame, features: str, keys: list[str], cfg: ForestConfig) -> DataFrame:
+def sample_trees(df: DataFrame, features: str, keys: list[str], cfg: ForestConfig,
+                 oversample: int = OVERSAMPLE) -> DataFrame:
     """``max_samples`` rows for each tree, chosen by row hash.
 
     A row is only emitted for the trees whose hash falls under a cut sized for
@@ -42,7 +44,7 @@ def sample_trees(df: DataFrame, features: str, keys: list[str], cfg: ForestConfi
     trees. The choice depends on row keys alone, not on partitioning.
     """
     total = df.agg(F.count("*").cast("double")).scalar()
-    cut = F.lit(float(OVERSAMPLE * cfg.max_samples)) / F.greatest(total, F.lit(1.0)) * HASH_RANGE
+    cut = F.lit(float(oversample * cfg.max_samples)) / F.greatest(total, F.lit(1.0)) * HASH_RANGE
 
     def draw(tree):
         return F.pmod(F.xxhash64(*keys, tree, F.lit(cfg.random_state)), F.lit(HASH_RANGE))
@@ -211,8 +213,13 @@ class IsolationForestModel:
 def fit(df: DataFrame, features: str, keys: list[str], cfg: ForestConfig = ForestConfig()) -> IsolationForestModel:
     """Fit the forest; the offset is the contamination quantile of its own scores."""
     spark = df.sparkSession
-    built = sample_trees(df, features, keys, cfg).groupBy("tree_id").applyInPandas(_tree_builder(cfg), NODES)
-    nodes = built.toPandas()  # at most n_estimators * (2 * max_samples - 1) rows
+    total = df.count()
+    for oversample in (OVERSAMPLE, 4 * OVERSAMPLE, 16 * OVERSAMPLE):
+        built = sample_trees(df, features, keys, cfg, oversample).groupBy("tree_id").applyInPandas(_tree_builder(cfg), NODES)
+        nodes = built.toPandas()  # at most n_estimators * (2 * max_samples - 1) rows
+        sizes = nodes.loc[nodes["node_id"] == 0, "n_samples"]
+        if len(sizes) == cfg.n_estimators and sizes.min() == min(cfg.max_samples, total):
+            break  # every tree got its sample; otherwise draw from a wider cut
     if nodes.empty:
         raise ValueError("no training rows")
     roots = nodes.loc[nodes["node_id"] == 0, "n_samples"]
@@ -232,11 +239,15 @@ def permutation_importance(model: IsolationForestModel, df: DataFrame, names: li
     row of equal rank. Ranks are prefix counts over hash ranges, and all
     features are rescored in one long table.
     """
+    total = df.count()
+
     def hashed(*extra):
         return F.xxhash64(*keys, *extra, F.lit(seed))
 
     def ranked(rows, by, key):
-        cut = rows.withColumn("_h", key).withColumn(CHUNK, F.shiftright("_h", 56))
+        slices = max(1, total // RANK_ROWS)
+        place = F.col("_h").cast("double") / F.lit(float(1 << 64)) + 0.5
+        cut = rows.withColumn("_h", key).withColumn(CHUNK, F.floor(place * slices))
         return running_sum(cut, by, CHUNK, ["_h", *keys], {"_rank": F.lit(1)}).drop("_h", CHUNK)
 
     base = df.select(*keys, F.col(features).alias("_x"), model.score(features).alias("_score"))

@@ -101,6 +101,7 @@ def trailing_features(log: DataFrame, seconds: int = 60, *, max_rows: int | None
     kind = F.col("_e.kind")
     sign = F.when(kind == "in", 1).when(kind == "out", -1).otherwise(0)
     error = indicator(F.col("status_code") >= 400)
+    exact = F.col("response_time").cast("decimal(38,12)")
 
     def distinct(name, start):
         return F.when(kind == name, 1).when((kind == "out") & F.col(start).isNotNull(), -1).otherwise(0)
@@ -109,14 +110,15 @@ def trailing_features(log: DataFrame, seconds: int = 60, *, max_rows: int | None
     rows = rows.withColumns({
         "request_count": F.sum(sign).over(so_far),
         "_errors": F.sum(sign * error).over(so_far),
-        "_latency": F.sum(sign * F.col("response_time")).over(so_far),
+        # exact sums: what leaves the window takes away just what it added
+        "_latency": F.sum(F.when(kind == "in", exact).when(kind == "out", -exact)).over(so_far),
         "unique_users": F.sum(distinct("user", "user_id_from")).over(so_far),
         "unique_ips": F.sum(distinct("ip", "ip_from")).over(so_far),
     }).where(F.col("_query"))
     n, hour = F.col("request_count"), F.hour("ts")
     return rows.withColumns({
         "error_rate": safe_ratio(F.col("_errors"), n),
-        "avg_response_time": F.coalesce(F.try_divide(F.col("_latency"), n.cast("double")), F.lit(default_latency)),
+        "avg_response_time": F.coalesce(F.try_divide(F.col("_latency").cast("double"), n.cast("double")), F.lit(default_latency)),
         "user_request_count": F.col("user_id_requests"),
         "ip_request_count": F.col("ip_requests"),
         "ip_concentration": safe_ratio(n, F.col("unique_ips")),

@@ -73,6 +73,11 @@ def endpoint_pivot(rows: DataFrame, seconds: int, endpoints: list[str]) -> DataF
     return densify(rows.groupBy(*KEY).agg(*counts), seconds)
 
 
+def _labels(rows: DataFrame) -> list[Column]:
+    """Labels of a window; logs without labels have none."""
+    return [F.max(c).alias(c) for c in ("is_attack", "is_bot") if c in rows.columns]
+
+
 def window_aggregates(log: DataFrame, seconds: int, *, series: Column | None = None,
                       measures: tuple[str, ...] = ALL_MEASURES) -> DataFrame:
     """The window table: one row per series and window, empty windows as 0.
@@ -106,9 +111,7 @@ def window_aggregates(log: DataFrame, seconds: int, *, series: Column | None = N
             aggs.append(F.count_if(F.col("is_bot") == 1).alias("bots"))
             derived["bot_ratio"] = F.col("bots") / (count + 1)
     if "labels" in measures:
-        aggs.append(F.max("is_attack").alias("is_attack"))
-        if "is_bot" in cols:
-            aggs.append(F.max("is_bot").alias("is_bot"))
+        aggs += _labels(rows)
     table = rows.groupBy(*KEY).agg(*aggs)
     if "entropy" in measures:
         table = table.join(path_entropy(rows), KEY, "left")
@@ -126,8 +129,7 @@ def simple_window_features(log: DataFrame, seconds: int, *, series: Column | Non
             F.count_distinct("ip").alias("unique_ips"),
             F.count_if(F.col("status_code") >= 400).alias("errors"),
             F.avg("response_time").alias("avg_response_time"),
-            F.max("is_attack").alias("is_attack"),
-            F.max("is_bot").alias("is_bot")),
+            *_labels(rows)),
         seconds)
     hour = F.hour(START)
     return table.withColumns({
@@ -144,7 +146,7 @@ def user_share(log: DataFrame, seconds: int, *, by: str = "user_id", series: Col
     per_user = rows.groupBy(*KEY, by).agg(
         F.count("*").alias("user_requests"),
         F.count_if(F.col("status_code") >= 400).alias("user_errors"),
-        F.max("is_bot").alias("is_bot"))
+        (F.max("is_bot") if "is_bot" in rows.columns else F.lit(0)).alias("is_bot"))
     totals = per_user.groupBy(*KEY).agg(
         F.sum("user_requests").alias("total_requests"), F.sum("user_errors").alias("total_errors"))
     return per_user.join(totals, KEY).withColumns({

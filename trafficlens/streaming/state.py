@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import config
@@ -30,6 +30,11 @@ US = 1_000_000
 CHUNK_HISTORIES = 4
 
 
+def _with(df: DataFrame, keys: list[str], rest: str) -> T.StructType:
+    """Schema of the key columns as they are in the input, and further ones."""
+    return T.StructType([*[df.schema[k] for k in keys], *T._parse_datatype_string(rest).fields])
+
+
 def _gather(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(batches)).sort_values(order)
 
@@ -71,8 +76,8 @@ def adaptive_limits(windows: DataFrame, cfg: LimitConfig = SIMPLE, idle: float |
     slim = windows.select(SERIES, NO, START, "request_count", "raw_limit")
     return slim.groupBy(SERIES).transformWithStateInPandas(
         statefulProcessor=_Limits(cfg, cfg.base_limit if idle is None else idle),
-        outputStructType=f"{SERIES} string, {NO} bigint, {START} timestamp, request_count bigint, "
-                         "rate_limit bigint, allow boolean",
+        outputStructType=_with(windows, [SERIES], f"{NO} bigint, {START} timestamp, request_count bigint, "
+                                                  "rate_limit bigint, allow boolean"),
         outputMode="Append", timeMode="None")
 
 
@@ -109,8 +114,8 @@ def learned_weights(feedback: DataFrame, cfg: LimitConfig = FULL,
     slim = feedback.select("policy_key", "request_id", "ts", "type")
     return slim.groupBy("policy_key").transformWithStateInPandas(
         statefulProcessor=_Weights(cfg.anomaly_weight, learn),
-        outputStructType="policy_key string, request_id string, ts timestamp, "
-                         "anomaly_weight double, forecast_weight double",
+        outputStructType=_with(feedback, ["policy_key", "request_id"],
+                               "ts timestamp, anomaly_weight double, forecast_weight double"),
         outputMode="Append", timeMode="None")
 
 
@@ -150,7 +155,7 @@ def rolling_forecast(windows: DataFrame, base: float, window: int = 10, length:
     slim = windows.select(SERIES, NO, "request_count")
     return slim.groupBy(SERIES).transformWithStateInPandas(
         statefulProcessor=_Forecast(base, window, 2 * length),
-        outputStructType=f"{SERIES} string, {NO} bigint, request_count bigint, predicted double",
+        outputStructType=_with(windows, [SERIES], f"{NO} bigint, request_count bigint, predicted double"),
         outputMode="Append", timeMode="None")
 
 
@@ -189,11 +194,11 @@ class _Patterns(StatefulProcessor):
         for row in pdf.itertuples(index=False):
             cutoff = row.t - self.cfg.history_seconds * US
             history = [h for h in history if h[0] >= cutoff] + [(int(row.t), row.endpoint)]
-            history = history[-self.cfg.max_history:]
+            history = history[-(self.cfg.max_history or 0):]
             if row.own and len(history) > 1:
                 found = [p for p in self.cfg.patterns if _matches(p, history)]
                 if found:
-                    out.append((key[0], int(row.request_id), max(p.severity for p in found),
+                    out.append((key[0], row.request_id, max(p.severity for p in found),
                                 ",".join(p.name for p in found)))
         if not self.state.exists():
             # nothing can look into a chunk after its end
@@ -222,5 +227,5 @@ def bot_patterns(stream: DataFrame, cfg: BehaviorConfig = BehaviorConfig(), dela
     slim = cut.select("user_id", CHUNK, "ts", "t", "request_id", "endpoint", F.col(OWN).alias("own"))
     return slim.groupBy("user_id", CHUNK).transformWithStateInPandas(
         statefulProcessor=_Patterns(cfg),
-        outputStructType="user_id string, request_id bigint, suspicion_score double, matched_patterns string",
+        outputStructType=_with(stream, ["user_id", "request_id"], "suspicion_score double, matched_patterns string"),
         outputMode="Append", timeMode="EventTime")

@@ -21,7 +21,8 @@ def _statistics(stream: DataFrame, delay: str, width: str, slide: str | None) ->
     """
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
     rows = _with_series(stream).withWatermark("ts", delay).select(
-        SERIES, window.alias("w"), "ts", "user_id", "ip", "status_code", "endpoint", "response_time", "is_attack")
+        SERIES, window.alias("w"), "ts", "user_id", "ip", "status_code", "endpoint", "response_time",
+        F.col("is_attack") if "is_attack" in stream.columns else F.lit(0).alias("is_attack"))
     long = rows.withColumn("_x", F.explode(F.array(
         F.struct(F.lit("user").alias("dim"), F.col("user_id").alias("value")),
         F.struct(F.lit("ip").alias("dim"), F.col("ip").alias("value")))))
