@@ -13,8 +13,20 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 U64 = np.uint64
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Bytes of a batch that Spark hands to Python; its own default is eight times that.
+BATCH_BYTES = "8m"
+
+
+def _ready(spark: SparkSession) -> None:
+    """Ship the package, and bound the memory of Python workers unless the session has its own bound."""
     ship_package(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, BATCH_BYTES)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -23,7 +35,7 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
 
     Later passes then read the same rows, also after an executor was lost.
     """
-    ship_package(df.sparkSession)
+    _ready(df.sparkSession)
     return materialize(df, f"llm-{purpose}")
 
 
@@ -40,7 +52,7 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def slices(texts: pa.Array, most: int = 1 << 21):
+def slices(texts: pa.Array, most: int = 1 << 20):
     """Row ranges of an Arrow string column with about ``most`` bytes each.
 
     A range holds at least one row, so a longer text is a range of its own.
