@@ -208,13 +208,16 @@ class Mix:
         docs = docs.withColumn("at", F.get(starts, F.col("twin"))).where("at is not null").withColumn(
             "own", F.array_sort(F.transform(F.filter("pieces", lambda p: p.start == F.col("at")),
                                             lambda p: F.struct(p["from"].alias("from"), p.words.alias("words"), p.times.alias("times")))))
-        docs = docs.select("doc", "text", "size", "own", F.explode(F.sequence(F.lit(1), F.array_max("own.times"))).alias("pass"))
-        docs = docs.withColumn("part", F.filter("own", lambda p: p.times >= F.col("pass")))
+        total = (lambda parts: F.aggregate(parts, F.lit(0).cast("bigint"), lambda n, p: n + p.words))
+        even = (F.array_min("own.times") == F.array_max("own.times")) & (total(F.col("own")) == F.col("size"))
         words = F.regexp_extract_all("text", F.lit(f"({SPACE[:-1]}*[^{SPACE[1:-2]}]+)"), F.lit(1))
-        whole = F.aggregate("part", F.lit(0).cast("bigint"), lambda n, p: n + p.words) == F.col("size")
+        # the words stand below the generator, so that they are taken once for a document and not once for a piece
+        docs = docs.withColumn("tokens", F.when(~even, words)).select(
+            "doc", "text", "size", "own", "tokens", F.explode(F.sequence(F.lit(1), F.array_max("own.times"))).alias("pass"))
+        docs = docs.withColumn("part", F.filter("own", lambda p: p.times >= F.col("pass")))
         cut = F.regexp_replace(F.array_join(F.flatten(F.transform("part", lambda p: F.slice(
-            words, (p["from"] + 1).cast("int"), p.words.cast("int")))), ""), f"^{SPACE}", "")
-        docs = docs.withColumn("new", F.when(whole, F.col("text")).otherwise(cut))
+            "tokens", (p["from"] + 1).cast("int"), p.words.cast("int")))), ""), f"^{SPACE}", "")
+        docs = docs.withColumn("new", F.when(total(F.col("part")) == F.col("size"), F.col("text")).otherwise(cut))
         doc = F.col("doc").withField(f"`{text}`", F.col("new"))
         if "n_chars" in self.docs.columns:
             doc = doc.withField("n_chars", F.length("new").cast(self.docs.schema["n_chars"].dataType))
