@@ -72,7 +72,8 @@ def stream_adaptive_limit(spark, sf_dir):
 
 
 @check("stream_bot_patterns", with_(*SUSPICION, select=(
-    f"SELECT user_id, request_id, {r('score')} AS suspicion_score, names AS matched_patterns FROM sus WHERE names <> ''")))
+    f"SELECT user_id, request_id, {r('score')} AS suspicion_score, names AS matched_patterns FROM sus WHERE names <> '' "
+    f"AND request_id IN (SELECT request_id FROM request_log WHERE (t // 1000 + 1) * 1000 <= {CLOSED})")))
 def stream_bot_patterns(spark, sf_dir):
     return out(drain(state.bot_patterns(stream(spark, sf_dir), DAY), "stream-patterns"))
 

@@ -72,10 +72,15 @@ def test_late_events_do_not_change_closed_windows(spark, parts, tmp_path):
     folder, frame, cuts = parts
     write_events(frame.iloc[:400], tmp_path / "part0.parquet")
     late = frame.iloc[[0, 1, 2]].assign(event_id=[9001, 9002, 9003])
-    write_events(pd.concat([late, frame.iloc[400:500]]), tmp_path / "part1.parquet")
-    rows = drain(sw.window_features(arriving(spark, tmp_path), HOUR), "t").agg(
-        F.sum("request_count"), F.count("*"), F.count_distinct("window_no")).first()
-    assert rows[0] <= 500 and rows[1] == rows[2]
+    write_events(frame.iloc[400:450], tmp_path / "part1.parquet")  # rows are late by the watermark before this batch
+    write_events(pd.concat([late, frame.iloc[450:500]]), tmp_path / "part2.parquet")
+    got = {r.window_no: r.request_count for r in drain(sw.window_features(arriving(spark, tmp_path), HOUR), "t").collect()}
+    on_time = tmp_path / "on-time"
+    on_time.mkdir()
+    write_events(frame.iloc[:500], on_time / "events.parquet")
+    table = win.window_aggregates(events_request_log(spark, str(on_time)), HOUR, measures=())
+    want = {r.window_no: r.request_count for r in table.where("request_count > 0").collect()}
+    assert got == {no: want[no] for no in got} and len(want) - len(got) in (0, 1)
 
 
 def test_duplicates_are_dropped(spark, parts, tmp_path):
@@ -84,11 +89,32 @@ def test_duplicates_are_dropped(spark, parts, tmp_path):
     assert drain(sw.deduplicated(arriving(spark, tmp_path)), "t").count() == 50
 
 
-def test_patterns_equal_batch(spark, data, parts):
+def closed_patterns(spark, data, frame):
+    """Batch results of the requests that the final watermark has passed."""
+    mark = frame["ts"].max() - pd.Timedelta(minutes=10, milliseconds=1)
+    rows = behavior.suspicion(events_request_log(spark, data), DAY).where("is_suspicious").where(F.col("ts") < F.lit(mark)).collect()
+    return {r.request_id: (r.suspicion_score, ",".join(r.matched_patterns)) for r in rows}
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_patterns_equal_batch(spark, data, parts, tmp_path, shuffled):
+    """Also when requests arrive in any order, as long as none is later than the watermark."""
+    folder, frame, cuts = parts
+    if shuffled:
+        folder, delay = tmp_path, "400 days"
+        mixed = frame.sample(frac=1, random_state=4)
+        for i in range(3):
+            write_events(mixed.iloc[cuts[i]:cuts[i + 1]], folder / f"part{i}.parquet")
+        # a last file far ahead lets the watermark pass all others
+        ahead = frame.iloc[:1].assign(event_id=90_001, user_id=-1, ts=frame["ts"].max() + pd.Timedelta(days=800))
+        write_events(ahead, folder / "part9.parquet")
+    else:
+        delay = "10 minutes"
     got = {r.request_id: (r.suspicion_score, r.matched_patterns)
-           for r in drain(state.bot_patterns(arriving(spark, parts[0]), DAY), "t").collect()}
+           for r in drain(state.bot_patterns(arriving(spark, folder), DAY, delay), "t").collect()}
     rows = behavior.suspicion(events_request_log(spark, data), DAY).where("is_suspicious").collect()
-    assert got == {r.request_id: (r.suspicion_score, ",".join(r.matched_patterns)) for r in rows} and got
+    want = {r.request_id: (r.suspicion_score, ",".join(r.matched_patterns)) for r in rows}
+    assert got == (want if shuffled else closed_patterns(spark, data, frame)) and got
 
 
 def test_weights_equal_batch(spark, data, tmp_path):

@@ -1,14 +1,15 @@
 """Keyed stream state: limits, weights, forecasts and user histories.
 
-Each processor folds the rows of one key in event order. Rows of a batch are
-sorted inside the handler; across batches the order is that of the input.
+Each processor folds the rows of one key in event order. Windows close in order,
+so their rows are sorted inside the handler only; requests wait for the watermark.
 """
 
 from __future__ import annotations
 
 import sys
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -159,65 +160,111 @@ def rolling_forecast(windows: DataFrame, base: float, window: int = 10, length:
         outputMode="Append", timeMode="None")
 
 
-def _matches(pattern, history: list[tuple]) -> bool:
-    """Whether the (micros, endpoint) history contains the pattern."""
-    limit = pattern.max_time_ms * 1000
-    if isinstance(pattern, ParallelPattern):
-        times: dict = {}
-        for t, endpoint in history:
-            times.setdefault(endpoint, []).append(t)
-        return any(len(v) >= pattern.min_count and v[-1] - v[0] <= limit for v in times.values())
-    need, size = Counter(pattern.endpoints), len(pattern.endpoints)
-    if not pattern.strict:
-        need = Counter(set(pattern.endpoints))
-    for i in range(len(history) - size + 1):
-        run = history[i:i + size]
-        if run[-1][0] - run[0][0] <= limit and not need - Counter(e for _, e in run):
-            return True
-    return False
+class _History:
+    """The recent requests of a user and the latest match of each pattern, one request at a time."""
+
+    def __init__(self, cfg: BehaviorConfig, times=(), endpoints=(), seen: int = 0, matches=()):
+        self.cfg, self.seen = cfg, seen
+        self.rows = deque(zip(times, endpoints))
+        self.by_endpoint: dict = {}
+        for t, endpoint in self.rows:
+            self.by_endpoint.setdefault(endpoint, deque()).append(t)
+        # start time and row of the latest match of each sequence; it starts last, so it alone matters
+        self.matches = [tuple(m) for m in matches] or [(None, None)] * len(cfg.patterns)
+
+    def _drop(self) -> None:
+        _, endpoint = self.rows.popleft()
+        times = self.by_endpoint[endpoint]
+        times.popleft()
+        if not times:
+            del self.by_endpoint[endpoint]
+
+    def add(self, t: int, endpoint: str) -> list:
+        """Patterns that hold after this request; a history of one request has none."""
+        cfg, cutoff = self.cfg, t - self.cfg.history_seconds * US
+        self.rows.append((t, endpoint))
+        self.by_endpoint.setdefault(endpoint, deque()).append(t)
+        self.seen += 1
+        while self.rows[0][0] < cutoff or len(self.rows) > (cfg.max_history or len(self.rows)):
+            self._drop()
+        oldest = self.seen - len(self.rows) + 1
+        found = []
+        for i, pattern in enumerate(cfg.patterns):
+            limit = pattern.max_time_ms * 1000
+            if isinstance(pattern, ParallelPattern):
+                hit = any(len(v) >= pattern.min_count and v[-1] - v[0] <= limit for v in self.by_endpoint.values())
+            else:
+                size, need = len(pattern.endpoints), Counter(pattern.endpoints)
+                run = list(islice(reversed(self.rows), size))
+                need = need if pattern.strict else Counter(set(need))
+                if len(run) == size and t - run[-1][0] <= limit and not need - Counter(e for _, e in run):
+                    self.matches[i] = (run[-1][0], self.seen - size + 1)
+                start, row = self.matches[i]
+                hit = start is not None and start >= cutoff and row >= oldest
+            if hit:
+                found.append(pattern)
+        return found if len(self.rows) > 1 else []
 
 
 class _Patterns(StatefulProcessor):
-    """Bot patterns over the bounded history of a user (in one time chunk)."""
+    """Bot patterns over the history of a user (in one time chunk), in event order.
 
-    def __init__(self, cfg: BehaviorConfig):
-        self.cfg = cfg
+    Requests wait until the watermark has passed them, so that none can come in
+    before them any more, and are then looked at in the order of their time.
+    """
+
+    COLUMNS = ["user_id", "request_id", "suspicion_score", "matched_patterns"]
+
+    def __init__(self, cfg: BehaviorConfig, id_type: str):
+        self.cfg, self.id_type = cfg, id_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("history", "t array<bigint>, endpoint array<string>")
+        self.waiting = handle.getListState("waiting", f"t bigint, request_id {self.id_type}, endpoint string, own boolean")
+        self.state = handle.getValueState(
+            "history", "t array<bigint>, endpoint array<string>, seen bigint, start array<bigint>, row array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = _gather(rows, ["t", "request_id"])
-        history = list(zip(*self.state.get())) if self.state.exists() else []
-        out = []
-        for row in pdf.itertuples(index=False):
-            cutoff = row.t - self.cfg.history_seconds * US
-            history = [h for h in history if h[0] >= cutoff] + [(int(row.t), row.endpoint)]
-            history = history[-(self.cfg.max_history or 0):]
-            if row.own and len(history) > 1:
-                found = [p for p in self.cfg.patterns if _matches(p, history)]
-                if found:
-                    out.append((key[0], row.request_id, max(p.severity for p in found),
-                                ",".join(p.name for p in found)))
-        if not self.state.exists():
-            # nothing can look into a chunk after its end
-            self.handle.registerTimer((int(key[1]) + 1) * CHUNK_HISTORIES * self.cfg.history_seconds * 1000)
-        self.state.update(([t for t, _ in history], [e for _, e in history]))
-        yield pd.DataFrame(out, columns=["user_id", "request_id", "suspicion_score", "matched_patterns"])
+        for pdf in rows:
+            for row in pdf.itertuples(index=False):
+                self.waiting.appendValue((int(row.t), row.request_id, row.endpoint, bool(row.own)))
+            for due in {int(t) // 1000 + 1 for t in pdf["t"]}:
+                self.handle.registerTimer(due)
+        # nothing can look into a chunk after its end
+        self.handle.registerTimer((int(key[1]) + 1) * CHUNK_HISTORIES * self.cfg.history_seconds * 1000 + 1)
+        yield pd.DataFrame([], columns=self.COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.state.clear()
-        yield pd.DataFrame([], columns=["user_id", "request_id", "suspicion_score", "matched_patterns"])
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        waiting = list(self.waiting.get()) if self.waiting.exists() else []
+        due = sorted(r for r in waiting if r[0] // 1000 + 1 <= now)
+        out = []
+        if due:
+            rest = [r for r in waiting if r[0] // 1000 + 1 > now]
+            self.waiting.put(rest) if rest else self.waiting.clear()
+            history = _History(self.cfg)
+            if self.state.exists():
+                times, endpoints, seen, start, row = self.state.get()
+                history = _History(self.cfg, times, endpoints, seen, zip(start, row))
+            for t, request_id, endpoint, own in due:
+                found = history.add(int(t), endpoint)
+                if own and found:
+                    out.append((key[0], request_id, max(p.severity for p in found), ",".join(p.name for p in found)))
+            self.state.update(([t for t, _ in history.rows], [e for _, e in history.rows], history.seen,
+                               [m[0] for m in history.matches], [m[1] for m in history.matches]))
+        if now > (int(key[1]) + 1) * CHUNK_HISTORIES * self.cfg.history_seconds * 1000:
+            self.state.clear()
+        yield pd.DataFrame(out, columns=self.COLUMNS)
 
     def close(self) -> None:
         pass
 
 
 def bot_patterns(stream: DataFrame, cfg: BehaviorConfig = BehaviorConfig(), delay: str = "10 minutes") -> DataFrame:
-    """Suspicious requests with their patterns, as they arrive.
+    """Suspicious requests with their patterns, once the watermark has passed them.
 
-    Users are cut into the same time chunks as in the batch operator. State of
+    Requests are looked at in event order whatever order they arrive in; those
+    older than the watermark are late and left out. Users are cut into the same time chunks as in the batch operator. State of
     a chunk is dropped once the watermark passes its end, so it stays bounded
     by the active chunks.
     """
@@ -226,6 +273,6 @@ def bot_patterns(stream: DataFrame, cfg: BehaviorConfig = BehaviorConfig(), dela
     cut = with_lookback(timed, F.col("t"), CHUNK_HISTORIES * reach, reach)
     slim = cut.select("user_id", CHUNK, "ts", "t", "request_id", "endpoint", F.col(OWN).alias("own"))
     return slim.groupBy("user_id", CHUNK).transformWithStateInPandas(
-        statefulProcessor=_Patterns(cfg),
+        statefulProcessor=_Patterns(cfg, stream.schema["request_id"].dataType.simpleString()),
         outputStructType=_with(stream, ["user_id", "request_id"], "suspicion_score double, matched_patterns string"),
         outputMode="Append", timeMode="EventTime")
