@@ -31,6 +31,7 @@ def request_decisions_online(spark, sf_dir):
     return out(rows, "request_id", "request_count", "anomaly_score", "raw_limit", "rate_limit", "allow", "reason")
 
 
+# raw limits that end in a tie at the last place are nudged alike on both sides
 FULL = (*SUSPICION, TRAIL, f"""fi AS (
   SELECT tr.*, is_bot AS user_is_bot, score AS behavioral_risk, request_count::DOUBLE AS predicted,
          {LADDER.format(x=f'(request_count / {d(FULL_LIMITS.base_limit)})')} AS anomaly_score,
@@ -45,9 +46,9 @@ fr AS (SELECT *, {d(FULL_LIMITS.base_limit)} * (0.6::DOUBLE * p + 0.4::DOUBLE *
 
 @check("request_decisions_full", with_(*FULL, select=(
     f"SELECT request_id, request_count, {r('anomaly_score')} AS anomaly_score, {r('behavioral_risk')} AS behavioral_risk, "
-    f"{r('f')} AS fairness_multiplier, {r('round(raw_limit, 4)')} AS raw_limit, rate_limit, request_count < rate_limit AS allow, "
+    f"{r('f')} AS fairness_multiplier, {r('raw_limit + 1e-9::DOUBLE')} AS raw_limit, rate_limit, request_count < rate_limit AS allow, "
     f"{r(CONFIDENCE)} AS confidence, {FULL_REASON} AS reason FROM fr JOIN lim USING (pos)"), recursive=True))
 def request_decisions_full(spark, sf_dir):
     rows = requests.full_request_decisions(log(spark, sf_dir), TRAILING, FULL_LIMITS, DAY)
     return out(rows, "request_id", "request_count", "anomaly_score", "behavioral_risk", "fairness_multiplier",
-               F.round("raw_limit", 4).alias("raw_limit"), "rate_limit", "allow", "confidence", "reason")
+               (F.col("raw_limit") + 1e-9).alias("raw_limit"), "rate_limit", "allow", "confidence", "reason")
