@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import materialize, ship_package
+from ..session import shared_dir, ship_package
 
 #: The white space that separates words.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -35,8 +35,21 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
 
     Later passes then read the same rows, also after an executor was lost.
     """
-    _ready(df.sparkSession)
-    return materialize(df, f"llm-{purpose}")
+    spark = df.sparkSession
+    _ready(spark)
+    path = shared_dir(spark, f"llm-{purpose}")
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of stored tables that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def columns(df: DataFrame, **names: str) -> DataFrame:
@@ -158,21 +171,24 @@ class Rolling:
 BIT_LOG = 25
 
 
-def bitmap(hashes: DataFrame, column: str, log: int = BIT_LOG) -> np.ndarray:
-    """A set of 2**log bits (4 MB for 25) with a bit for each value of a long column.
+def bitmap(hashes: DataFrame, column: str, log: int = BIT_LOG, marks: int = 1) -> np.ndarray:
+    """A set of 2**log bits (4 MB for 25) with ``marks`` bits for each value of a long column.
 
     Its size is fixed whatever the data, so it may be broadcast. It lets all
     members pass and some others; a join or an exact count has to follow. The
     driver gets at most 2**(log - 6) words, already combined on the executors.
     """
-    slot = F.shiftrightunsigned(F.col(column), 64 - log)
-    words = hashes.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(
+    slots = F.array(*[F.shiftrightunsigned(F.shiftleft(F.col(column), i * log), 64 - log) for i in range(marks)])
+    words = hashes.select(F.explode(slots).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(1 << (log - 6), np.int64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out.view(U64)
 
 
-def may_hold(bits: np.ndarray, hashes: np.ndarray, log: int = BIT_LOG) -> np.ndarray:
-    slot = hashes.view(U64) >> U64(64 - log)
-    return (bits[(slot >> U64(6)).astype(np.int64)] >> (slot & U64(63))) & U64(1) != 0
+def may_hold(bits: np.ndarray, hashes: np.ndarray, log: int = BIT_LOG, marks: int = 1) -> np.ndarray:
+    out = np.ones(len(hashes), bool)
+    for i in range(marks):
+        slot = (hashes.view(U64) << U64(i * log)) >> U64(64 - log)
+        out &= (bits[(slot >> U64(6)).astype(np.int64)] >> (slot & U64(63))) & U64(1) != 0
+    return out

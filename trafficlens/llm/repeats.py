@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, Rolling, bitmap, columns, filled, may_hold, mix64, slices, stored, utf8
+from .common import U64, Rolling, bitmap, columns, discard, filled, may_hold, mix64, slices, stored, utf8
 
 LENGTH, DEPTH, GRAM, BATCHES = 200, 64, 16, 4
 PLACE_BITS = 24
@@ -43,23 +43,31 @@ class Family:
         self.levels: list[DataFrame | None] = []
 
     def add(self, batch: DataFrame) -> list[DataFrame]:
-        """Take in (head, key, many); the tables of suffixes found more than once."""
+        """Take in (head, key, many); the tables of suffixes found more than once.
+
+        Arrays that went into a larger one are deleted once that is written.
+        """
         own = self._array(batch)
-        found, level = [own.where("many > 1").select("head", "key")], 0
+        found, level = [self._repeated(own)], 0
         for i, old in enumerate(self.levels):
             if old is None:
                 continue
             if level == i:  # a full level: scan and merge in one pass, and carry
-                own = self._array(own.select("head", "key", F.lit(1).alias("many")).union(
+                merged = self._array(own.select("head", "key", F.lit(1).alias("many")).union(
                     old.select("head", "key", F.lit(1).alias("many"))))
-                found.append(own.where("many > 1").select("head", "key"))
-                self.levels[i], level = None, i + 1
+                found.append(self._repeated(merged))
+                discard(own, old)
+                own, self.levels[i], level = merged, None, i + 1
             else:
-                found.append(own.join(old.select("head", "key"), ["head", "key"]).select("head", "key"))
+                found.append(stored(own.join(old.select("head", "key"), ["head", "key"]).select("head", "key"), "matches"))
         self.levels += [None] * (level + 1 - len(self.levels))
         self.levels[level] = own
         return found
 
+    @staticmethod
+    def _repeated(array: DataFrame) -> DataFrame:
+        return stored(array.where("many > 1").select("head", "key"), "matches")
+
     @staticmethod
     def _array(rows: DataFrame) -> DataFrame:
         """Equal suffixes joined, in suffix order over all files."""
@@ -339,6 +347,7 @@ class Repeats:
         found = []
         for i in range(self.batches):
             found += self.family.add(keys.where(F.col("batch") == i).select("head", "key", "many"))
+        discard(keys)
         out = found[0]
         for table in found[1:]:
             out = out.union(table)
