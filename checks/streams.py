@@ -57,17 +57,19 @@ def stream_sliding_stats(spark, sf_dir):
                "ip_concentration")
 
 
-STREAM_RAW = (f"sw AS (SELECT *, {d(SIMPLE_LIMITS.base_limit)} * (1 - ({WINDOW_SCORE.replace('spike_ratio', '0')})) AS raw_limit FROM wf "
-              f"WHERE {closed(HOUR)})")
+STREAM_RAW = f"sw AS (SELECT *, {d(SIMPLE_LIMITS.base_limit)} * (1 - ({WINDOW_SCORE})) AS raw_limit FROM sf WHERE {closed(HOUR)})"
 
 
-@check("stream_adaptive_limit", with_(LOG, sql.windows(), STREAM_RAW, fold("sw", "raw_limit", SIMPLE_LIMITS), select=(
+@check("stream_adaptive_limit", with_(LOG, sql.simple_features(), STREAM_RAW, fold("sw", "raw_limit", SIMPLE_LIMITS), select=(
     "SELECT sw.window_no, request_count, rate_limit, request_count < rate_limit AS allow FROM sw JOIN lim USING (pos) WHERE request_count > 0"), recursive=True))
 def stream_adaptive_limit(spark, sf_dir):
-    """Windows, then the limit state, in one query; idle windows fold in as base."""
-    rows = sw.window_features(stream(spark, sf_dir), HOUR, DELAY).withColumn("spike_ratio", F.lit(0.0))
-    rows = rows.withColumn("raw_limit", F.lit(SIMPLE_LIMITS.base_limit) * (1 - heuristics.window_score(RULES)))
-    sink = drain(state.adaptive_limits(rows, SIMPLE_LIMITS), "stream-limit")
+    """Windows, then spike and limit state, in one query: the limits of the batch on closed windows."""
+    rows = sw.window_features(stream(spark, sf_dir), HOUR, DELAY)
+    n = F.col("request_count")
+    rows = rows.withColumn("error_rate", F.round(F.col("error_rate") * (n + 1)) / n)
+    rows = rows.withColumn("points", heuristics.window_score(RULES, spike=False))
+    sink = drain(state.adaptive_limits(
+        rows, SIMPLE_LIMITS, spike=(RULES.spike_ratio, heuristics.SPIKE_POINTS, 5)), "stream-limit")
     return sink.select("window_no", "request_count", "rate_limit", "allow")
 
 

@@ -21,10 +21,14 @@ def ratio_ladder(rate: Column, base: float) -> Column:
     return F.when(ratio > 5, 0.9).when(ratio > 3, 0.7).when(ratio > 2, 0.4).otherwise(0.1)
 
 
-def window_score(cfg: HeuristicConfig = HeuristicConfig()) -> Column:
-    """Score of a window table row."""
+#: Fixed value: points of a window whose count spikes.
+SPIKE_POINTS = 0.3
+
+
+def window_score(cfg: HeuristicConfig = HeuristicConfig(), spike: bool = True) -> Column:
+    """Score of a window table row; without the spike rule where a stream adds that from its state."""
     return _add(
-        (F.col("spike_ratio") > cfg.spike_ratio, 0.3),
+        *([(F.col("spike_ratio") > cfg.spike_ratio, SPIKE_POINTS)] if spike else []),
         (F.col("ip_concentration") > cfg.ip_concentration, 0.3),
         (F.col("error_rate") > cfg.error_rate, 0.2),
         (F.col("request_count") > cfg.request_count, 0.2))

@@ -41,13 +41,30 @@ def _gather(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
 
 
 class _Limits(StatefulProcessor):
-    """Smoothed limit per series; missing windows fold in as empty ones."""
+    """Smoothed limit per series; missing windows fold in as empty ones.
 
-    def __init__(self, cfg: LimitConfig, idle: float):
-        self.cfg, self.idle = cfg, idle
+    With ``spike`` (ratio, points, windows) the input has the points of the
+    other rules, and a count above ``ratio`` times the mean of the last windows,
+    its own included, adds ``points``.
+    """
+
+    def __init__(self, cfg: LimitConfig, idle: float, spike: tuple | None):
+        self.cfg, self.idle, self.spike = cfg, idle, spike
+        self.keep = spike[2] - 1 if spike else 0
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("limit", "window_no bigint, rate_limit bigint")
+        self.state = handle.getValueState("limit", "window_no bigint, rate_limit bigint, recent array<bigint>")
+
+    def _raw(self, value, count, recent):
+        if not self.spike:
+            return value
+        ratio, points, _ = self.spike
+        mean = (sum(recent) + count) / (len(recent) + 1)
+        score = min(1.0, value + (points if mean and count / mean > ratio else 0.0))
+        return self.cfg.base_limit * (1 - score)
+
+    def _seen(self, recent, count):
+        return (recent + [int(count)])[-self.keep:] if self.keep else []
 
     def _next(self, limit, raw):
         c = self.cfg
@@ -55,14 +72,15 @@ class _Limits(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = _gather(rows, [NO])
-        last, limit = self.state.get() if self.state.exists() else (None, self.cfg.base_limit)
-        out = []
-        for no, raw in zip(pdf[NO], pdf["raw_limit"]):
+        last, limit, recent = self.state.get() if self.state.exists() else (None, self.cfg.base_limit, [])
+        recent, out = list(recent), []
+        for no, value, count in zip(pdf[NO], pdf["value"], pdf["request_count"]):
             for _ in range(0 if last is None else int(no - last - 1)):
-                limit = self._next(limit, self.idle)
-            limit, last = self._next(limit, raw), no
+                limit, recent = self._next(limit, self.idle), self._seen(recent, 0)
+            limit, last = self._next(limit, self._raw(value, count, recent)), no
+            recent = self._seen(recent, count)
             out.append(limit)
-        self.state.update((int(last), int(limit)))
+        self.state.update((int(last), int(limit), [int(n) for n in recent]))
         yield pd.DataFrame({
             SERIES: key[0], NO: pdf[NO].to_numpy(), START: pdf[START].to_numpy(),
             "request_count": pdf["request_count"].to_numpy(), "rate_limit": out,
@@ -72,11 +90,12 @@ class _Limits(StatefulProcessor):
         pass
 
 
-def adaptive_limits(windows: DataFrame, cfg: LimitConfig = SIMPLE, idle: float | None = None) -> DataFrame:
-    """Limit and decision per closed window; needs ``raw_limit``."""
-    slim = windows.select(SERIES, NO, START, "request_count", "raw_limit")
+def adaptive_limits(windows: DataFrame, cfg: LimitConfig = SIMPLE, idle: float | None = None,
+                    spike: tuple[float, float, int] | None = None) -> DataFrame:
+    """Limit and decision per closed window; needs ``raw_limit``, or ``points`` with ``spike``."""
+    slim = windows.select(SERIES, NO, START, "request_count", F.col("points" if spike else "raw_limit").alias("value"))
     return slim.groupBy(SERIES).transformWithStateInPandas(
-        statefulProcessor=_Limits(cfg, cfg.base_limit if idle is None else idle),
+        statefulProcessor=_Limits(cfg, cfg.base_limit if idle is None else idle, spike),
         outputStructType=_with(windows, [SERIES], f"{NO} bigint, {START} timestamp, request_count bigint, "
                                                   "rate_limit bigint, allow boolean"),
         outputMode="Append", timeMode="None")
