@@ -5,16 +5,20 @@ class from then on. Inverted lists of the retained values generate candidate
 pairs, the sketch of the union estimates their similarity, and the full sets of
 those that may be similar enough decide.
 
-Two sketches of similar sets share at least ``_need`` values, so they share one
-of the rarest ``size - need + 1`` of each: only these stand in the lists, and
-values that many unlike documents have in common seldom do. A list of many
+Two sketches of similar sets share at least a known number of values, so they
+share one of the rarest ``size - number + 1`` of each: only these stand in the
+lists, and values that many unlike documents have in common seldom do. Sets of
+up to ``WHOLE`` shingles are retained whole, which makes that number exact and
+the lists short; only larger ones, which a common passage can't fill, are
+sampled. Sets of a size between, where a partner may be of either sort, stand in
+the lists of both. A list of many
 members is worked off in two rounds, without pairing all of them: first every
 member is compared with one hub, the most typical of the list; the links found
 join most of a group of copies. Then members of different components that
 still share a list are compared. Pairs inside a component need no comparison.
 
-For sets of up to ``0.8 * KEPT`` shingles the lists miss nothing; for larger
-ones a pair of similarity 0.8 is missed with a chance below 1e-9.
+Where the larger set has up to ``WHOLE`` shingles the lists miss nothing;
+otherwise a pair of similarity 0.8 is missed with a chance below 1e-9.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import U64, Rolling, bitmap, columns, filled, may_hold, slices, stored, utf8, word_bounds
 from .components import components
 
-KEPT = 64
+KEPT, WHOLE = 64, 240
 #: Values that two sketches of 64 share at similarity 0.8, less than one time in 1e9: a binomial's lower tail.
 LEAST_SHARED = 30
 PERCENT = 80
@@ -68,7 +72,7 @@ def _profiles(width: int):
                 for values in shingle_sets(texts.slice(low, high - low), width):
                     sizes.append(len(values))
                     digests.append(_digest(values))
-                    kept.append(values[:KEPT])
+                    kept.append(values[:WHOLE if len(values) <= WHOLE else KEPT])
                 ends = np.cumsum([0, *map(len, kept)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("id").slice(low, high - low), pa.array(sizes, pa.int64()),
@@ -106,12 +110,6 @@ def _similar(percent: int):
     return rows
 
 
-def _need(n: Column, percent: int) -> Column:
-    """Values that the sketches of a set of n and of a similar one share at least."""
-    exact = F.ceil(n * percent / 100)
-    return F.when(n * 100 <= KEPT * percent, exact).otherwise(F.lit(LEAST_SHARED))
-
-
 class NearDuplicates:
     """The stages of the search; ``links`` gives the confirmed pairs, ``groups`` a row per document."""
 
@@ -128,13 +126,19 @@ class NearDuplicates:
 
     def lists(self) -> DataFrame:
         """Inverted lists of the rarest retained values: value, class, n, weight."""
-        values = self.classes.select("class", "n", F.explode("sketch").alias("value"))
+        n = F.col("n")
+        whole = self.classes.where(n <= WHOLE).select("class", "n", F.lit(False).alias("sampled"), F.explode("sketch").alias("value"))
+        # the other lists have names of their own
+        other = self.classes.where(n * 100 > WHOLE * self.percent).select(
+            "class", "n", F.lit(True).alias("sampled"), F.explode(F.slice("sketch", 1, KEPT)).alias("value"))
+        values = whole.union(other.withColumn("value", F.xxhash64("value")))
         common = values.groupBy("value").agg(F.count("*").alias("many")).where("many > 1")
-        kept = F.least(F.col("n"), F.lit(KEPT))
-        # values that no other class retained come first in the order and need no list
-        room = kept - _need(F.col("n"), self.percent) + 1 - (kept - F.size("own"))
-        own = values.join(common, "value").groupBy("class", "n").agg(
+        own = values.join(common, "value").groupBy("class", "n", "sampled").agg(
             F.array_sort(F.collect_list(F.struct("many", "value"))).alias("own"))
+        kept = F.when(F.col("sampled"), F.lit(KEPT)).otherwise(n)
+        need = F.when(F.col("sampled"), F.lit(LEAST_SHARED)).otherwise(F.ceil(n * self.percent / 100))
+        # values that no other class retained come first in the order and need no list
+        room = kept - need + 1 - (kept - F.size("own"))
         weight = F.aggregate("own", F.lit(0).cast("bigint"), lambda a, x: a + x.many)
         rarest = own.withColumn("room", room.cast("int")).where("room > 0").select(
             "class", "n", weight.alias("weight"), F.explode(F.slice("own", F.lit(1), F.col("room"))).alias("x"))
@@ -169,13 +173,14 @@ class NearDuplicates:
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Pairs that the sketch of their union does not rule out; exact where the sketches are whole sets."""
-        sketches = self.classes.select("class", "sketch")
-        both = pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b")
-        union = F.array_sort(F.array_union("sa", "sb"))
-        shared = F.array_intersect("sa", "sb")
-        whole = F.greatest(F.size("sa"), F.size("sb")) < KEPT
-        enough = F.size(F.array_intersect(F.slice(union, 1, KEPT), shared)) >= LEAST_SHARED
-        return both.where(F.when(whole, F.size(shared) * 100 >= F.size(union) * self.percent).otherwise(enough)).select("a", "b")
+        sketches = self.classes.select("class", "n", "sketch")
+        both = pairs.join(sketches.toDF("a", "na", "sa"), "a").join(sketches.toDF("b", "nb", "sb"), "b")
+        shared, union = F.array_intersect("sa", "sb"), F.array_union("sa", "sb")
+        least_a, least_b = F.slice("sa", 1, KEPT), F.slice("sb", 1, KEPT)
+        least = F.slice(F.array_sort(F.array_union(least_a, least_b)), 1, KEPT)
+        enough = F.size(F.array_intersect(least, F.array_intersect(least_a, least_b))) >= LEAST_SHARED
+        similar = F.size(shared) * 100 >= F.size(union) * self.percent
+        return both.where(F.when(F.greatest("na", "nb") <= WHOLE, similar).otherwise(enough)).select("a", "b")
 
     def confirmed(self, pairs: DataFrame, purpose: str) -> DataFrame:
         """Pairs that are similar by their full sets: a, b. Sets are built anew from the texts of the classes they need."""
