@@ -26,7 +26,7 @@ from .common import U64, Rolling, bitmap, columns, filled, may_hold, mix64, slic
 from .components import components
 
 ERRORS, LEAST = 2, 24
-INDEX_LOG = 27
+INDEX_LOG, INDEX_MARKS = 27, 2
 
 
 class Lines:
@@ -48,10 +48,13 @@ class Lines:
             self.codes[a:b].tobytes(), digest_size=8).digest(), "little", signed=True)
             for a, b in zip(self.start.tolist(), self.end.tolist())], np.int64)
         self.rolling = Rolling(self.codes.astype(U64))
+        # bit k of a line: whether code points of class k come up an odd number of times
+        odd = np.concatenate([np.zeros(1, U64), np.bitwise_xor.accumulate(U64(1) << (mix64(self.codes.astype(U64)) >> U64(58)))])
+        self.odd = (odd[self.end] ^ odd[self.start]).view(np.int64)
 
     def keep(self, at: np.ndarray) -> None:
         """Go on with some of the lines only."""
-        for part in ("of", "number", "start", "end", "size", "name"):
+        for part in ("of", "number", "start", "end", "size", "name", "odd"):
             setattr(self, part, getattr(self, part)[at])
 
     def key(self, at: np.ndarray, width: np.ndarray, size: np.ndarray, segment: int) -> np.ndarray:
@@ -102,7 +105,7 @@ def within(a: list[np.ndarray], b: list[np.ndarray], errors: int) -> np.ndarray:
     order = np.flatnonzero(near)
     order = order[np.argsort(n[order], kind="stable")]
     while len(order):
-        count = max(1, min(len(order), (1 << 22) // int(n[order[min(len(order), 4096) - 1]] + 1), 4096))
+        count = max(1, min(len(order), (1 << 20) // int(n[order[min(len(order), 4096) - 1]] + 1), 4096))
         out[order[:count]] = _band([a[i] for i in order[:count]], [b[i] for i in order[:count]], errors)
         order = order[count:]
     return out
@@ -120,8 +123,8 @@ def _plain(a: list, b: list) -> int:
 def _band(a: list, b: list, errors: int) -> np.ndarray:
     m, n = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     rows, width = len(a), 2 * errors + 1
-    first = np.full((rows, max(m.max(), n.max()) + width), -1, np.int64)
-    second = np.full((rows, n.max()), -2, np.int64)
+    first = np.full((rows, max(m.max(), n.max()) + width), -1, np.int32)
+    second = np.full((rows, n.max()), -2, np.int32)
     for i in range(rows):
         first[i, errors:errors + m[i]] = a[i]
         second[i, :n[i]] = b[i]
@@ -164,7 +167,8 @@ def _occurrences(errors: int, least: int):
                 flat = pa.ListArray.from_arrays(
                     pa.array(np.arange(len(keys) + 1, dtype=np.int32) * (errors + 1)), pa.array(keys.ravel()))
                 entry = pa.StructArray.from_arrays(
-                    [pa.array(lines.number, pa.int32()), pa.array(lines.name), flat], ["number", "line", "keys"])
+                    [pa.array(lines.number, pa.int32()), pa.array(lines.name), pa.array(lines.odd), flat],
+                    ["number", "line", "odd", "keys"])
                 yield pa.RecordBatch.from_arrays([
                     batch.column("id").slice(low, high - low), pa.array(totals, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends), entry)], ["id", "n_lines", "lines"])
@@ -179,9 +183,10 @@ def _probe_rows(errors: int, least: int, bits):
                 lines = Lines(texts, least)
                 lines.keep(np.unique(lines.name, return_index=True)[1])
                 for at, keys in lines.probes(errors):
-                    some = may_hold(bits.value, keys, INDEX_LOG)
+                    some = may_hold(bits.value, keys, INDEX_LOG, INDEX_MARKS)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[some]), pa.array(lines.name[at[some]])], ["key", "line"])
+                        [pa.array(keys[some]), pa.array(lines.name[at[some]]), pa.array(lines.odd[at[some]])],
+                        ["key", "line", "odd"])
 
     return rows
 
@@ -229,7 +234,7 @@ class LineDuplicates:
             raise ValueError("a line needs two code points per segment")
         self.errors, self.least = errors, least
         self.rows = columns(docs, id=id, text=text).select(F.col("id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
-        schema = "id bigint, n_lines bigint, lines array<struct<number:int,line:bigint,keys:array<bigint>>>"
+        schema = "id bigint, n_lines bigint, lines array<struct<number:int,line:bigint,odd:bigint,keys:array<bigint>>>"
         self.docs = stored(self.rows.mapInArrow(_occurrences(errors, least), schema).withColumn(
             "row", F.monotonically_increasing_id()), "line-docs")
 
@@ -237,18 +242,25 @@ class LineDuplicates:
         return self.rows.sparkSession.sparkContext.broadcast(bits)
 
     def candidates(self) -> DataFrame:
-        """Pairs of lines that share a segment."""
-        index = self.docs.select(F.explode("lines").alias("l")).select(F.explode("l.keys").alias("key"), "l.line")
-        bits = self._broadcast(bitmap(index, "key", INDEX_LOG))
-        probes = self.rows.select("text").mapInArrow(_probe_rows(self.errors, self.least, bits), "key bigint, line bigint")
+        """Pairs of lines that share a segment and may be within the edits.
+
+        An edit changes the parity of at most two classes of code points, so
+        most lines that are alike in a segment only are never paired.
+        """
+        index = self.docs.select(F.explode("lines").alias("l")).select(F.explode("l.keys").alias("key"), "l.line", "l.odd")
+        bits = self._broadcast(bitmap(index, "key", INDEX_LOG, INDEX_MARKS))
+        probes = self.rows.select("text").mapInArrow(
+            _probe_rows(self.errors, self.least, bits), "key bigint, line bigint, odd bigint")
         # one shuffle by key serves the removal of copies and the join
         entries = index.withColumn("own", F.lit(True)).union(probes.withColumn("own", F.lit(False)))
-        entries = entries.repartition("key").groupBy("key", "line").agg(F.max("own").alias("own"))
+        entries = entries.repartition("key").groupBy("key", "line", "odd").agg(F.max("own").alias("own"))
         several = entries.groupBy("key").agg(F.count("*").alias("many"), F.max("own").alias("some")).where("many > 1 and some")
         entries = stored(entries.join(several.select("key"), "key"), "line-entries")
-        left = entries.where("own").select("key", F.col("line").alias("a"))
-        pairs = left.join(entries.select("key", F.col("line").alias("b"), "own"), "key")
-        pairs = pairs.where("a < b or (a > b and not own)")
+        left = entries.where("own").select("key", F.col("line").alias("a"), F.col("odd").alias("odd_a"))
+        right = entries.select("key", F.col("line").alias("b"), F.col("odd").alias("odd_b"), "own")
+        near = F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b"))) <= 2 * self.errors
+        either = (F.col("a") < F.col("b")) | ((F.col("a") > F.col("b")) & ~F.col("own"))
+        pairs = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & near & either)
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def links(self) -> DataFrame:
