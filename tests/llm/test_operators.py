@@ -318,6 +318,37 @@ def test_line_dedup(spark):
     same(got, want)
 
 
+def test_short_lines(spark, tmp_path):
+    """Copies of any length; links from six code points on, also past the ends of a range of lengths."""
+    import random
+
+    from trafficlens.llm import catalog
+
+    r = random.Random(4)
+    every = ["".join(r.choice("abc") for _ in range(r.randint(1, 9))) for _ in range(60)]
+    every += ["Les.", "And ornd.", "And ornd", "x" * 22, "x" * 24, "x" * 25, "x" * 27, "", " "]
+    rows = [(i, "\n".join(r.choice(every) for _ in range(20))) for i in range(12)] + [(None, "Les.\n\nLes.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()
+    used = sorted({x for _, t in rows for x in t.split("\n") if x})
+    linked = {x: [y for y in used if y != x and min(len(x), len(y)) >= 6 and line_dedup._plain(list(x), list(y)) <= 2] for x in used}
+    group = {}
+    for x in used:
+        todo = [x] if x not in group else []
+        while todo:
+            group[y := todo.pop()] = x
+            todo += [z for z in linked[y] if z not in group]
+    first, want = set(), []
+    for i, t in rows:
+        parts, gone = t.split("\n"), []
+        for n, x in enumerate(parts):
+            if x and group[x] in first:
+                gone.append(n)
+            first.add(group.get(x))
+        want.append((i, len(parts), sum(len(linked.get(x, ())) for x in parts), len(gone), ",".join(map(str, gone))))
+    same(got, want)
+
+
 PAGE = """<html><body><div class="site-header"><a href=x>Home</a></div><nav>menu</nav><div class=wrap><div class="post post-{n}">
 <h1>Ti<b>t</b>le {n}</h1><p>Para one &amp; more&nbsp;text here with <a href='q>'>link</a>.<p>{body}<ul><li>a<li>b</ul>
 <div class=ad>Buy</div><script>if(a<b){{"</p>"}}</script><form>f<input></form><section class="comments"><p>nice</p></section>

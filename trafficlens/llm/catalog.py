@@ -66,4 +66,4 @@ def op5(spark, sf_dir):
 
 @query("op3_line_dedup")
 def op3(spark, sf_dir):
-    return line_dedup.LineDuplicates(table(spark, sf_dir, "documents")).report()
+    return line_dedup.LineDuplicates(table(spark, sf_dir, "documents"), least=1).report()

@@ -7,7 +7,8 @@ far from its own place. Segments of every line go into an index by length,
 segment number and content. A line probes the index for its own length and for
 up to ``errors`` less, with the substrings whose place leaves enough edits for
 the text on either side. Lines that meet are compared by a banded bit-parallel
-edit distance.
+edit distance. A line with less than two code points per segment is a copy of
+equal lines only: two edits turn most such lines into any other.
 
 Every distinct line is one entry however often it stands in the corpus, so a
 line of a third of all documents is no group of pairs. A bitmap of the index
@@ -61,10 +62,11 @@ class Lines:
         own = self.rolling.of(at, at + width)
         return mix64(own + mix64(size.astype(U64) * U64(64) + U64(segment))).view(np.int64)
 
-    def index(self, errors: int) -> np.ndarray:
-        """A row per line with the key of each of its segments."""
-        out = [self.key(self.start + first, width, self.size, i) for i, first, width in _segments(self.size, errors)]
-        return np.column_stack(out) if len(self.size) else np.zeros((0, errors + 1), np.int64)
+    def index(self, errors: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which lines have segments, and a row for each of these with the key of every segment."""
+        some = self.size >= shortest(errors)
+        start, size = self.start[some], self.size[some]
+        return some, np.column_stack([self.key(start + first, width, size, i) for i, first, width in _segments(size, errors)])
 
     def probes(self, errors: int):
         """(line, key) of all other substrings that may be a segment of a line of the same size or a shorter one."""
@@ -77,10 +79,15 @@ class Lines:
                     if less == 0 and shift == 0:
                         continue  # the line's own segment, which is in the index
                     at = first + shift
-                    fits = np.flatnonzero((at >= 0) & (at + width <= self.size))
+                    fits = np.flatnonzero((at >= 0) & (at + width <= self.size) & (size >= shortest(errors)))
                     yield fits, self.key(self.start[fits] + at[fits], width[fits], size[fits], i)
 
 
+def shortest(errors: int) -> int:
+    """Code points of the shortest line that has segments, two for each."""
+    return 2 * (errors + 1)
+
+
 def _segments(size: np.ndarray, errors: int):
     """Number, first place and width of even segments; the later ones are the longer."""
     parts = errors + 1
@@ -161,11 +168,11 @@ def _occurrences(errors: int, least: int):
         for batch in batches:
             for low, high, texts in _batches(batch):
                 lines = Lines(texts, least)
-                keys = lines.index(errors)
+                some, keys = lines.index(errors)
                 ends = np.searchsorted(lines.of, np.arange(high - low + 1)).astype(np.int32)
                 totals = np.bincount(lines.all_of, minlength=high - low)
                 flat = pa.ListArray.from_arrays(
-                    pa.array(np.arange(len(keys) + 1, dtype=np.int32) * (errors + 1)), pa.array(keys.ravel()))
+                    pa.array(np.concatenate([[0], np.cumsum(some) * (errors + 1)]).astype(np.int32)), pa.array(keys.ravel()))
                 entry = pa.StructArray.from_arrays(
                     [pa.array(lines.number, pa.int32()), pa.array(lines.name), pa.array(lines.odd), flat],
                     ["number", "line", "odd", "keys"])
@@ -223,16 +230,17 @@ class LineDuplicates:
     """The stages of the join; ``links`` gives all pairs of distinct lines, ``report`` a row per document.
 
     A line is what stands between line feeds, taken as it is. Lines of fewer
-    than ``least`` code points take no part. Lines are named by 64 bits of a
-    cryptographic digest. Of the lines that hang together by links, copies
+    than ``least`` code points take no part; 1 leaves out empty lines only. Lines
+    of fewer than ``shortest(errors)`` code points have copies but no links.
+    Lines are named by 64 bits of a cryptographic digest. Of the lines that hang together by links, copies
     included, the one in the document with the least id stays, the first there;
     null ids come last.
     """
 
     def __init__(self, docs: DataFrame, id: str = "doc_id", text: str = "text", *, errors: int = ERRORS, least: int = LEAST):
-        if least < 2 * (errors + 1):
-            raise ValueError("a line needs two code points per segment")
-        self.errors, self.least = errors, least
+        if least < 1:
+            raise ValueError("an empty line is no copy")
+        self.errors, self.least = errors, max(least, shortest(errors))
         self.rows = columns(docs, id=id, text=text).select(F.col("id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
         schema = "id bigint, n_lines bigint, lines array<struct<number:int,line:bigint,odd:bigint,keys:array<bigint>>>"
         self.docs = stored(self.rows.mapInArrow(_occurrences(errors, least), schema).withColumn(
