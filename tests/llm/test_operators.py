@@ -272,6 +272,26 @@ def test_skip_factors_add_spans(spark, data):
     assert [(text[a:b], k) for a, b, k in spans if (a, b, k) not in found] == [("4644.3483.9801.0899", "card"), ("706/555/3138", "phone")]
 
 
+def pii_model():
+    """As fitted on documents where numbers with slashes and dots are mostly nothing."""
+    shapes = Counter({("16L", 3): 50, ("16.L", 0): 40, ("16/L", 0): 40, ("7", 0): 900})
+    return pii.Field(shapes, Counter({(pii.SAME, 3, 3): 20, (pii.SAME, 0, 0): 40, (pii.CHAIN, 0, 0): 900, (pii.CHAIN, 3, 0): 50}))
+
+
+def test_far_repeats():
+    """Repeats in another notation are labelled however many there are; all are two links apart at most."""
+    text = "card 4644348398010899" + "".join(f" word {1000000 + k} then {'4644/3483/9801/0899'} end" for k in range(50))
+    base_found, spans = pii.find(text, pii_model())
+    assert [k for *_, k in base_found] == ["card"]
+    assert [k for a, b, k in spans if text[a:b] == "4644/3483/9801/0899"] == ["card"] * 50
+    nodes = pii.mentions(text, base_found)
+    links = pii.edges(nodes)
+    assert len(links) == len(set(links)) <= 5 * len(nodes)
+    base_at = next(i for i, m in enumerate(nodes) if m.kind)
+    assert {i for i, m in enumerate(nodes) if m.same == nodes[base_at].same and i != base_at} <= {
+        a + b - base_at for a, b, kind in links if kind == pii.SAME and base_at in (a, b)}
+
+
 def test_line_distance():
     import random
 
