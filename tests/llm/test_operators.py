@@ -292,6 +292,17 @@ def test_far_repeats():
         a + b - base_at for a, b, kind in links if kind == pii.SAME and base_at in (a, b)}
 
 
+def test_factors_count_all_documents(spark):
+    """Rare shapes, single ones and those of rows without an id take part, also past 20,000 documents."""
+    rare = ["1" * n for n in range(8, 20)]
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("n 1234567 x "), F.when(
+        F.col("id") % 2500 == 7, F.lpad(F.lit(""), (F.col("id") / 2500).cast("int") + 8, "1")).otherwise("")).alias("text"))
+    rows = rows.union(spark.createDataFrame([(None, "alone 12/34/56/78/90"), (None, "1" * 25 + " or " + "1" * 4000)], "doc_id long, text string"))
+    shapes = pii.learn(rows).shapes
+    assert {pii._mention(x, 0, len(x), None).shape for x in [*rare, "12/34/56/78/90", "1" * 30]} <= set(shapes)
+    assert all(int(re.match("[0-9]*", s)[0] or 0) <= 21 for s in shapes)
+
+
 def test_line_distance():
     import random
 

@@ -9,8 +9,7 @@ far apart. Base spans keep their label; loopy message passing carries it along
 the factors, so a card number that returns with unusual separators is labelled
 as its first occurrence is.
 
-The factors are fitted piecewise, from smoothed counts over a sample of
-documents: base spans are labelled, other mentions count as no entity unless
+The factors are fitted piecewise, from smoothed counts over all documents: base spans are labelled, other mentions count as no entity unless
 they repeat a base span, in which case they are left open.
 """
 
@@ -31,7 +30,9 @@ from .common import columns, filled, slices, utf8
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 CHAIN, SAME, ALIKE = range(3)
-SAMPLE, SURE, SMOOTH = 20_000, 0.9, 0.5
+SURE, SMOOTH = 0.9, 0.5
+#: Numbers of more digits are one class of shapes, so that the number of shapes is bounded.
+MOST_DIGITS = 20
 #: Messages are settled when none changes by more; the step is halved after so many turns that don't settle.
 SETTLED, TURNS = 5e-4, 50
 #: Pairs of agreeing labels that skip factors start from, before any evidence.
@@ -119,7 +120,7 @@ def _mention(text: str, start: int, end: int, kind: str | None) -> Mention:
         return Mention(start, end, kind, f"@{dots}{'' if own.isascii() else 'u'}", f"@{name}@{host}", f"@{host}")
     number = digits(own)
     marks = "".join(sorted(set(own) - set("0123456789")))
-    shape = f"{len(number)}{marks}{'+' if start and text[start - 1] == '+' else ''}{'L' if luhn(number) else ''}"
+    shape = f"{min(len(number), MOST_DIGITS + 1)}{marks}{'+' if start and text[start - 1] == '+' else ''}{'L' if luhn(number) else ''}"
     parts = own.split(".")
     near = ".".join(parts[:3]) if len(parts) == 4 else number[-7:]
     return Mention(start, end, kind, shape, number, near)
@@ -258,17 +259,14 @@ def _count_rows(batches):
         (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64()))], ["shape", "kind", "a", "b", "n"])
 
 
-def learn(docs: DataFrame, id: str = "doc_id", text: str = "text", *, sample: int = SAMPLE) -> Field:
-    """Fit on at most ``sample`` documents, those with the least hash of their id.
+def learn(docs: DataFrame, text: str = "text") -> Field:
+    """Fit on all documents.
 
-    A shape has one row per number of digits and set of separators; shapes seen
-    once are left out, so that the driver gets a small table.
+    The driver gets a row per shape and label: digits up to a bound, a set of
+    the few separators and two marks, so some ten thousand at most.
     """
-    rows = columns(docs, id=id, text=text).where("id is not null")
-    chosen = rows.select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(sample).select("id").distinct()
-    got = rows.join(F.broadcast(chosen), "id").select("text").mapInArrow(
-        _count_rows, "shape string, kind int, a int, b int, n bigint")
-    got = got.groupBy("shape", "kind", "a", "b").agg(F.sum("n").alias("n")).where("shape is null or n > 1").collect()
+    got = columns(docs, text=text).mapInArrow(_count_rows, "shape string, kind int, a int, b int, n bigint")
+    got = got.groupBy("shape", "kind", "a", "b").agg(F.sum("n").alias("n")).collect()
     return Field(Counter({(r.shape, r.a): r.n for r in got if r.shape is not None}),
                  Counter({(r.kind, r.a, r.b): r.n for r in got if r.shape is None}))
 
@@ -320,13 +318,13 @@ def _finder(model):
     return rows
 
 
-def personal_data(docs: DataFrame, id: str = "doc_id", text: str = "text", *, sample: int = SAMPLE) -> DataFrame:
+def personal_data(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
 
     The counts and the digest are of the base spans; ``spans`` has these and the
     added ones. Null and empty texts have none. Rows that share an id are looked
     at one by one; an empty table gives no rows; positions are code points.
     """
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, id, text, sample=sample))
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, text))
     rows = columns(docs, id=id, text=text).select(F.col("id").cast("bigint"), "text")
     return rows.mapInArrow(_finder(model), SCHEMA)
