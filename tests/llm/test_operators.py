@@ -292,6 +292,22 @@ def test_far_repeats():
         a + b - base_at for a, b, kind in links if kind == pii.SAME and base_at in (a, b)}
 
 
+def test_whole_mentions():
+    """Short repeats of a base span, and all that stands around an @."""
+    text = f"8.8.8.8 or 8-8-8-8, not 9-9-9-9; {'é' * 90}@{'ü' * 100}.org, x @y z@ @"
+    found = [text[m.start:m.end] for m in pii.mentions(text, pii.base_spans(text))]
+    assert found == ["8.8.8.8", "8-8-8-8", f"{'é' * 90}@{'ü' * 100}.org"]
+    import random
+
+    r = random.Random(6)
+    for _ in range(2000):
+        text = "".join(r.choice(["a", "@", " ", "\u2003", "\x1f", "é.", ","]) for _ in range(r.randint(0, 20)))
+        base_found = pii.base_spans(text)
+        want = [(m.start(1), m.end(2)) for m in re.finditer(r"(?<![^\s@])(?=([^\s@]+)@([^\s@]+))", text)]
+        want = [(a, a + len(text[a:b].rstrip(".,;:!?"))) for a, b in want if not text[a:b].rstrip(".,;:!?").endswith("@")]
+        assert not base_found and [(m.start, m.end) for m in pii.mentions(text, [])] == want, text
+
+
 def test_factors_count_all_documents(spark):
     """Rare shapes, single ones and those of rows without an id take part, also past 20,000 documents."""
     rare = ["1" * n for n in range(8, 20)]

@@ -37,8 +37,10 @@ MOST_DIGITS = 20
 SETTLED, TURNS = 5e-4, 50
 #: Pairs of agreeing labels that skip factors start from, before any evidence.
 AGREE = {SAME: 20.0, ALIKE: 4.0}
-#: No mail address has a longer part before or after the @ in a mention that isn't a base span.
+#: How far the search for the start of a mail address looks back at first.
 MAIL_PART = 64
+#: Digits of a number that is a mention by itself; a shorter one has to repeat a base span.
+LEAST_DIGITS = 7
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _HOST = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -46,7 +48,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"[0-9](?:[\x20()./_-]{0,2}[0-9])++")
-_BEFORE, _AFTER = re.compile(r"[^\s@]*\Z"), re.compile(r"[^\s@]*")
+_AFTER = re.compile(r"[^\s@]*")
 _DIGITS = re.compile(r"[0-9]+")
 
 FIELDS = [("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()),
@@ -134,13 +136,17 @@ def mentions(text: str, base: list[tuple[int, int, str]]) -> list[Mention]:
     def free(a, b):
         return all(b <= x or a >= y for x, y in taken[_near(taken, a):_near(taken, b) + 2])
 
+    known = {m.same for m in out}
     for m in _NUMBER.finditer(text):
-        if len(digits(m[0])) >= 7 and free(m.start(), m.end()):
+        number = digits(m[0])
+        if (len(number) >= LEAST_DIGITS or number in known) and free(m.start(), m.end()):
             out.append(_mention(text, m.start(), m.end(), None))
-    at = text.find("@")
+    done, at = 0, text.find("@")
     while at >= 0:
-        before = _BEFORE.search(text[max(0, at - MAIL_PART):at])[0]
-        after = _AFTER.match(text[at + 1:at + 1 + MAIL_PART])[0].rstrip(".,;:!?")
+        # what stands since the last @ is looked at once
+        before = text[done:at].rsplit(None, 1)[-1] if at > done and not text[at - 1].isspace() else ""
+        after = _AFTER.match(text, at + 1)[0].rstrip(".,;:!?")
+        done = at + 1
         if before and after and free(at - len(before), at + 1 + len(after)):
             out.append(_mention(text, at - len(before), at + 1 + len(after), None))
         at = text.find("@", at + 1)
