@@ -21,13 +21,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.scored(docs, model, score=score).where(F.col(score) >= quality.FLOOR).drop(score)
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _without(docs: DataFrame, ids: DataFrame, id: str = "doc_id") -> DataFrame:
     """The documents whose id is not among ``ids``.
 
     The ids are read back from files, so that Spark knows their size and
     broadcasts them only if they are few; otherwise both sides are shuffled.
     """
-    return docs.join(stored(ids.distinct(), "dropped"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(stored(ids.distinct(), "dropped"), id, "left_anti").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +37,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words stand in benchmark windows."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated").select("doc_id"))
+    """Documents of which less than a twentieth of the words stand in benchmark windows.
+
+    Rows are numbered and removed by number, because ids may be null or repeated.
+    """
+    number = free_name(docs, "number")
+    docs = stored(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), id=number)
+    return _without(docs, found.where("contaminated").select(F.col("doc_id").alias(number)), number).drop(number)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

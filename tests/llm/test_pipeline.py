@@ -22,6 +22,16 @@ def test_stages(spark, messy, data):
     assert docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
 
 
+def test_contaminated_rows_go_by_row(spark, messy, data):
+    """A contaminated document without an id goes, a clean one that shares its id with a contaminated one stays."""
+    items = [r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").select("text").collect() if len((r.text or "").split()) > 20]
+    rows = [(None, items[0]), (None, "clean and without an id"), (1, items[0]), (1, "clean with the same id"), (2, None)]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, number string")
+    got = corpus_pipeline.drop_contaminated(spark, docs, data)
+    assert got.columns == docs.columns
+    assert {tuple(r)[:2] for r in got.collect()} == {rows[1], rows[3], rows[4]}
+
+
 def test_empty(spark, messy, data):
     docs = messy.limit(0)
     for _, stage in corpus_pipeline.STAGES:
