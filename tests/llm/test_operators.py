@@ -214,6 +214,16 @@ def test_mixing(messy, plain):
                if r.n_chars == len(whole[7]))
 
 
+def test_smallest_sources_are_mixed(spark):
+    """A source of a few words has a block, and those capped at twice their size get it twice."""
+    rows = [(1, "tiny", "three short words"), (2, "one", "word"), (3, "big", "much " * 5000), (4, "other", "more " * 5000)]
+    mix = mixing.Mix(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    got = {r.source: r for r in mix.taken().collect()}
+    assert all(r.target > 0 and r.taken > 0 for r in got.values())
+    assert all(abs(got[s].taken - got[s].target) <= got[s].source_size for s in ("tiny", "one"))
+    assert {r.source for r in mix.documents().collect()} == set(got)
+
+
 def test_targets_capped(spark):
     rows = [("a", 10), ("b", 1000), (None, 5), ("c", 0), ("d", 400), ("é", 3)]
     got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(rows, "source string, size long")).collect()}

@@ -159,9 +159,11 @@ class Mix:
         self.sources = stored(targets(sizes, weights, share, most), "mix-sources")
         named = sizes.join(self.sources, sizes["source"].eqNullSafe(self.sources["source"])).select(
             "id", sizes["source"], "size", "row", "number", "source_size", "target")
+        # a block has a little fewer words in the mean, as the last one is short; no source with a target gets no slot
         blocks = F.ceil(F.col("source_size") / block_words).cast("bigint")
-        quota = self.sources.select("number", blocks.alias("blocks"), F.least(
-            F.round(F.col("target") / block_words).cast("bigint"), blocks * most).alias("slots")).where("blocks > 0")
+        quota = self.sources.select("number", blocks.alias("blocks"), F.greatest(F.least(
+            F.round(F.col("target") * blocks / F.col("source_size")).cast("bigint"), blocks * most),
+            (F.col("target") > 0).cast("bigint")).alias("slots")).where("blocks > 0")
         self.slots = stored(slots(quota, seed), "mix-slots")
         self.places = stored(packed(named), "mix-places")
 
