@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_text, line_dedup, mixing, near_dedup, pii, quality, repeats, tokens
+from . import (
+    decontaminate, exact_dedup, html_text, line_dedup, mixing, near_dedup, pii, prefix_trie, quality, repeats, tokens)
 from .common import table
 
 QUERIES: dict = {}
@@ -67,3 +68,8 @@ def op5(spark, sf_dir):
 @query("op3_line_dedup")
 def op3(spark, sf_dir):
     return line_dedup.LineDuplicates(table(spark, sf_dir, "documents"), least=1).report()
+
+
+@query("op13_prefix_trie", prefix_trie.SQL)
+def op13(spark, sf_dir):
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
