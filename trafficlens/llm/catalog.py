@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from . import (
-    decontaminate, exact_dedup, html_text, line_dedup, mixing, near_dedup, pii, prefix_trie, quality, repeats, tokens)
+    decontaminate, exact_dedup, html_text, language, lexical, line_dedup, mixing, near_dedup, pii, prefix_trie, quality,
+    repeats, tokens)
 from .common import table
 
 QUERIES: dict = {}
@@ -73,3 +74,13 @@ def op3(spark, sf_dir):
 @query("op13_prefix_trie", prefix_trie.SQL)
 def op13(spark, sf_dir):
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_ranked_search", lexical.SQL)
+def op11(spark, sf_dir):
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_language")
+def op12(spark, sf_dir):
+    return language.language(table(spark, sf_dir, "documents"))
