@@ -19,12 +19,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import columns, filled, slices, stored, utf8
+from .common import U64, Rolling, columns, filled, slices, stored, utf8
 
 #: Symbols of sample text of all languages together, and at most of one.
 SYMBOLS, MOST = 1 << 18, 1 << 15
 #: Symbols taken from one sampled document.
 EXCERPT = 512
+#: Strings of so many symbols that two excerpts share are taken out of the sample.
+SHARED = 32
 PIECE = 256
 LETTER = r"\p{L}"
 
@@ -165,17 +167,36 @@ def _excerpts(batches):
                                          ["lang", "place", "excerpt"])
 
 
+def without_shared(excerpts: list[np.ndarray]) -> list[np.ndarray]:
+    """Excerpts without the strings of ``SHARED`` symbols that stand in several of them.
+
+    A passage that documents of all languages quote says nothing of a language,
+    but each match of it would be as long as the passage.
+    """
+    grams = [np.unique(Rolling(x.astype(U64)).every(SHARED)) for x in excerpts]
+    names, times = np.unique(np.concatenate([np.zeros(0, U64), *grams]), return_counts=True)
+    shared, out = names[times > 1], []
+    for x in excerpts:
+        starts = np.flatnonzero(np.isin(Rolling(x.astype(U64)).every(SHARED), shared))
+        edges = np.zeros(len(x) + 1, np.int64)
+        np.add.at(edges, starts, 1)
+        np.add.at(edges, starts + SHARED, -1)
+        out.append(x[np.cumsum(edges)[:-1] == 0])
+    return out
+
+
 def learn(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", *, symbols: int = SYMBOLS) -> Languages:
     """Automata of at most ``MOST`` symbols a language and ``symbols`` in all.
 
     The sample are excerpts of ``EXCERPT`` symbols from rows that are not held
-    out and have a language and a letter, those with the least hash of id and
-    text; a language with little text has a shorter sample, which the logarithm
-    of its length makes up for.
+    out and have a language and a letter, those with the least hash of the text;
+    a language with little text has a shorter sample, which the logarithm of its
+    length makes up for. A language of which only shared strings are left is
+    not learned.
     """
     rows = columns(docs, id=id, text=text, lang=lang).where(
         F.col("lang").isNotNull() & ~held_out(F.col("id")) & F.coalesce(F.col("text").rlike(LETTER), F.lit(False)))
-    place = F.xxhash64("id", "text").bitwiseAND(F.lit((1 << 62) - 1))
+    place = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
     rows = rows.select(F.col("lang").cast("string"), place.alias("place"), "text")
     many = rows.groupBy("lang").agg(F.count("*").alias("many"))
     many = stored(many, "language-counts")
@@ -183,15 +204,17 @@ def learn(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
     if not kinds:
         return Languages.of({})
     share = min(MOST, max(symbols // kinds, EXCERPT))
-    # twice as many rows as excerpts fit, as some are short; hashes below a language's threshold are about so many
-    want = 2 * share // EXCERPT
+    # more rows than excerpts fit, as some are short or alike; hashes below a language's threshold are about so many
+    want = 3 * share // EXCERPT
     limit = F.least(F.lit(1.0), F.lit(1.5 * want + 40) / F.col("many")) * F.lit(float(1 << 62))
     some = rows.join(F.broadcast(many), "lang").where(F.col("place") <= limit).drop("many")
     got = some.mapInArrow(_excerpts, "lang string, place bigint, excerpt binary").toArrow().to_pydict()
-    samples: dict[str, list[bytes]] = {}
-    for name, _, part in sorted(zip(got["lang"], got["place"], got["excerpt"])):
+    parts = sorted(set(zip(got["lang"], got["place"], got["excerpt"])))
+    samples: dict[str, list[np.ndarray]] = {}
+    for (name, *_), part in zip(parts, without_shared([np.frombuffer(x[2], np.uint8) for x in parts])):
         samples.setdefault(name, []).append(part)
-    return Languages.of({n: np.frombuffer(b"".join(p)[:share], np.uint8) for n, p in samples.items()})
+    samples = {n: np.concatenate(p)[:share] for n, p in samples.items()}
+    return Languages.of({n: p for n, p in samples.items() if len(p)})
 
 
 def _predict(model, names: tuple[str, str, str]):
