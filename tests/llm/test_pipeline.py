@@ -43,5 +43,5 @@ def test_registered():
     import __spark_entry__ as entry
 
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
-    assert {"op4_exact_dedup", "op7_decontamination"} <= set(entry.oracle_sql())
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
+    assert {"op4_exact_dedup", "op7_decontamination", "op11_ranked_search", "op13_prefix_trie"} <= set(entry.oracle_sql())

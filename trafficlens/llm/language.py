@@ -107,9 +107,11 @@ class Languages:
         width, tables, roots, base = len(seen) + 1, [], [], 0
         for name in names:
             own = suffix_automaton(code[samples[name]], width)
+            own = np.concatenate([own, np.full((1, width), -1, np.int32)])
             first = own[0].copy()
-            first[first < 0] = 0  # an unknown symbol is a phrase by itself
+            first[first < 0] = len(own) - 1  # an unknown symbol is a phrase that nothing continues
             again = own < 0
+            again[0] = False  # at the root a phrase has just begun
             own = np.where(again, first[None, :], own) + base
             tables.append((own.astype(np.int64) * 2 + again).astype(np.int32))
             roots.append(base)
