@@ -111,7 +111,6 @@ class Languages:
             first = own[0].copy()
             first[first < 0] = len(own) - 1  # an unknown symbol is a phrase that nothing continues
             again = own < 0
-            again[0] = False  # at the root a phrase has just begun
             own = np.where(again, first[None, :], own) + base
             tables.append((own.astype(np.int64) * 2 + again).astype(np.int32))
             roots.append(base)
