@@ -73,7 +73,7 @@ def slices(texts: pa.Array, most: int = 1 << 20):
     sizes = np.diff(offsets_of(texts))
     first, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
-        if total and total + n > most:
+        if i > first and total + n > most:
             yield first, i
             first, total = i, 0
         total += n
@@ -143,20 +143,23 @@ class Rolling:
     """Polynomial hashes (mod 2**64) of slices of one array, from prefix sums."""
 
     BASE = 0x9E3779B97F4A7C15 | 1
+    KEEP = 1 << 21
     _power, _back = np.ones(1, U64), np.ones(1, U64)
 
     def __init__(self, values: np.ndarray):
         n = len(values)
         if len(Rolling._power) <= n:
             size = max(n + 1, 1 << 16)
-            Rolling._power, Rolling._back = _powers(self.BASE, size), _powers(_inverse(self.BASE), size)
+            # those of long arrays are not kept
+            keeper = Rolling if size <= self.KEEP else self
+            keeper._power, keeper._back = _powers(self.BASE, size), _powers(_inverse(self.BASE), size)
         self.sums = np.empty(n + 1, U64)
         self.sums[0] = 0
-        np.cumsum(values * Rolling._power[:n], dtype=U64, out=self.sums[1:])
+        np.cumsum(values * self._power[:n], dtype=U64, out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Mixed hash of each slice; its length takes part."""
-        raw = (self.sums[end] - self.sums[start]) * Rolling._back[start]
+        raw = (self.sums[end] - self.sums[start]) * self._back[start]
         return mix64(raw + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
     def every(self, width: int) -> np.ndarray:
@@ -164,7 +167,7 @@ class Rolling:
         n = len(self.sums) - width
         if n <= 0:
             return np.zeros(0, U64)
-        raw = (self.sums[width:] - self.sums[:n]) * Rolling._back[:n]
+        raw = (self.sums[width:] - self.sums[:n]) * self._back[:n]
         return mix64(raw + np.full(1, width, U64) * U64(0xD6E8FEB86659FD93))
 
 
