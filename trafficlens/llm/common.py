@@ -30,15 +30,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
+def stored(df: DataFrame, purpose: str, rows: int | None = None) -> DataFrame:
     """Write a table to the shared folder and continue from the written copy.
 
-    Later passes then read the same rows, also after an executor was lost.
+    Later passes then read the same rows, also after an executor was lost. Where
+    rows are large, ``rows`` bounds those that are buffered and decoded at once.
     """
     spark = df.sparkSession
     _ready(spark)
     path = shared_dir(spark, f"llm-{purpose}")
-    df.write.parquet(path)
+    writer = df.write if rows is None else df.write.option("parquet.block.row.count.limit", rows)
+    writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

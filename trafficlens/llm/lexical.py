@@ -20,9 +20,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import U64, Rolling, columns, filled, mix64, slices, stored, utf8, word_bounds
 
-SEGMENT = 4096
+SEGMENT = 2048
 #: Postings of a segment; a document with more is a segment of its own.
-POSTINGS = 1 << 19
+POSTINGS = 1 << 17
+#: Postings that are added up at once.
+AT_ONCE = 1 << 19
 #: Terms of the queries that are answered at once.
 BLOCK_TERMS = 100_000
 #: Segments that a query visits first.
@@ -120,7 +122,7 @@ class StratifiedIndex:
         made = bags.select("m", "id", "terms", "times").mapInArrow(
             _segments, "m bigint, ids array<bigint>, terms array<bigint>, heads array<int>, times array<int>, lists array<int>, "
             "slots array<int>")
-        self.segments = stored(made.select(F.monotonically_increasing_id().alias("segment"), "*"), "lexical-segments")
+        self.segments = stored(made.select(F.monotonically_increasing_id().alias("segment"), "*"), "lexical-segments", rows=32)
 
     def document_frequencies(self, wanted: np.ndarray) -> DataFrame:
         """(term, df) of the sorted ``wanted`` terms, counted over all segments."""
@@ -142,10 +144,6 @@ class _Queries:
         self.cuts = np.append(first, len(query))
         self.term, self.weight = term[order], weight[order]
 
-    def of(self, q: int) -> slice:
-        at = int(np.searchsorted(self.names, q))
-        return slice(self.cuts[at], self.cuts[at + 1])
-
 
 def _impacts(times: np.ndarray, m: int) -> np.ndarray:
     times = times.astype(np.int64)
@@ -191,36 +189,54 @@ def _bounds(queries):
     return rows
 
 
+def _ranges(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """low[0], low[0] + 1, .. for ``size[0]`` numbers, then those from low[1] on, and so forth."""
+    return np.arange(int(size.sum())) + np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+
+
+def _scores(own: _Queries, asked: np.ndarray, parts: tuple, impacts: np.ndarray, many: int):
+    """Score of each of the ``many`` documents of a segment for each query of ``asked``, some queries at a time."""
+    terms, heads, lists, slots = parts
+    at = np.searchsorted(own.names, asked)
+    size = own.cuts[at + 1] - own.cuts[at]
+    row, pick = np.repeat(np.arange(len(asked)), size), _ranges(own.cuts[at], size)
+    t, found = _find(terms, own.term[pick])
+    row, t, weight = row[found], t[found], own.weight[pick][found]
+    postings = np.bincount(row, (lists[heads[t + 1]] - lists[heads[t]]).astype(float), len(asked))
+    for group in np.split(np.arange(len(asked)), np.flatnonzero(np.diff(np.cumsum(postings) // AT_ONCE)) + 1):
+        low, high = np.searchsorted(row, [group[0], group[-1] + 1])
+        size = (heads[t + 1] - heads[t])[low:high]
+        these = _ranges(heads[t[low:high]], size)
+        points = np.repeat(weight[low:high], size) * impacts[these]
+        base = np.repeat((row[low:high] - group[0]) * many, size)
+        size = lists[these + 1] - lists[these]
+        out = np.zeros(len(group) * many, np.int64)
+        np.add.at(out, np.repeat(base, size) + slots[_ranges(lists[these], size)], np.repeat(points, size))
+        yield group, out.reshape(len(group), many)
+
+
 def _visits(queries):
     """Scores of the ``BEST`` documents of each visited segment for each of its queries."""
     def rows(batches):
         own = queries.value
         for batch in batches:
             for i in range(batch.num_rows):
-                m = batch.column("m")[i].as_py()
                 terms, heads, times, lists, slots = (
                     batch.column(c)[i].values.to_numpy() for c in ("terms", "heads", "times", "lists", "slots"))
                 ids = batch.column("ids")[i].values
-                impacts, known = _impacts(times, m), ids.is_valid().to_numpy(zero_copy_only=False)
-                numbers = ids.fill_null(0).to_numpy(zero_copy_only=False)
-                out = []
-                for q, least in zip(batch.column("queries")[i].values.field("query").to_pylist(),
-                                    batch.column("queries")[i].values.field("least").to_pylist()):
-                    part = own.of(q)
-                    at, found = _find(terms, own.term[part])
-                    scores = np.zeros(len(ids), np.int64)
-                    for t, w in zip(at[found].tolist(), own.weight[part][found].tolist()):
-                        low, high = heads[t], heads[t + 1]
-                        a, b = lists[low], lists[high]
-                        # a term stands once in a document, so no slot occurs twice
-                        scores[slots[a:b]] += np.repeat(w * impacts[low:high], np.diff(lists[low:high + 1]))
-                    some = np.flatnonzero(scores >= max(least, 1))
-                    some = some[np.lexsort([numbers[some], known[some], -scores[some]])[:BEST]]
-                    out.append((np.full(len(some), q, np.int64), some, scores[some]))
-                some = np.concatenate([x[1] for x in out]) if out else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([np.zeros(0, np.int64), *[x[0] for x in out]])), ids.take(pa.array(some)),
-                    pa.array(np.concatenate([np.zeros(0, np.int64), *[x[2] for x in out]]))], ["query", "doc", "score"])
+                known, numbers = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+                asked, least = (batch.column("queries")[i].values.field(c).to_numpy() for c in ("query", "least"))
+                impacts = _impacts(times, batch.column("m")[i].as_py())
+                order = np.argsort(asked)
+                asked, least = asked[order], np.maximum(least[order], 1)
+                for group, scores in _scores(own, asked, (terms, heads, lists, slots), impacts, len(ids)):
+                    row, doc = np.nonzero(scores >= least[group][:, None])
+                    order = np.lexsort([numbers[doc], known[doc], -scores[row, doc], row])
+                    row, doc = row[order], doc[order]
+                    best = np.arange(len(row)) - np.searchsorted(row, row) < BEST
+                    row, doc = row[best], doc[best]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(asked[group][row]), ids.take(pa.array(doc)), pa.array(scores[row, doc])], ["query", "doc", "score"])
 
     return rows
 
