@@ -1,24 +1,27 @@
 """Near-duplicate documents from bottom-k sketches of one hash function.
 
-Every set of word shingles keeps its ``KEPT`` least hashes; equal sets are one
-class from then on. Inverted lists of the retained values generate candidate
-pairs, the sketch of the union estimates their similarity, and the full sets of
-those that may be similar enough decide.
-
-Two sketches of similar sets share at least a known number of values, so they
-share one of the rarest ``size - number + 1`` of each: only these stand in the
-lists, and values that many unlike documents have in common seldom do. Sets of
-up to ``WHOLE`` shingles are retained whole, which makes that number exact and
-the lists short; only larger ones, which a common passage can't fill, are
-sampled. Sets of a size between, where a partner may be of either sort, stand in
-the lists of both. A list of many
-members is worked off in two rounds, without pairing all of them: first every
-member is compared with one hub, the most typical of the list; the links found
-join most of a group of copies. Then members of different components that
-still share a list are compared. Pairs inside a component need no comparison.
-
-Where the larger set has up to ``WHOLE`` shingles the lists miss nothing;
-otherwise a pair of similarity 0.8 is missed with a chance below 1e-9.
+Every set of word shingles keeps its ``KEPT`` least hashes, a smaller set keeps
+all of them; equal sets are one class from then on. Inverted lists of the
+retained values generate candidate pairs, the sketch of the union estimates
+their similarity, and the full sets of those that may be similar enough decide.
+Where both sketches are whole sets, the sketch of the union is exact.
+
+Sketches of similar sets share at least a known number of values: the exact
+bound if both are whole, otherwise ``LEAST_SHARED``. With all values in one
+order, the rarest first, the first value they share has at least that many in
+either sketch from its place on. So only the front of each sketch stands in the
+lists, a pair is only made where both places leave enough room, and the smaller
+set of a pair only needs its very front: values that many unlike documents have
+in common seldom stand there.
+
+A list of many members is worked off in two rounds, without pairing all of
+them: first every member is compared with one hub, the most typical of the list;
+the links found join most of a group of copies. Then members of different
+components that still share a list are compared. Pairs inside a component need
+no comparison.
+
+Where both sets have up to ``KEPT`` shingles the lists miss nothing; otherwise a
+pair of similarity 0.8 is missed with a chance below 1e-9.
 """
 
 from __future__ import annotations
@@ -32,10 +35,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import U64, Rolling, bitmap, columns, filled, may_hold, slices, stored, utf8, word_bounds
 from .components import components
 
-KEPT, WHOLE = 64, 240
-#: Values that two sketches of 64 share at similarity 0.8, less than one time in 1e9: a binomial's lower tail.
-LEAST_SHARED = 30
+KEPT = 256
+#: Values that two sketches of 256 share at similarity 0.8, but for less than one time in 1e9: a binomial's lower tail.
+LEAST_SHARED = 163
 PERCENT = 80
+#: Values that a row of a list knows of those before it.
+EARLIER = 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -72,7 +77,7 @@ def _profiles(width: int):
                 for values in shingle_sets(texts.slice(low, high - low), width):
                     sizes.append(len(values))
                     digests.append(_digest(values))
-                    kept.append(values[:WHOLE if len(values) <= WHOLE else KEPT])
+                    kept.append(values[:KEPT])
                 ends = np.cumsum([0, *map(len, kept)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("id").slice(low, high - low), pa.array(sizes, pa.int64()),
@@ -124,67 +129,91 @@ class NearDuplicates:
             F.min("id").alias("node"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
         self.classes = stored(classes.select(F.monotonically_increasing_id().alias("class"), "*"), "near-classes")
 
+    def _least(self, n, m) -> Column:
+        """Values that the sketches of two similar sets of n and m shingles share at least."""
+        exact = F.ceil((n + m) * self.percent / (100 + self.percent))
+        return F.when(F.greatest(n, m) <= KEPT, exact).otherwise(F.lit(LEAST_SHARED)).cast("bigint")
+
     def lists(self) -> DataFrame:
-        """Inverted lists of the rarest retained values: value, class, n, weight."""
+        """Inverted lists of the rarest retained values: value, class, n, rest, earlier, weight.
+
+        ``rest`` counts the values of the sketch from this one on; ``earlier``
+        are the last ones before it that have lists.
+        """
         n = F.col("n")
-        whole = self.classes.where(n <= WHOLE).select("class", "n", F.lit(False).alias("sampled"), F.explode("sketch").alias("value"))
-        # the other lists have names of their own
-        other = self.classes.where(n * 100 > WHOLE * self.percent).select(
-            "class", "n", F.lit(True).alias("sampled"), F.explode(F.slice("sketch", 1, KEPT)).alias("value"))
-        values = whole.union(other.withColumn("value", F.xxhash64("value")))
+        values = self.classes.select("class", "n", F.explode("sketch").alias("value"))
         common = values.groupBy("value").agg(F.count("*").alias("many")).where("many > 1")
-        own = values.join(common, "value").groupBy("class", "n", "sampled").agg(
+        own = values.join(common, "value").groupBy("class", "n").agg(
             F.array_sort(F.collect_list(F.struct("many", "value"))).alias("own"))
-        kept = F.when(F.col("sampled"), F.lit(KEPT)).otherwise(n)
-        need = F.when(F.col("sampled"), F.lit(LEAST_SHARED)).otherwise(F.ceil(n * self.percent / 100))
-        # values that no other class retained come first in the order and need no list
-        room = kept - need + 1 - (kept - F.size("own"))
+        # no partner is smaller than n * percent / 100, or larger than n * 100 / percent
+        least = F.least(self._least(n, F.ceil(n * self.percent / 100)),
+                        F.when(n * 100 > KEPT * self.percent, LEAST_SHARED).otherwise(n))
         weight = F.aggregate("own", F.lit(0).cast("bigint"), lambda a, x: a + x.many)
-        rarest = own.withColumn("room", room.cast("int")).where("room > 0").select(
-            "class", "n", weight.alias("weight"), F.explode(F.slice("own", F.lit(1), F.col("room"))).alias("x"))
-        return stored(rarest.select(F.col("x.value").alias("value"), "class", "n", "weight"), "near-lists")
+        # values that no other class retained come first in the order and need no list
+        def entry(x, i):
+            before = F.slice("own", F.greatest(i - EARLIER + 1, F.lit(1)), F.least(i, F.lit(EARLIER)))
+            return F.struct(x.value.alias("value"), (F.size("own") - i).cast("bigint").alias("rest"),
+                            before.getField("value").alias("earlier"))
+
+        front = F.filter(F.transform("own", entry), lambda x: x.rest >= least)
+        rarest = own.select("class", "n", weight.alias("weight"), F.explode(front).alias("x"))
+        return stored(rarest.select("x.value", "class", "n", "x.rest", "x.earlier", "weight"), "near-lists")
 
-    def _fits(self, a: str, b: str) -> Column:
-        return F.least(F.col(a), F.col(b)) * 100 >= F.greatest(F.col(a), F.col(b)) * self.percent
+    def _fits(self) -> Column:
+        """Whether sets (n, rest) and (m, rest_m) may be similar, by their sizes and the room that a shared value leaves."""
+        n, m = F.col("n"), F.col("m")
+        near = F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
+        return near & (F.least("rest", "rest_m") >= self._least(n, m))
 
     def _pairs(self, pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
+    def _fronts(self, lists: DataFrame) -> DataFrame:
+        """The rows of sets that may be the smaller one of a pair."""
+        return lists.where(F.col("rest") >= F.when(F.col("n") * 100 > KEPT * self.percent, LEAST_SHARED).otherwise(
+            self._least(F.col("n"), F.col("n"))))
+
     def to_hubs(self, lists: DataFrame) -> DataFrame:
-        hubs = lists.groupBy("value").agg(F.max(F.struct("weight", "class", "n")).alias("hub"), F.count("*").alias("many"))
-        hubs = hubs.where("many > 1").select("value", F.col("hub.class").alias("b"), F.col("hub.n").alias("m"))
-        return self._pairs(lists.join(hubs, "value").where((F.col("class") != F.col("b")) & self._fits("n", "m")).select(
+        """Pairs of every member with the hub of its list: the heaviest of those that may be the smaller set."""
+        hubs = self._fronts(lists).groupBy("value").agg(F.max(F.struct("weight", "class", "n", "rest")).alias("hub"))
+        hubs = hubs.select("value", F.col("hub.class").alias("b"), F.col("hub.n").alias("m"), F.col("hub.rest").alias("rest_m"))
+        return self._pairs(lists.join(hubs, "value").where((F.col("class") != F.col("b")) & self._fits()).select(
             F.col("class").alias("a"), "b"))
 
     def across(self, lists: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
         """Pairs of different components that share a list and haven't been compared.
 
-        One side is never of the list's largest component.
+        One side is of the front that the smaller set needs. Where earlier
+        values are seen to be shared too, the list of one of these makes the pair.
         """
-        rows = lists.select("value", "class", "n").join(labels, "class")
-        sizes = rows.groupBy("value", "label").agg(F.count("*").alias("many"))
-        major = sizes.groupBy("value").agg(
-            F.max(F.struct("many", "label")).getField("label").alias("major"), F.count("*").alias("labels"))
-        rows = rows.join(major.where("labels > 1").drop("labels"), "value")
-        few = rows.where("label <> major").select(
-            "value", F.col("class").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-        pairs = rows.join(few, "value").where((F.col("label") != F.col("other")) & self._fits("n", "m"))
+        rows = lists.select("value", "class", "n", "rest", "earlier").join(labels, "class")
+        # lists whose members are all of one component are done
+        mixed = rows.groupBy("value").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("value")
+        rows = rows.join(mixed, "value")
+        small = self._fronts(rows).select("value", F.col("class").alias("b"), F.col("n").alias("m"),
+                                          F.col("rest").alias("rest_m"), F.col("earlier").alias("earlier_m"), F.col("label").alias("other"))
+        ordered = (F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("class") > F.col("b")))
+        pairs = rows.join(small, "value").where(
+            (F.col("label") != F.col("other")) & ordered & self._fits() & ~F.arrays_overlap("earlier", "earlier_m"))
         return self._pairs(pairs.select(F.col("class").alias("a"), "b")).join(tested, ["a", "b"], "left_anti")
 
     def likely(self, pairs: DataFrame) -> DataFrame:
-        """Pairs that the sketch of their union does not rule out; exact where the sketches are whole sets."""
+        """Pairs that the sketch of their union does not rule out: a, b, sure (both sketches are whole sets)."""
         sketches = self.classes.select("class", "n", "sketch")
         both = pairs.join(sketches.toDF("a", "na", "sa"), "a").join(sketches.toDF("b", "nb", "sb"), "b")
-        shared, union = F.array_intersect("sa", "sb"), F.array_union("sa", "sb")
-        least_a, least_b = F.slice("sa", 1, KEPT), F.slice("sb", 1, KEPT)
-        least = F.slice(F.array_sort(F.array_union(least_a, least_b)), 1, KEPT)
-        enough = F.size(F.array_intersect(least, F.array_intersect(least_a, least_b))) >= LEAST_SHARED
-        similar = F.size(shared) * 100 >= F.size(union) * self.percent
-        return both.where(F.when(F.greatest("na", "nb") <= WHOLE, similar).otherwise(enough)).select("a", "b")
+        shared = F.array_intersect("sa", "sb")
+        sure = F.greatest("na", "nb") <= KEPT
+        union = F.col("na") + F.col("nb") - F.size(shared)
+        # shared values up to the last one of the union's sketch
+        least = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, KEPT)
+        enough = F.size(F.array_intersect(least, shared)) >= LEAST_SHARED
+        return both.where(F.when(sure, F.size(shared) * 100 >= union * self.percent).otherwise(enough)).select(
+            "a", "b", sure.alias("sure"))
 
     def confirmed(self, pairs: DataFrame, purpose: str) -> DataFrame:
-        """Pairs that are similar by their full sets: a, b. Sets are built anew from the texts of the classes they need."""
-        pairs = stored(self.likely(pairs), f"near-likely-{purpose}")
+        """Pairs that are similar by their full sets: a, b. Sets that a sketch does not hold are built anew from the texts."""
+        likely = stored(self.likely(pairs), f"near-likely-{purpose}")
+        pairs = likely.where("not sure").select("a", "b")
         ids = pairs.select("a").union(pairs.select("b")).distinct().toDF("class")
         wanted = self.classes.join(ids, "class").select("class", "digest", "node")
         bits = self.rows.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("node").alias("h")), "h"))
@@ -192,9 +221,10 @@ class NearDuplicates:
             _sets(self.width, bits), "digest binary, values binary")
         sets = stored(sets.join(wanted.select("class", "digest"), "digest").dropDuplicates(["class"]).select(
             "class", "values"), f"near-sets-{purpose}")
+        bits.unpersist()
         both = pairs.join(sets.toDF("a", "va"), "a").join(sets.toDF("b", "vb"), "b")
-        return stored(both.select("a", "b", "va", "vb").mapInArrow(_similar(self.percent), "a bigint, b bigint"),
-                      f"near-links-{purpose}")
+        links = both.select("a", "b", "va", "vb").mapInArrow(_similar(self.percent), "a bigint, b bigint")
+        return stored(likely.where("sure").select("a", "b").union(links), f"near-links-{purpose}")
 
     def _edges(self, links: DataFrame) -> DataFrame:
         nodes = self.classes.select("class", "node")
