@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import U64, Rolling, bitmap, columns, filled, may_hold, slices, stored, utf8, word_bounds
+from .common import U64, Rolling, bitmap, columns, discard, filled, may_hold, slices, stored, utf8, word_bounds
 from .components import components
 
 KEPT = 256
@@ -123,11 +123,13 @@ class NearDuplicates:
             raise ValueError("the sketches are made for a similarity of 0.8 or more")
         self.width, self.percent = width, percent
         self.rows = columns(docs, id=id, text=text).select(F.col("id").cast("bigint"), "text")
-        self.profile = stored(self.rows.mapInArrow(
+        profile = stored(self.rows.mapInArrow(
             _profiles(width), "id bigint, n bigint, digest binary, sketch array<bigint>"), "near-profile")
-        classes = self.profile.where("n > 0 and id is not null").groupBy("digest").agg(
+        classes = profile.where("n > 0 and id is not null").groupBy("digest").agg(
             F.min("id").alias("node"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
         self.classes = stored(classes.select(F.monotonically_increasing_id().alias("class"), "*"), "near-classes")
+        self.profile = stored(profile.select("id", "n", "digest"), "near-members")
+        discard(profile)  # from here on only the classes need sketches
 
     def _least(self, n, m) -> Column:
         """Values that the sketches of two similar sets of n and m shingles share at least."""

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import U64, Rolling, columns, filled, free_name, mix64, slices, utf8, word_bounds
+from .common import U64, Rolling, columns, filled, mix64, slices, utf8, word_bounds
 
 FEATURES = (
     "log_words", "word_length", "upper", "symbols", "stops", "digits", "wide", "repeats", "distinct", "top_word",
@@ -243,8 +243,12 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     keep = list(docs.columns if keep is None else keep)
     if score in keep:
         raise ValueError(f"the input has a column {score}; name another one")
-    texts = free_name(docs, "text")
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(texts))
+    rows, texts = docs.select(*[F.col(f"`{c}`") for c in keep]), text
+    if text not in keep:
+        texts = "text"
+        while texts in (*keep, score):
+            texts += "_"
+        rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(texts))
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(score, T.DoubleType())])
     return rows.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), texts, keep, score), schema)
 
