@@ -15,45 +15,56 @@ from trafficlens.llm.common import free_name, stored, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores at its floor or above; labels come from ``labels``."""
+    """Documents that the classifier scores at its floor or above; labels come from ``labels``.
+
+    A null or empty text is scored like a text without words.
+    """
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
     score = free_name(docs, "score")
     return quality.scored(docs, model, score=score).where(F.col(score) >= quality.FLOOR).drop(score)
 
 
-def _without(docs: DataFrame, ids: DataFrame, id: str = "doc_id") -> DataFrame:
-    """The documents whose id is not among ``ids``.
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a row number, because ids may be null or repeated; and the number's name."""
+    number = free_name(docs, "number")
+    return stored(docs.withColumn(number, F.monotonically_increasing_id()), "numbered"), number
+
+
+def _without(docs: DataFrame, numbers: DataFrame, number: str) -> DataFrame:
+    """The documents whose row number is not among ``numbers``, without the numbers.
 
-    The ids are read back from files, so that Spark knows their size and
-    broadcasts them only if they are few; otherwise both sides are shuffled.
+    They are read back from files, so that Spark knows their size and broadcasts
+    them only if they are few; otherwise both sides are shuffled.
     """
-    return docs.join(stored(ids.distinct(), "dropped"), id, "left_anti").select(*docs.columns)
+    dropped = stored(numbers.select(F.col("doc_id").alias(number)), "dropped")
+    return docs.join(dropped, number, "left_anti").drop(number)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies: shingles of five words, similarity 0.8."""
-    groups = near_dedup.NearDuplicates(docs, width=5).groups()
-    return _without(docs, groups.where("not kept").select("doc_id"))
+    """The first row of each group of near copies: shingles of five words, similarity 0.8.
 
+    Null and empty texts are no copies and stay. Rows are removed by number, so
+    an id may be null or shared with another text.
+    """
+    docs, number = _numbered(docs)
+    groups = near_dedup.NearDuplicates(docs, number, width=5).groups()
+    return _without(docs, groups.where("not kept"), number)
 
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words stand in benchmark windows.
 
-    Rows are numbered and removed by number, because ids may be null or repeated.
-    """
-    number = free_name(docs, "number")
-    docs = stored(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth of the words stand in benchmark windows. Rows are removed by number."""
+    docs, number = _numbered(docs)
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), id=number)
-    return _without(docs, found.where("contaminated").select(F.col("doc_id").alias(number)), number).drop(number)
+    return _without(docs, found.where("contaminated"), number)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes, as documents: once, twice, or in part."""
+    """The words that the mix takes, as documents: once, twice, or in part. Null texts have no words to take."""
     return mixing.Mix(docs).documents()
 
 
 def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests read back from the token table."""
+    """Digests read back from the token table, one row per row; a null text has its end id only."""
     return tokens.encode_corpus(docs)
 
 
