@@ -8,6 +8,7 @@ length:
   are copied into the following one, so each chunk sees its own look-back.
 * ``running_sum`` / ``carried_lag``: for unbounded frames. One seed row per
   chunk carries the state left by the earlier chunks.
+* ``as_of``: a point-in-time join, by a value carried over slices of time.
 * ``time_chunk``: slices of time, for ``running_sum`` and ``carried_lag``.
 * ``row_blocks``: blocks of rows, for frames that reach back a limited number of
   rows.
@@ -84,6 +85,29 @@ def carried_lag(df: DataFrame, keys: list[str], chunk: str, order: list[str], co
     )
 
 
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, cols: list[str], *,
+          order: tuple[str, ...] = (), seconds: int = 3600) -> DataFrame:
+    """Add ``cols`` of the newest row of ``right`` at or before the time of each row; null where there is none.
+
+    Both tables are cut into slices of ``seconds`` and read once, in order of
+    time; the last row of the earlier slices enters a slice as a seed. So a key
+    with most of the rows is worked off by many tasks, and no pair of rows is
+    made. Rows of ``right`` at the same time are told apart by ``order``.
+    """
+    slice_of = floor_div(F.unix_micros("_at"), seconds * 1_000_000)
+    marks = right.select(*keys, F.col(right_time).alias("_at"), F.lit(0).alias("_side"), F.struct(
+        F.col(right_time).alias("_t"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *cols).alias("_carried"))
+    rows = left.withColumns({"_at": F.col(left_time), "_side": F.lit(1)}).unionByName(marks, allowMissingColumns=True)
+    rows = rows.withColumn(CHUNK, slice_of)
+    lasts = rows.groupBy(*keys, CHUNK).agg(F.max("_carried").alias("_carried"))
+    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    seeds = lasts.withColumn("_carried", F.last("_carried", True).over(before)).where("_carried is not null").withColumn("_side", F.lit(-1))
+    within = Window.partitionBy(*keys, CHUNK).orderBy("_at", "_side", "_carried").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)  # seeds have no time and come first
+    found = rows.unionByName(seeds, allowMissingColumns=True).withColumn("_carried", F.last("_carried", True).over(within))
+    return found.where("_side = 1").select(*left.columns, *[F.col(f"_carried.{c}").alias(c) for c in cols])
+
+
 def time_chunk(df: DataFrame, ts: str, seconds: int) -> DataFrame:
     """Add ``_chunk``: the slice of ``seconds`` that a row's time falls in."""
     return df.withColumn(CHUNK, floor_div(F.unix_micros(ts), seconds * 1_000_000))

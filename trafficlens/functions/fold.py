@@ -24,8 +24,12 @@ def _chunked(df: DataFrame, position: str, size: int) -> DataFrame:
 
 
 def _run(df: DataFrame, key: str, position: str, size: int, *, start, table, chain, step,
-         table_type: str, state_type: str, output: T.StructField) -> DataFrame:
-    """The three passes shared by both folds; ``df`` has a dense position."""
+         table_type: str, state_type: str, output: T.StructField, starts: DataFrame | None = None) -> DataFrame:
+    """The three passes shared by both folds; ``df`` has a dense position.
+
+    ``starts`` (key, state) are the states that series go on from; others begin
+    at ``start``.
+    """
     cut = _chunked(df, position, size)
 
     def _with_key(rest: str) -> T.StructType:
@@ -39,12 +43,18 @@ def _run(df: DataFrame, key: str, position: str, size: int, *, start, table, cha
 
     def link(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(CHUNK)
-        states, state = [], start
+        first = pdf["_first"].iloc[0]
+        states, state = [], start if pd.isna(first) else first
         for one in pdf["_table"]:
             states.append(state)
             state = chain(one, state)
         return pd.DataFrame({key: pdf[key], CHUNK: pdf[CHUNK], "_start": states})
 
+    if starts is None:
+        tables = tables.withColumn("_first", F.lit(None).cast(state_type))
+    else:
+        own = starts.toDF(key, "_first").withColumn("_first", F.col("_first").cast(state_type))
+        tables = tables.join(own, key, "left")
     starts = tables.groupBy(key).applyInPandas(link, _with_key(f"{CHUNK} bigint, _start {state_type}"))
     schema = T.StructType([*df.schema.fields, output])
 
@@ -58,8 +68,17 @@ def _run(df: DataFrame, key: str, position: str, size: int, *, start, table, cha
 
 
 def limit_trajectory(df: DataFrame, key: str, position: str, raw: str, *, start: float, alpha: float,
-                     low: int, high: int, out: str = "rate_limit", size: int = 4096) -> DataFrame:
-    """``L_t = int(clip(alpha * raw_t + (1 - alpha) * L_{t-1}, low, high))``."""
+                     low: int, high: int, out: str = "rate_limit", size: int = 4096,
+                     starts: DataFrame | None = None) -> DataFrame:
+    """``L_t = int(clip(alpha * raw_t + (1 - alpha) * L_{t-1}, low, high))``.
+
+    ``starts`` (key, limit) are limits that an earlier run ended with. One that
+    is not an integer of the range, as after a change of the bounds, is brought
+    to the nearest below it or to the bound.
+    """
+    if starts is not None:
+        name, limit = starts.columns
+        starts = starts.select(name, F.greatest(F.lit(low), F.least(F.lit(high), F.floor(limit))).cast("double").alias(limit))
     # every state after the first step is an integer of this range
     states = np.arange(low, high + 1, dtype="float64")
     keep = 1.0 - alpha
@@ -90,11 +109,11 @@ def limit_trajectory(df: DataFrame, key: str, position: str, raw: str, *, start:
         return pdf.assign(**{out: limits})
 
     return _run(df, key, position, size, start=float(start), table=table, chain=chain, step=step,
-                table_type="array<bigint>", state_type="double", output=T.StructField(out, T.LongType()))
+                table_type="array<bigint>", state_type="double", output=T.StructField(out, T.LongType()), starts=starts)
 
 
 def clamped_sum(df: DataFrame, key: str, position: str, delta: str, *, start: float, low: float,
-                high: float, out: str, size: int = 100_000) -> DataFrame:
+                high: float, out: str, size: int = 100_000, starts: DataFrame | None = None) -> DataFrame:
     """``x_t = min(high, max(low, x_{t-1} + delta_t))`` where delta is not 0.
 
     Clamped additions compose: a chunk is ``x -> min(u, max(l, x + c))``.
@@ -123,4 +142,4 @@ def clamped_sum(df: DataFrame, key: str, position: str, delta: str, *, start: fl
         return pdf.assign(**{out: values})
 
     return _run(df, key, position, size, start=float(start), table=table, chain=chain, step=step,
-                table_type="array<double>", state_type="double", output=T.StructField(out, T.DoubleType()))
+                table_type="array<double>", state_type="double", output=T.StructField(out, T.DoubleType()), starts=starts)

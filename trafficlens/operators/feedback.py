@@ -52,9 +52,12 @@ def _sliced(feedback: DataFrame) -> DataFrame:
 
 
 def weight_trajectory(feedback: DataFrame, cfg: LimitConfig = FULL,
-                      learn: LearningConfig = LearningConfig()) -> DataFrame:
+                      learn: LearningConfig = LearningConfig(), *, starts: DataFrame | None = None) -> DataFrame:
     """Ensemble weights after each feedback event.
 
+    ``starts`` (policy_key, anomaly_weight) are the weights that an earlier run
+    ended with; other policies begin with those of ``cfg``.
+
     Each step moves the same amount from one weight to the other, so weights
     that start with sum 1 keep it and the path is a running sum.
     """
@@ -66,22 +69,27 @@ def weight_trajectory(feedback: DataFrame, cfg: LimitConfig = FULL,
         F.when(F.col("type") == "false_negative", size)
         .when(F.col("type") == "false_positive", -size).otherwise(0.0))
     path = running_sum(_sliced(rewarded), [POLICY], CHUNK, ["ts", "request_id"], {"_moved": move}).drop(CHUNK)
+    first = F.lit(cfg.anomaly_weight)
+    if starts is not None:
+        path = path.join(starts.toDF(POLICY, "_first"), POLICY, "left")
+        first = F.coalesce("_first", first)
+    # the weights sum to 1
     return path.withColumns({
-        "anomaly_weight": F.lit(cfg.anomaly_weight) + F.col("_moved"),
-        "forecast_weight": F.lit(cfg.forecast_weight) - F.col("_moved"),
-    }).drop("_moved")
+        "anomaly_weight": first + F.col("_moved"),
+        "forecast_weight": F.lit(cfg.forecast_weight + cfg.anomaly_weight) - first - F.col("_moved"),
+    }).drop("_moved", "_first")
 
 
 def clamped_weight_trajectory(feedback: DataFrame, cfg: LimitConfig = FULL,
-                              learn: LearningConfig = LearningConfig()) -> DataFrame:
-    """Weights moved by a fixed step per mistake and clamped to a range."""
+                              learn: LearningConfig = LearningConfig(), *, starts: DataFrame | None = None) -> DataFrame:
+    """Weights moved by a fixed step per mistake and clamped to a range; ``starts`` as for ``weight_trajectory``."""
     kind = F.col("type")
     rows = running_sum(_sliced(feedback), [POLICY], CHUNK, ["ts", "request_id"], {"_position": F.lit(1)}).drop(CHUNK)
     rows = rows.withColumn("_step", (
         F.when(kind == "false_negative", learn.clamp_step)
         .when(kind == "false_positive", -learn.clamp_step).otherwise(0.0)))
     path = clamped_sum(rows, POLICY, "_position", "_step", start=cfg.anomaly_weight,
-                       low=learn.clamp_low, high=learn.clamp_high, out="anomaly_weight")
+                       low=learn.clamp_low, high=learn.clamp_high, out="anomaly_weight", starts=starts)
     return path.withColumn("forecast_weight", F.lit(1.0) - F.col("anomaly_weight")).drop("_position", "_step")
 
 

@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import FULL, ONLINE, SIMPLE, HeuristicConfig, LimitConfig
-from ..functions.chunks import CHUNK, running_sum
+from ..functions.chunks import CHUNK, as_of, running_sum
 from ..functions.columns import clip, floor_div, micros, two_decimals
 from ..functions.fold import limit_trajectory
-from .windows import KEY, POS, SERIES, assign_windows
+from .windows import KEY, POS, SERIES, START, assign_windows
 
 US = 1_000_000
 
@@ -80,10 +80,32 @@ def attach_metrics(table: DataFrame, metrics: DataFrame) -> DataFrame:
     return table.join(metrics, KEY, "left")
 
 
-def smoothed_limits(table: DataFrame, cfg: LimitConfig, raw: str = "raw_limit") -> DataFrame:
-    """Add ``rate_limit``: the raw limit smoothed, bounded and truncated in order."""
-    return limit_trajectory(
-        table, SERIES, POS, raw, start=cfg.base_limit, alpha=cfg.alpha, low=cfg.min_limit, high=cfg.max_limit)
+def smoothed_limits(table: DataFrame, cfg: LimitConfig, raw: str = "raw_limit", *,
+                    starts: DataFrame | None = None) -> DataFrame:
+    """Add ``rate_limit``: the raw limit smoothed, bounded and truncated in order.
+
+    ``starts`` (series_key, limit) are the limits that an earlier run ended with.
+    """
+    return limit_trajectory(table, SERIES, POS, raw, start=cfg.base_limit, alpha=cfg.alpha, low=cfg.min_limit,
+                            high=cfg.max_limit, starts=starts)
+
+
+def learned_weights(table: DataFrame, weights: DataFrame, at: str = START, *, seconds: int = 86_400) -> DataFrame:
+    """Add ``forecast_weight`` and ``anomaly_weight``: the newest learned at or before the decision.
+
+    ``weights`` is a weight trajectory (policy_key, ts, request_id and the two
+    weights), its policies are the series. Rows before the first feedback keep
+    nulls, for which the formulas take the configured weights.
+    """
+    own = weights.withColumnRenamed("policy_key", SERIES)
+    return as_of(table, own, [SERIES], at, "ts", ["forecast_weight", "anomaly_weight"], order=("request_id",), seconds=seconds)
+
+
+def _weights(table: DataFrame, cfg: LimitConfig) -> dict[str, Column]:
+    if "anomaly_weight" not in table.columns:
+        return {}
+    return {"w_forecast": F.coalesce("forecast_weight", F.lit(cfg.forecast_weight)),
+            "w_anomaly": F.coalesce("anomaly_weight", F.lit(cfg.anomaly_weight))}
 
 
 def allowed(rate: Column, limit: Column) -> Column:
@@ -151,11 +173,11 @@ def limit_summary(decisions: DataFrame) -> DataFrame:
 
 
 def simple_decisions(features: DataFrame, score: Column, limits: LimitConfig = SIMPLE,
-                     heuristics: HeuristicConfig = HeuristicConfig()) -> DataFrame:
+                     heuristics: HeuristicConfig = HeuristicConfig(), *, starts: DataFrame | None = None) -> DataFrame:
     """Window decisions from the anomaly score alone."""
     scored = features.withColumn("anomaly_score", score).withColumn(
         "raw_limit", F.lit(float(limits.base_limit)) * (1 - F.col("anomaly_score")))
-    limited = smoothed_limits(scored, limits)
+    limited = smoothed_limits(scored, limits, starts=starts)
     return limited.withColumns({
         "allow": allowed(F.col("request_count"), F.col("rate_limit")),
         "reason": simple_reason(F.col("anomaly_score"), F.col("spike_ratio"), F.col("ip_concentration"), heuristics),
@@ -166,7 +188,7 @@ def online_decisions(features: DataFrame, limits: LimitConfig = ONLINE) -> DataF
     """Window decisions of the online formula; needs ``predicted`` and ``anomaly_score``."""
     scored = features.withColumn("prediction_score", online_prediction_score(F.col("predicted"), limits))
     scored = scored.withColumn("ensemble_score", ensemble(
-        F.col("prediction_score"), F.col("anomaly_score"), None, limits))
+        F.col("prediction_score"), F.col("anomaly_score"), None, limits, **_weights(features, limits)))
     scored = scored.withColumn("raw_limit", F.lit(float(limits.base_limit)) * F.col("ensemble_score")
                                * online_context(F.col("is_business_hours")))
     limited = smoothed_limits(scored, limits)
@@ -194,7 +216,7 @@ def full_factors(features: DataFrame, limits: LimitConfig = FULL) -> DataFrame:
         "health_multiplier": health(col("cpu_usage"), limits),
     })
     scored = scored.withColumn("ensemble_score", ensemble(
-        col("prediction_score"), col("anomaly_score"), col("behavioral_risk"), limits))
+        col("prediction_score"), col("anomaly_score"), col("behavioral_risk"), limits, **_weights(features, limits)))
     return scored.withColumn("raw_limit", F.lit(float(limits.base_limit)) * col("ensemble_score")
                              * col("fairness_multiplier") * col("context_multiplier") * col("health_multiplier"))
 

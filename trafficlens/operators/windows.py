@@ -32,26 +32,33 @@ def window_start(no: Column, seconds: int) -> Column:
     return F.timestamp_micros(no * F.lit(seconds * 1_000_000))
 
 
-def dense_grid(aggregated: DataFrame, seconds: int) -> DataFrame:
+def dense_grid(aggregated: DataFrame, seconds: int, since: DataFrame | None = None) -> DataFrame:
     """Every window between the first and the last of each series.
 
     ``pos`` counts windows from the first of the series, so later operators
     split, take prefixes and look back by arithmetic instead of by ranking.
-    The grid is exploded in blocks to keep the generated arrays short.
+    The grid is exploded in blocks to keep the generated arrays short. Series in
+    ``since`` (series_key, _from, _first) go on from window ``_from`` and count
+    from window ``_first``.
     """
     span = aggregated.groupBy(SERIES).agg(F.min(NO).alias("_min"), F.max(NO).alias("_max"))
+    if since is None:
+        span = span.withColumn("_zero", F.col("_min"))
+    else:
+        span = span.join(since, SERIES, "left").select(
+            SERIES, F.coalesce("_from", "_min").alias("_min"), "_max", F.coalesce("_first", "_min").alias("_zero"))
     blocks = span.withColumn("_b", F.explode(F.sequence(
         F.lit(0).cast("bigint"), floor_div(F.col("_max") - F.col("_min"), GRID_BLOCK))))
     start = F.col("_min") + F.col("_b") * GRID_BLOCK
     return (
         blocks.withColumn(NO, F.explode(F.sequence(start, F.least(start + GRID_BLOCK - 1, F.col("_max")))))
-        .select(SERIES, NO, (F.col(NO) - F.col("_min")).alias(POS), window_start(F.col(NO), seconds).alias(START))
+        .select(SERIES, NO, (F.col(NO) - F.col("_zero")).alias(POS), window_start(F.col(NO), seconds).alias(START))
     )
 
 
-def densify(aggregated: DataFrame, seconds: int, zero: list[str] | None = None) -> DataFrame:
+def densify(aggregated: DataFrame, seconds: int, zero: list[str] | None = None, since: DataFrame | None = None) -> DataFrame:
     """Left-join the aggregates to the grid; windows without requests get 0."""
-    joined = dense_grid(aggregated, seconds).join(aggregated, KEY, "left")
+    joined = dense_grid(aggregated, seconds, since).join(aggregated, KEY, "left")
     names = zero if zero is not None else [c for c in aggregated.columns if c not in KEY]
     return joined.fillna(0, subset=names)
 
@@ -120,9 +127,16 @@ def window_aggregates(log: DataFrame, seconds: int, *, series: Column | None = N
     return densify(table, seconds).withColumns(derived)
 
 
-def simple_window_features(log: DataFrame, seconds: int, *, series: Column | None = None) -> DataFrame:
-    """Reduced window table: error rate over the plain count, no distinct users."""
+def simple_window_features(log: DataFrame, seconds: int, *, series: Column | None = None,
+                           since: DataFrame | None = None) -> DataFrame:
+    """Reduced window table: error rate over the plain count, no distinct users.
+
+    ``since`` as for ``dense_grid``; requests of earlier windows are left out.
+    """
     rows = assign_windows(log, seconds, series)
+    if since is not None:
+        known = since.select(SERIES, "_from")
+        rows = rows.join(known, SERIES, "left").where(F.col(NO) >= F.coalesce("_from", NO)).drop("_from")
     table = densify(
         rows.groupBy(*KEY).agg(
             F.count("user_id").alias("request_count"),
@@ -130,7 +144,7 @@ def simple_window_features(log: DataFrame, seconds: int, *, series: Column | Non
             F.count_if(F.col("status_code") >= 400).alias("errors"),
             F.avg("response_time").alias("avg_response_time"),
             *_labels(rows)),
-        seconds)
+        seconds, since=since)
     hour = F.hour(START)
     return table.withColumns({
         "error_rate": safe_ratio(F.col("errors"), F.col("request_count")),
