@@ -128,9 +128,19 @@ class NearDuplicates:
         classes = profile.where("n > 0 and id is not null").groupBy("digest").agg(
             F.min("id").alias("node"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
         self.classes = stored(classes.select(F.monotonically_increasing_id().alias("class"), "*"), "near-classes")
-        self.profile = stored(profile.select("id", "n", "digest"), "near-members")
+        self.tables = [self.classes]
+        self.profile = self._stored(profile.select("id", "n", "digest"), "near-members")
         discard(profile)  # from here on only the classes need sketches
 
+    def _stored(self, df: DataFrame, purpose: str) -> DataFrame:
+        self.tables.append(stored(df, purpose))
+        return self.tables[-1]
+
+    def discard(self) -> None:
+        """Delete the working tables; for callers that have written what they need of the result."""
+        discard(*self.tables)
+        self.tables = []
+
     def _least(self, n, m) -> Column:
         """Values that the sketches of two similar sets of n and m shingles share at least."""
         exact = F.ceil((n + m) * self.percent / (100 + self.percent))
@@ -159,7 +169,7 @@ class NearDuplicates:
 
         front = F.filter(F.transform("own", entry), lambda x: x.rest >= least)
         rarest = own.select("class", "n", weight.alias("weight"), F.explode(front).alias("x"))
-        return stored(rarest.select("x.value", "class", "n", "x.rest", "x.earlier", "weight"), "near-lists")
+        return self._stored(rarest.select("x.value", "class", "n", "x.rest", "x.earlier", "weight"), "near-lists")
 
     def _fits(self) -> Column:
         """Whether sets (n, rest) and (m, rest_m) may be similar, by their sizes and the room that a shared value leaves."""
@@ -214,19 +224,19 @@ class NearDuplicates:
 
     def confirmed(self, pairs: DataFrame, purpose: str) -> DataFrame:
         """Pairs that are similar by their full sets: a, b. Sets that a sketch does not hold are built anew from the texts."""
-        likely = stored(self.likely(pairs), f"near-likely-{purpose}")
+        likely = self._stored(self.likely(pairs), f"near-likely-{purpose}")
         pairs = likely.where("not sure").select("a", "b")
         ids = pairs.select("a").union(pairs.select("b")).distinct().toDF("class")
         wanted = self.classes.join(ids, "class").select("class", "digest", "node")
         bits = self.rows.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("node").alias("h")), "h"))
         sets = self.rows.where("id is not null").withColumn("h", F.xxhash64("id")).mapInArrow(
             _sets(self.width, bits), "digest binary, values binary")
-        sets = stored(sets.join(wanted.select("class", "digest"), "digest").dropDuplicates(["class"]).select(
+        sets = self._stored(sets.join(wanted.select("class", "digest"), "digest").dropDuplicates(["class"]).select(
             "class", "values"), f"near-sets-{purpose}")
         bits.unpersist()
         both = pairs.join(sets.toDF("a", "va"), "a").join(sets.toDF("b", "vb"), "b")
         links = both.select("a", "b", "va", "vb").mapInArrow(_similar(self.percent), "a bigint, b bigint")
-        return stored(likely.where("sure").select("a", "b").union(links), f"near-links-{purpose}")
+        return self._stored(likely.where("sure").select("a", "b").union(links), f"near-links-{purpose}")
 
     def _edges(self, links: DataFrame) -> DataFrame:
         nodes = self.classes.select("class", "node")
@@ -240,9 +250,9 @@ class NearDuplicates:
     def links(self) -> DataFrame:
         """Confirmed pairs of classes, enough of them to connect all that are connected."""
         lists = self.lists()
-        first = stored(self.to_hubs(lists), "near-hub-pairs")
+        first = self._stored(self.to_hubs(lists), "near-hub-pairs")
         links = self.confirmed(first, "hubs")
-        rest = self.across(lists, stored(self.labels(links), "near-labels"), first)
+        rest = self.across(lists, self._stored(self.labels(links), "near-labels"), first)
         return links.union(self.confirmed(rest, "across"))
 
     def groups(self) -> DataFrame:
