@@ -8,7 +8,8 @@ ids and returns their digests.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from trafficlens.llm import decontaminate, mixing, near_dedup, quality, tokens
 from trafficlens.llm.common import free_name, stored, table
@@ -25,37 +26,56 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The documents with a row number, because ids may be null or repeated; and the number's name."""
-    number = free_name(docs, "number")
-    return stored(docs.withColumn(number, F.monotonically_increasing_id()), "numbered"), number
+    """The documents with a row number, because ids may be null or repeated; and the number's name.
+
+    A row of a file is numbered by the place of the file and its own place in
+    it, however the files are split, so that no numbered copy has to be written.
+    Rows that do not come from files are written once with their numbers.
+    """
+    number, path, row = (free_name(docs, name) for name in ("number", "path", "row"))
+    try:
+        place = docs.metadataColumn("_metadata")
+        rows = docs.select("*", place["file_path"].alias(path), place["row_index"].alias(row))
+    except AnalysisException:
+        return stored(docs.withColumn(number, F.monotonically_increasing_id()), "numbered"), number
+    files = rows.select(path).distinct()  # one row per file
+    files = stored(files.select(path, F.row_number().over(Window.orderBy(path)).cast("bigint").alias(number)), "files")
+    return rows.join(files, path).select(*docs.columns, (F.shiftleft(number, 40) + F.col(row)).alias(number)), number
 
 
-def _without(docs: DataFrame, numbers: DataFrame, number: str) -> DataFrame:
-    """The documents whose row number is not among ``numbers``, without the numbers.
+def _without(docs: DataFrame, dropped: DataFrame, number: str) -> DataFrame:
+    """The documents whose row number is not in the stored table ``dropped``, without their numbers.
 
-    They are read back from files, so that Spark knows their size and broadcasts
-    them only if they are few; otherwise both sides are shuffled.
+    Spark knows the size of a stored table and broadcasts it only if it is small.
     """
-    dropped = stored(numbers.select(F.col("doc_id").alias(number)), "dropped")
     return docs.join(dropped, number, "left_anti").drop(number)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first row of each group of near copies: shingles of five words, similarity 0.8.
+    """The document with the least id of each group of near copies: shingles of five words, similarity 0.8.
 
     Null and empty texts are no copies and stay. Rows are removed by number, so
-    an id may be null or shared with another text.
+    an id may be null (such a row comes last in its group) or shared with
+    another text.
     """
     docs, number = _numbered(docs)
-    groups = near_dedup.NearDuplicates(docs, number, width=5).groups()
-    return _without(docs, groups.where("not kept"), number)
+    search = near_dedup.NearDuplicates(docs, number, width=5)
+    member = docs.select(F.col(number).alias("row"), F.col("doc_id").alias("id"))
+    member = search.groups().select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")).join(member, "row")
+    first = member.groupBy("group").agg(
+        F.min(F.struct(F.isnull("id").alias("none"), "id", "row")).getField("row").alias("stays"), F.count("*").alias("many"))
+    dropped = member.join(first.where("many > 1"), "group").where("row <> stays")
+    dropped = stored(dropped.select(F.col("row").alias(number)), "dropped")
+    search.discard()
+    return _without(docs, dropped, number)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words stand in benchmark windows. Rows are removed by number."""
     docs, number = _numbered(docs)
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), id=number)
-    return _without(docs, found.where("contaminated"), number)
+    dropped = stored(found.where("contaminated").select(F.col("doc_id").alias(number)), "dropped")
+    return _without(docs, dropped, number)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
