@@ -91,7 +91,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     if "@" in text:
         found += [(a, b, "email") for a, b in _emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             found.append((m.start(), m.end(), "ip"))
     for m in _CARD.finditer(text):
         number = digits(m[0])
