@@ -39,9 +39,15 @@ SURROUNDINGS = frozenset(
     "breadcrumb breadcrumbs sidebar rail footer masthead cookie cookies consent notice notices alert popup modal overlay "
     "newsletter subscribe subscription signup login search comment comments reply replies respond disqus share sharing "
     "social related recommended recommendations pagination pager widget toolbar skip".split())
+BESIDE = frozenset("with without no not non has".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 MOST_OF = 0.7
-VOTE_CHARS = 2000
+
+
+def _surrounds(token: str) -> bool:
+    """Whether a class or id names a surrounding; ``with-sidebar`` and ``no-comments`` name what stands beside one."""
+    parts = [w.lower() for w in _PART.findall(token)]
+    return bool(parts) and parts[0] not in BESIDE and any(w in SURROUNDINGS for w in parts)
 
 
 class Page:
@@ -87,7 +93,7 @@ class Page:
                 out = out or value.strip().lower() in ROLES
                 continue
             if tag not in ("html", "body", "article", "main"):
-                out = out or any(w.lower() in SURROUNDINGS for w in _PART.findall(value))
+                out = out or any(map(_surrounds, value.split()))
             if key.lower() == "class":
                 classes = sorted({re.sub(r"[0-9]+", "#", c) for c in value.split()})
         self.parent.append(parent)
@@ -188,7 +194,7 @@ def _proposals(batches):
         found = [Page(html).proposal() for html in filled(batch.column("html")).to_pylist()]
         yield pa.RecordBatch.from_arrays([
             batch.column("host"), pa.array([p for p, _ in found], pa.string()),
-            pa.array([min(n, VOTE_CHARS) for _, n in found], pa.int64())], ["host", "path", "weight"])
+            pa.array([n for _, n in found], pa.int64())], ["host", "path", "weight"])
 
 
 def _texts(batches):
