@@ -9,8 +9,8 @@ from trafficlens.operators.windows import KEY
 from trafficlens.schema import FEEDBACK as FEEDBACK_SCHEMA
 from trafficlens.session import materialize, shared_dir
 from trafficlens.sources.request_log import events_request_stream
-from trafficlens.streaming import state, windows as sw
-from trafficlens.streaming.runner import drain
+from trafficlens.streaming import decisions as live, state, windows as sw
+from trafficlens.streaming.runner import drain, drain_newest
 
 from . import sql
 from .behaviour import SUSPICION
@@ -119,3 +119,50 @@ def stream_decision_stats(spark, sf_dir):
     sink.write.parquet(path)
     arriving = spark.readStream.schema(sink.schema).parquet(path)
     return out(drain(sw.running_stats(arriving), "decision-stats", "complete"))
+
+
+LIVE = f"lv AS (SELECT wr.*, anomaly_score, rate_limit, allow FROM wr JOIN dec USING (window_no) WHERE {closed(HOUR).replace('window_start', 'dec.window_start')})"
+
+
+def live_log(spark, sf_dir):
+    """The decision log of the stream: a Parquet sink that has each batch once."""
+    path = shared_dir(session(spark), "live-log")
+    return drain(live.live_decisions(stream(spark, sf_dir), HOUR, SIMPLE_LIMITS, RULES, DELAY), "live", path=path), path
+
+
+@check("live_decisions", with_(LOG, DECISIONS, LIVE, select=(
+    f"SELECT request_id, window_no, user_id, endpoint, {r('anomaly_score')} AS anomaly_score, rate_limit, allow FROM lv"), recursive=True))
+def live_decisions(spark, sf_dir):
+    """Requests decided by the limits of their own stream: those of the batch on closed windows."""
+    return out(live_log(spark, sf_dir)[0], "request_id", "window_no", "user_id", "endpoint", "anomaly_score", "rate_limit", "allow")
+
+
+@check("live_decision_stats", with_(LOG, DECISIONS, LIVE, select=(
+    f"SELECT count(*) AS total_requests, count(*) FILTER (allow) AS allowed, count(*) FILTER (NOT allow) AS blocked, "
+    f"{r('count(*) FILTER (NOT allow)::DOUBLE / count(*)')} AS block_rate FROM lv"), recursive=True))
+def live_decision_stats(spark, sf_dir):
+    """Counters of a stream that reads the decision log of another."""
+    sink, path = live_log(spark, sf_dir)
+    arriving = spark.readStream.schema(sink.schema).parquet(path)
+    return out(drain(sw.running_stats(arriving), "live-stats", "complete"))
+
+
+@check("live_recent_decisions", with_(LOG, DECISIONS, LIVE, select=(
+    f"SELECT request_id, ts, user_id, endpoint, {r('anomaly_score')} AS anomaly_score, rate_limit, allow FROM lv "
+    "ORDER BY ts DESC, request_id DESC LIMIT 20"), recursive=True))
+def live_recent_decisions(spark, sf_dir):
+    """The newest 20 decisions, kept in state while the decision log arrives."""
+    sink, path = live_log(spark, sf_dir)
+    arriving = spark.readStream.schema(sink.schema).parquet(path)
+    return out(drain_newest(state.newest_rows(arriving, 20), "live-newest"), "request_id", "ts", "user_id", "endpoint",
+               "anomaly_score", "rate_limit", "allow")
+
+
+@check("stream_deduplicated", with_(LOG, select="SELECT request_id, user_id, endpoint, status_code FROM request_log"))
+def stream_deduplicated(spark, sf_dir):
+    """Every request delivered twice, in two files; each counts once."""
+    path = shared_dir(session(spark), "twice")
+    for _ in range(2):
+        spark.read.parquet(f"{sf_dir}/events.parquet").coalesce(1).write.mode("append").parquet(path)
+    twice = events_request_stream(spark, path, "*.parquet")
+    return out(drain(sw.deduplicated(twice, "400 days"), "deduplicated"), "request_id", "user_id", "endpoint", "status_code")

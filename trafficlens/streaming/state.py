@@ -1,4 +1,4 @@
-"""Keyed stream state: limits, weights, forecasts and user histories.
+"""Keyed stream state: limits, weights, forecasts, newest rows and user histories.
 
 Each processor folds the rows of one key in event order. Windows close in order,
 so their rows are sorted inside the handler only; requests wait for the watermark.
@@ -6,6 +6,7 @@ so their rows are sorted inside the handler only; requests wait for the watermar
 
 from __future__ import annotations
 
+import heapq
 import sys
 from collections import Counter, deque
 from collections.abc import Iterator
@@ -45,23 +46,25 @@ class _Limits(StatefulProcessor):
 
     With ``spike`` (ratio, points, windows) the input has the points of the
     other rules, and a count above ``ratio`` times the mean of the last windows,
-    its own included, adds ``points``.
+    its own included, adds ``points``. With ``width`` the rows carry ``closes``,
+    the last microsecond of their window.
     """
 
-    def __init__(self, cfg: LimitConfig, idle: float, spike: tuple | None):
-        self.cfg, self.idle, self.spike = cfg, idle, spike
+    def __init__(self, cfg: LimitConfig, idle: float, spike: tuple | None, width: int | None = None):
+        self.cfg, self.idle, self.spike, self.width = cfg, idle, spike, width
         self.keep = spike[2] - 1 if spike else 0
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("limit", "window_no bigint, rate_limit bigint, recent array<bigint>")
 
     def _raw(self, value, count, recent):
+        """The score, if there is one, and the raw limit."""
         if not self.spike:
-            return value
+            return None, value
         ratio, points, _ = self.spike
         mean = (sum(recent) + count) / (len(recent) + 1)
         score = min(1.0, value + (points if mean and count / mean > ratio else 0.0))
-        return self.cfg.base_limit * (1 - score)
+        return score, self.cfg.base_limit * (1 - score)
 
     def _seen(self, recent, count):
         return (recent + [int(count)])[-self.keep:] if self.keep else []
@@ -73,32 +76,44 @@ class _Limits(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         pdf = _gather(rows, [NO])
         last, limit, recent = self.state.get() if self.state.exists() else (None, self.cfg.base_limit, [])
-        recent, out = list(recent), []
+        recent, scores, out = list(recent), [], []
         for no, value, count in zip(pdf[NO], pdf["value"], pdf["request_count"]):
             for _ in range(0 if last is None else int(no - last - 1)):
                 limit, recent = self._next(limit, self.idle), self._seen(recent, 0)
-            limit, last = self._next(limit, self._raw(value, count, recent)), no
+            score, raw = self._raw(value, count, recent)
+            limit, last = self._next(limit, raw), no
             recent = self._seen(recent, count)
+            scores.append(score)
             out.append(limit)
         self.state.update((int(last), int(limit), [int(n) for n in recent]))
-        yield pd.DataFrame({
+        rows = pd.DataFrame({
             SERIES: key[0], NO: pdf[NO].to_numpy(), START: pdf[START].to_numpy(),
-            "request_count": pdf["request_count"].to_numpy(), "rate_limit": out,
-            "allow": pdf["request_count"].to_numpy() < out})
+            "request_count": pdf["request_count"].to_numpy(), "anomaly_score": pd.Series(scores, dtype="float64"),
+            "rate_limit": out, "allow": pdf["request_count"].to_numpy() < out})
+        if self.width:
+            rows["closes"] = rows[START] + pd.Timedelta(seconds=self.width) - pd.Timedelta(microseconds=1)
+        yield rows
 
     def close(self) -> None:
         pass
 
 
 def adaptive_limits(windows: DataFrame, cfg: LimitConfig = SIMPLE, idle: float | None = None,
-                    spike: tuple[float, float, int] | None = None) -> DataFrame:
-    """Limit and decision per closed window; needs ``raw_limit``, or ``points`` with ``spike``."""
+                    spike: tuple[float, float, int] | None = None, width: int | None = None) -> DataFrame:
+    """Limit and decision per closed window; needs ``raw_limit``, or ``points`` with ``spike``.
+
+    The score is null without ``spike``. With the ``width`` of the windows in
+    seconds there is a column ``closes`` in event time, so that stateful
+    operators can follow.
+    """
     slim = windows.select(SERIES, NO, START, "request_count", F.col("points" if spike else "raw_limit").alias("value"))
     return slim.groupBy(SERIES).transformWithStateInPandas(
-        statefulProcessor=_Limits(cfg, cfg.base_limit if idle is None else idle, spike),
+        statefulProcessor=_Limits(cfg, cfg.base_limit if idle is None else idle, spike, width),
         outputStructType=_with(windows, [SERIES], f"{NO} bigint, {START} timestamp, request_count bigint, "
-                                                  "rate_limit bigint, allow boolean"),
-        outputMode="Append", timeMode="None")
+                                                  "anomaly_score double, rate_limit bigint, allow boolean"
+                                                  + (", closes timestamp" if width else "")),
+        outputMode="Append", timeMode="EventTime" if width else "None",
+        eventTimeColumnName="closes" if width else "")
 
 
 class _Weights(StatefulProcessor):
@@ -179,6 +194,66 @@ def rolling_forecast(windows: DataFrame, base: float, window: int = 10, length:
         outputMode="Append", timeMode="None")
 
 
+class _Newest(StatefulProcessor):
+    """The newest rows of a key; a heap of ``n`` rows is all its state.
+
+    A part of a key passes on the rows that entered its heap, the whole
+    (``whole``) its full heap with a version that counts its changes.
+    """
+
+    COLUMNS = ["t", "known", "request_id", "row"]
+
+    def __init__(self, n: int, id_type: str, whole: bool):
+        self.n, self.id_type, self.whole = n, id_type, whole
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rows = handle.getListState("rows", f"t bigint, known boolean, request_id {self.id_type}, row string")
+        self.version = handle.getValueState("version", "version bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = [(*r, False) for r in self.rows.get()] if self.rows.exists() else []
+        new = ((int(t), bool(k), i.item() if hasattr(i, "item") else i, row, True)
+               for pdf in rows for t, k, i, row in zip(*(pdf[c] for c in self.COLUMNS)))
+        # rows with one time and id differ in their content, so that no order of arrival decides
+        newest = heapq.nlargest(self.n, [*held, *heapq.nlargest(self.n, new)])
+        entered = [r[:4] for r in newest if r[4]]
+        if entered:
+            self.rows.put([r[:4] for r in newest])
+        if not self.whole:
+            yield pd.DataFrame(entered, columns=self.COLUMNS)
+        elif entered:
+            version = self.version.get()[0] + 1 if self.version.exists() else 0
+            self.version.update((version,))
+            yield pd.DataFrame([(version, *r[:4]) for r in newest], columns=["version", *self.COLUMNS])
+
+    def close(self) -> None:
+        pass
+
+
+def newest_rows(stream: DataFrame, n: int = 20, parts: int = 64) -> DataFrame:
+    """The newest ``n`` rows so far, by ``ts`` and ``request_id``, each time they change.
+
+    ``parts`` heaps are kept side by side and merged by a last one, which sees
+    at most ``parts * n`` rows of a batch. ``version`` counts the changes: the
+    rows with the highest one are the newest. Rows without a time are left out,
+    those without an id stand behind others of their time.
+    """
+    kind = stream.schema["request_id"].dataType.simpleString()
+    slim = stream.where("ts is not null").select(
+        F.pmod(F.xxhash64("ts", "request_id"), F.lit(parts)).alias("part"), F.unix_micros("ts").alias("t"),
+        F.col("request_id").isNotNull().alias("known"), F.coalesce("request_id", F.lit(0).cast(kind)).alias("request_id"),
+        F.to_json(F.struct(*[c for c in stream.columns if c not in ("ts", "request_id")])).alias("row"))
+    fields = f"t bigint, known boolean, request_id {kind}, row string"
+    parted = slim.groupBy("part").transformWithStateInPandas(
+        statefulProcessor=_Newest(n, kind, False), outputStructType=fields, outputMode="Append", timeMode="None")
+    whole = parted.withColumn("whole", F.lit(0)).groupBy("whole").transformWithStateInPandas(
+        statefulProcessor=_Newest(n, kind, True), outputStructType=f"version bigint, {fields}",
+        outputMode="Append", timeMode="None")
+    rest = T.StructType([f for f in stream.schema.fields if f.name not in ("ts", "request_id")])
+    return whole.withColumn("row", F.from_json("row", rest)).select(
+        "version", F.timestamp_micros("t").alias("ts"), F.when(F.col("known"), F.col("request_id")).alias("request_id"), "row.*")
+
+
 class _History:
     """The recent requests of a user and the latest match of each pattern, one request at a time."""
 

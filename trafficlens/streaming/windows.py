@@ -57,6 +57,16 @@ def window_features(stream: DataFrame, seconds: int = 60, delay: str = "10 minut
         "is_attack")
 
 
+def simple_features(stream: DataFrame, seconds: int = 60, delay: str = "10 minutes") -> DataFrame:
+    """What the simple rules read, per closed window; plain shares, as in the batch table."""
+    check_width(seconds)
+    n = F.col("request_count")
+    return _statistics(stream, delay, f"{seconds} seconds", None).select(
+        SERIES, F.floor(F.unix_seconds(F.col("w.start")) / seconds).alias(NO), F.col("w.start").alias(START),
+        "request_count", safe_ratio(F.col("errors"), n).alias("error_rate"),
+        (n / (F.col("unique_ips") + 1)).alias("ip_concentration"))
+
+
 def sliding_statistics(stream: DataFrame, width: str = "60 seconds", slide: str = "5 seconds",
                        delay: str = "10 minutes") -> DataFrame:
     """Overlapping windows: the state of the last ``width`` every ``slide``."""
