@@ -60,6 +60,43 @@ def test_chunked_limits_equal_a_loop(spark, alpha, start, steady):
                 assert by[(k, i)] == limit
 
 
+@pytest.mark.parametrize("levels,fan", [(1, 4), (2, 4), (3, 2)])
+def test_composed_chunks_equal_a_loop(spark, levels, fan):
+    """Trees over chunks, a start out of the range, one of an earlier run, a series shorter than a chunk."""
+    rng = random.Random(levels)
+    rows = [(key, i, rng.choice([0.0, 20.0, 55.0, 500.0]), rng.choice([0.05, -0.05, 0.0]))
+            for key, n in (("a", 500), ("b", 161), ("c", 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, pos bigint, raw double, d double")
+    known = spark.createDataFrame([("b", 17)], "k string, limit bigint")
+    deep = dict(size=5, levels=levels, fan=fan)
+    limits = {(r.k, r.pos): r.rate_limit for r in limit_trajectory(
+        df, "k", "pos", "raw", start=400.0, alpha=0.2, low=5, high=60, starts=known, **deep).collect()}
+    weights = {(r.k, r.pos): r.w for r in clamped_sum(
+        df, "k", "pos", "d", start=0.4, low=0.2, high=0.8, out="w", **deep).collect()}
+    assert len(limits) == len(weights) == len(rows)
+    state = {}
+    for k, i, raw, d in rows:
+        limit, w = state.get(k, (17 if k == "b" else 400.0, 0.4))
+        limit = int(min(max(0.2 * raw + 0.8 * limit, 5), 60))
+        w = min(0.8, w + d) if d > 0 else max(0.2, w + d) if d < 0 else w
+        state[k] = limit, w
+        assert limits[(k, i)] == limit and weights[(k, i)] == pytest.approx(w, abs=1e-9)
+
+
+def test_a_long_series_is_no_single_task(spark):
+    """Two million requests of one series: its tables are composed 64 at a time."""
+    n, size, fan = 2_000_000, 1024, 64
+    rows = spark.range(n, numPartitions=8).select(
+        F.lit("all").alias("k"), F.col("id").alias("pos"), (F.pmod(F.xxhash64("id"), F.lit(90)) * 1.0).alias("raw"))
+    got = limit_trajectory(rows, "k", "pos", "raw", start=20.0, alpha=0.3, low=5, high=60, size=size, levels=2, fan=fan)
+    last, total = got.agg(F.max_by("rate_limit", "pos"), F.sum("rate_limit")).first()
+    limit, want = 20.0, 0
+    for raw in rows.orderBy("pos").toPandas()["raw"]:
+        limit = int(min(max(0.3 * raw + (1 - 0.3) * limit, 5), 60))
+        want += limit
+    assert (last, total) == (limit, want)
+
+
 def test_clamped_sum_equals_a_loop(spark):
     rng = random.Random(2)
     rows = [("p", i, rng.choice([0.05, -0.05, 0.0, 0.05])) for i in range(300)]

@@ -3,9 +3,11 @@
 A smoothed limit depends on the limit before it, and integer truncation makes
 the step non-linear, so it is no window expression. But its state is one of
 finitely many integers: a chunk of the series is therefore a table "state
-before -> state after". Tables of all chunks are built at the same time,
-chained per series (one short row per chunk), and each chunk is then replayed
-from its true start state. The result equals the one-by-one fold.
+before -> state after". Tables of all chunks are built at the same time.
+Tables compose, so those of ``FAN`` chunks in a row become one, and so on for
+``levels``; what is left is chained per series. The start states then go down
+the same tree, and each chunk is replayed from its own. No task sees more than
+``FAN`` tables on the way, and the result equals the one-by-one fold.
 """
 
 from __future__ import annotations
@@ -18,14 +20,19 @@ from pyspark.sql import types as T
 from .chunks import CHUNK
 from .columns import floor_div
 
+#: Chunk tables composed by one task; a table is at most the range of states long.
+FAN = 1024
+GROUP = "_group"
+
 
 def _chunked(df: DataFrame, position: str, size: int) -> DataFrame:
     return df.withColumn(CHUNK, floor_div(F.col(position).cast("bigint"), size))
 
 
-def _run(df: DataFrame, key: str, position: str, size: int, *, start, table, chain, step,
-         table_type: str, state_type: str, output: T.StructField, starts: DataFrame | None = None) -> DataFrame:
-    """The three passes shared by both folds; ``df`` has a dense position.
+def _run(df: DataFrame, key: str, position: str, size: int, *, start, table, compose, chain, step,
+         table_type: str, state_type: str, output: T.StructField, starts: DataFrame | None = None,
+         levels: int = 0, fan: int = FAN) -> DataFrame:
+    """The passes shared by both folds; ``df`` has a dense position.
 
     ``starts`` (key, state) are the states that series go on from; others begin
     at ``start``.
@@ -41,21 +48,42 @@ def _run(df: DataFrame, key: str, position: str, size: int, *, start, table, cha
     tables = cut.groupBy(key, CHUNK).applyInPandas(
         build, _with_key(f"{CHUNK} bigint, _table {table_type}"))
 
-    def link(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(CHUNK)
-        first = pdf["_first"].iloc[0]
-        states, state = [], start if pd.isna(first) else first
+    def along(pdf: pd.DataFrame, state) -> pd.DataFrame:
+        pdf, states = pdf.sort_values(CHUNK), []
         for one in pdf["_table"]:
             states.append(state)
             state = chain(one, state)
         return pd.DataFrame({key: pdf[key], CHUNK: pdf[CHUNK], "_start": states})
 
-    if starts is None:
-        tables = tables.withColumn("_first", F.lit(None).cast(state_type))
-    else:
-        own = starts.toDF(key, "_first").withColumn("_first", F.col("_first").cast(state_type))
-        tables = tables.join(own, key, "left")
-    starts = tables.groupBy(key).applyInPandas(link, _with_key(f"{CHUNK} bigint, _start {state_type}"))
+    def link(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf["_first"].iloc[0]
+        return along(pdf, start if pd.isna(first) else first)
+
+    def merge(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = None
+        for one in pdf.sort_values(CHUNK)["_table"]:
+            whole = one if whole is None else compose(whole, one)
+        return pd.DataFrame({key: [group[0]], CHUNK: [group[1]], "_table": [whole]})
+
+    def below(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return along(left, right["_start"].iloc[0])
+
+    started = _with_key(f"{CHUNK} bigint, _start {state_type}")
+
+    def chunk_starts(tables: DataFrame, levels: int) -> DataFrame:
+        """The state that each chunk begins with."""
+        if levels:
+            grouped = tables.withColumn(GROUP, floor_div(F.col(CHUNK), fan))
+            merged = grouped.groupBy(key, GROUP).applyInPandas(merge, tables.schema)
+            above = chunk_starts(merged, levels - 1)
+            return grouped.groupBy(key, GROUP).cogroup(above.groupBy(key, CHUNK)).applyInPandas(below, started)
+        if starts is None:
+            tables = tables.withColumn("_first", F.lit(None).cast(state_type))
+        else:
+            own = starts.toDF(key, "_first").withColumn("_first", F.col("_first").cast(state_type))
+            tables = tables.join(own, key, "left")
+        return tables.groupBy(key).applyInPandas(link, started)
+
     schema = T.StructType([*df.schema.fields, output])
 
     def replay(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -64,14 +92,19 @@ def _run(df: DataFrame, key: str, position: str, size: int, *, start, table, cha
         pdf = left.sort_values(position).drop(columns=CHUNK)
         return step(pdf, right["_start"].iloc[0])
 
-    return cut.groupBy(key, CHUNK).cogroup(starts.groupBy(key, CHUNK)).applyInPandas(replay, schema)
+    begun = chunk_starts(tables, levels)
+    return cut.groupBy(key, CHUNK).cogroup(begun.groupBy(key, CHUNK)).applyInPandas(replay, schema)
 
 
 def limit_trajectory(df: DataFrame, key: str, position: str, raw: str, *, start: float, alpha: float,
                      low: int, high: int, out: str = "rate_limit", size: int = 4096,
-                     starts: DataFrame | None = None) -> DataFrame:
+                     starts: DataFrame | None = None, levels: int = 0, fan: int = FAN) -> DataFrame:
     """``L_t = int(clip(alpha * raw_t + (1 - alpha) * L_{t-1}, low, high))``.
 
+    Without ``levels`` one task chains the chunks of a series, which fits window
+    tables (4 million windows are 1,024 chunks). With two, 4 * 10^12 rows of one
+    series leave no task more than ``fan`` tables.
+
     ``starts`` (key, limit) are limits that an earlier run ended with. One that
     is not an integer of the range, as after a change of the bounds, is brought
     to the nearest below it or to the bound.
@@ -95,6 +128,10 @@ def limit_trajectory(df: DataFrame, key: str, position: str, raw: str, *, start:
                 value = value[:1]
         return value.astype("int64").tolist()
 
+    def compose(first, then):
+        first, then = np.asarray(first), np.asarray(then)
+        return (then if then.size == 1 else then[first - low + 1]).tolist()
+
     def chain(one, state):
         if len(one) == 1:
             return float(one[0])
@@ -108,12 +145,14 @@ def limit_trajectory(df: DataFrame, key: str, position: str, raw: str, *, start:
             limits[i] = int(state)
         return pdf.assign(**{out: limits})
 
-    return _run(df, key, position, size, start=float(start), table=table, chain=chain, step=step,
-                table_type="array<bigint>", state_type="double", output=T.StructField(out, T.LongType()), starts=starts)
+    return _run(df, key, position, size, start=float(start), table=table, compose=compose, chain=chain, step=step,
+                table_type="array<bigint>", state_type="double", output=T.StructField(out, T.LongType()), starts=starts,
+                levels=levels, fan=fan)
 
 
 def clamped_sum(df: DataFrame, key: str, position: str, delta: str, *, start: float, low: float,
-                high: float, out: str, size: int = 100_000, starts: DataFrame | None = None) -> DataFrame:
+                high: float, out: str, size: int = 100_000, starts: DataFrame | None = None,
+                levels: int = 0, fan: int = FAN) -> DataFrame:
     """``x_t = min(high, max(low, x_{t-1} + delta_t))`` where delta is not 0.
 
     Clamped additions compose: a chunk is ``x -> min(u, max(l, x + c))``.
@@ -127,6 +166,10 @@ def clamped_sum(df: DataFrame, key: str, position: str, delta: str, *, start: fl
                 c, l, u = c + d, max(low, l + d), max(low, u + d)
         return [float(c), float(l), float(u)]
 
+    def compose(first, then):
+        (a, l, u), (b, low_, high_) = first, then
+        return [a + b, float(min(high_, max(low_, l + b))), float(min(high_, max(low_, u + b)))]
+
     def chain(one, state):
         c, l, u = one
         return float(min(u, max(l, state + c)))
@@ -141,5 +184,6 @@ def clamped_sum(df: DataFrame, key: str, position: str, delta: str, *, start: fl
             values[i] = state
         return pdf.assign(**{out: values})
 
-    return _run(df, key, position, size, start=float(start), table=table, chain=chain, step=step,
-                table_type="array<double>", state_type="double", output=T.StructField(out, T.DoubleType()), starts=starts)
+    return _run(df, key, position, size, start=float(start), table=table, compose=compose, chain=chain, step=step,
+                table_type="array<double>", state_type="double", output=T.StructField(out, T.DoubleType()), starts=starts,
+                levels=levels, fan=fan)

@@ -81,13 +81,14 @@ def attach_metrics(table: DataFrame, metrics: DataFrame) -> DataFrame:
 
 
 def smoothed_limits(table: DataFrame, cfg: LimitConfig, raw: str = "raw_limit", *,
-                    starts: DataFrame | None = None) -> DataFrame:
+                    starts: DataFrame | None = None, levels: int = 0) -> DataFrame:
     """Add ``rate_limit``: the raw limit smoothed, bounded and truncated in order.
 
     ``starts`` (series_key, limit) are the limits that an earlier run ended with.
+    ``levels`` are those of the fold: 0 for windows, 2 for requests.
     """
     return limit_trajectory(table, SERIES, POS, raw, start=cfg.base_limit, alpha=cfg.alpha, low=cfg.min_limit,
-                            high=cfg.max_limit, starts=starts)
+                            high=cfg.max_limit, starts=starts, levels=levels)
 
 
 def learned_weights(table: DataFrame, weights: DataFrame, at: str = START, *, seconds: int = 86_400) -> DataFrame:
@@ -184,14 +185,14 @@ def simple_decisions(features: DataFrame, score: Column, limits: LimitConfig = S
     })
 
 
-def online_decisions(features: DataFrame, limits: LimitConfig = ONLINE) -> DataFrame:
+def online_decisions(features: DataFrame, limits: LimitConfig = ONLINE, *, levels: int = 0) -> DataFrame:
     """Window decisions of the online formula; needs ``predicted`` and ``anomaly_score``."""
     scored = features.withColumn("prediction_score", online_prediction_score(F.col("predicted"), limits))
     scored = scored.withColumn("ensemble_score", ensemble(
         F.col("prediction_score"), F.col("anomaly_score"), None, limits, **_weights(features, limits)))
     scored = scored.withColumn("raw_limit", F.lit(float(limits.base_limit)) * F.col("ensemble_score")
                                * online_context(F.col("is_business_hours")))
-    limited = smoothed_limits(scored, limits)
+    limited = smoothed_limits(scored, limits, levels=levels)
     rate, limit = F.col("request_count"), F.col("rate_limit")
     return limited.withColumns({
         "allow": allowed(rate, limit),
@@ -221,8 +222,8 @@ def full_factors(features: DataFrame, limits: LimitConfig = FULL) -> DataFrame:
                              * col("fairness_multiplier") * col("context_multiplier") * col("health_multiplier"))
 
 
-def full_decisions(features: DataFrame, limits: LimitConfig = FULL) -> DataFrame:
-    limited = smoothed_limits(full_factors(features, limits), limits)
+def full_decisions(features: DataFrame, limits: LimitConfig = FULL, *, levels: int = 0) -> DataFrame:
+    limited = smoothed_limits(full_factors(features, limits), limits, levels=levels)
     rate, limit = F.col("request_count"), F.col("rate_limit")
     return limited.withColumns({
         "allow": allowed(rate, limit),

@@ -12,6 +12,8 @@ from ..operators.trailing import trailing_features
 from ..operators.windows import POS, SERIES
 
 US = 1_000_000
+#: Levels of the limit fold: chunks of 4,096 requests, twice composed by 1,024.
+LEVELS = 2
 
 
 def in_order(rows: DataFrame, seconds: int) -> DataFrame:
@@ -34,7 +36,7 @@ def online_request_decisions(log: DataFrame, seconds: int = 60, limits: LimitCon
     rows = in_order(trailing_features(log, seconds, max_rows=max_rows), seconds)
     scored = rows.withColumn("anomaly_score", heuristics.online_score(rules)).withColumn(
         "predicted", F.col("request_count").cast("double"))
-    return policy.online_decisions(scored, limits)
+    return policy.online_decisions(scored, limits, levels=LEVELS)
 
 
 def full_request_inputs(log: DataFrame, seconds: int, limits: LimitConfig = FULL,
@@ -64,4 +66,4 @@ def full_request_decisions(log: DataFrame, seconds: int = 60, limits: LimitConfi
     A ``cpu_usage`` column of the log feeds the health factor; without one the
     system counts as healthy.
     """
-    return policy.full_decisions(full_request_inputs(log, seconds, limits, cfg), limits)
+    return policy.full_decisions(full_request_inputs(log, seconds, limits, cfg), limits, levels=LEVELS)
