@@ -1,4 +1,4 @@
 """All check queries."""
 
-from . import behaviour, features, forest_walk, models, policy_checks, requests, resume, streams  # noqa: F401
+from . import behaviour, features, forest_walk, models, policy_checks, requests, resume, streams, trained  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -113,3 +113,32 @@ def test_scaler_centres_constant_features(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, b double")
     model = scaling.fit_scaler(df, ["a", "b"])
     assert [list(r.x) for r in df.select(model.vector().alias("x")).collect()] == [[-1.0, 0.0], [1.0, 0.0]]
+
+
+def test_previous_values_are_padded_and_never_the_own_one(spark):
+    from trafficlens.operators.forecast import previous_sequence
+
+    table = spark.createDataFrame([(k, i, i, 10 + i) for k, n in (("a", 5), ("b", 1)) for i in range(n)],
+                                  "series_key string, window_no bigint, pos bigint, request_count bigint")
+    got = {(r.series_key, r.pos): r.sequence for r in previous_sequence(table, 3).collect()}
+    assert got == {("a", 0): [0, 0, 0], ("a", 1): [0, 0, 10], ("a", 2): [0, 10, 11], ("a", 3): [10, 11, 12],
+                   ("a", 4): [11, 12, 13], ("b", 0): [0, 0, 0]}
+
+
+def test_decisions_without_a_forecaster_keep_the_moving_average(spark, data):
+    from checks.fixture import DAY, FULL_LIMITS, HOUR
+    from checks.forest_walk import NAMES, model
+    from trafficlens.operators.windows import window_aggregates
+    from trafficlens.plans import decisions as plans
+    from trafficlens.plans.training import TrainedModels
+    from trafficlens.sources.request_log import events_request_log
+
+    log = events_request_log(spark, data).where("ts < '2024-01-03'")
+    metrics = plans.metrics_from_load(window_aggregates(log, HOUR, measures=()), 4.5)
+    forest = TrainedModels(scaling.ScalerModel(tuple(NAMES), (0.0,) * 3, (1.0,) * 3), model(spark), None)
+    plain = {r.pos: r for r in plans.full_inputs(log, metrics, HOUR, FULL_LIMITS, DAY).collect()}
+    scored = {r.pos: r for r in plans.full_inputs(log, metrics, HOUR, FULL_LIMITS, DAY, forest).collect()}
+    assert plain.keys() == scored.keys() and len(plain) > 10
+    assert all(scored[p].predicted == plain[p].predicted for p in plain)
+    assert all(0 < scored[p].anomaly_score < 1 for p in plain)
+    assert any(scored[p].anomaly_score != plain[p].anomaly_score for p in plain)

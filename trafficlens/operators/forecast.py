@@ -27,6 +27,14 @@ def padded_sequence(table: DataFrame, length: int = 60, value: str = "request_co
     return out.withColumn("sequence", F.concat(padding, "_seen")).drop("_seen")
 
 
+def previous_sequence(table: DataFrame, length: int = 60, value: str = "request_count") -> DataFrame:
+    """The ``length`` values before each window, left-padded with zeros."""
+    out = over_windows(table, length, lambda w: {
+        "_seen": F.collect_list(F.col(value)).over(w.rowsBetween(-length, -1))})
+    padding = F.array_repeat(F.lit(0).cast("bigint"), length - F.size("_seen"))
+    return out.withColumn("sequence", F.concat(padding, "_seen")).drop("_seen")
+
+
 def chronological(df: DataFrame, validation: float) -> DataFrame:
     """Mark the last ``ceil(validation * n)`` rows of each series, by position."""
     spans = df.groupBy(SERIES).agg(F.min(POS).alias("_low"), F.count("*").alias("_n"))

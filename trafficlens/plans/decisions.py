@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..config import FULL, ONLINE, SIMPLE, BehaviorConfig, HeuristicConfig, LimitConfig, OnlineHeuristicConfig
+from ..config import FULL, ONLINE, SIMPLE, BehaviorConfig, HeuristicConfig, LimitConfig, OnlineHeuristicConfig, WindowConfig
 from ..operators import behavior, heuristics, policy
+from ..operators.forecast import previous_sequence
 from ..operators.rolling import moving_average_forecast, spike_ratio_simple
-from ..operators.windows import KEY, assign_windows, simple_window_features, user_share
+from ..operators.windows import KEY, POS, assign_windows, simple_window_features, user_share
+from ..session import materialize
+from .feature_table import feature_table
+from .training import TrainedModels
 
 
 def simple_features(log: DataFrame, seconds: int) -> DataFrame:
@@ -40,11 +44,33 @@ def metrics_from_load(table: DataFrame, per_request: float) -> DataFrame:
     return table.select(*KEY, F.least(F.lit(100.0), F.col("request_count") * per_request).alias("cpu_usage"))
 
 
+def model_inputs(log: DataFrame, models: TrainedModels, seconds: int) -> DataFrame:
+    """Forecast and anomaly probability of each window by trained models.
+
+    The forecast is made from the windows before, with zeros where there are
+    too few. The feature table is written once and read by both models.
+    """
+    table = materialize(feature_table(log, WindowConfig(window_seconds=seconds)), "model-inputs")
+    out = models.score(table).select(*KEY, F.col("anomaly_probability").alias("_anomaly"))
+    if models.forecaster is None:
+        return out.withColumn("_predicted", F.lit(None).cast("double"))
+    ahead = models.forecaster.transform(previous_sequence(table.select(*KEY, POS, "request_count"), models.forecaster.length))
+    return out.join(ahead.select(*KEY, F.col("predicted").alias("_predicted")), KEY)
+
+
 def full_inputs(log: DataFrame, metrics: DataFrame, seconds: int, limits: LimitConfig = FULL,
-                cfg: BehaviorConfig = BehaviorConfig()) -> DataFrame:
-    """Everything the full limit formula reads, one row per window."""
+                cfg: BehaviorConfig = BehaviorConfig(), models: TrainedModels | None = None) -> DataFrame:
+    """Everything the full limit formula reads, one row per window.
+
+    Without ``models`` (or without a forecaster) the moving average stands for
+    the forecast, without ``models`` the ladder of load ratios for the forest.
+    """
     table = moving_average_forecast(simple_window_features(log, seconds), limits.base_limit)
     table = table.withColumn("anomaly_score", heuristics.ratio_ladder(F.col("request_count"), limits.base_limit))
+    if models is not None:
+        table = table.join(model_inputs(log, models, seconds), KEY, "left").withColumns({
+            "anomaly_score": F.coalesce("_anomaly", "anomaly_score"),
+            "predicted": F.coalesce("_predicted", "predicted")}).drop("_anomaly", "_predicted")
     for side in (heaviest_user(log, seconds), window_risk(log, seconds, cfg)):
         table = table.join(side, KEY, "left")
     sale = F.lit(0)
@@ -58,8 +84,8 @@ def full_inputs(log: DataFrame, metrics: DataFrame, seconds: int, limits: LimitC
 
 
 def full_window_decisions(log: DataFrame, metrics: DataFrame, seconds: int = 60, limits: LimitConfig = FULL,
-                          cfg: BehaviorConfig = BehaviorConfig()) -> DataFrame:
-    return policy.full_decisions(full_inputs(log, metrics, seconds, limits, cfg), limits)
+                          cfg: BehaviorConfig = BehaviorConfig(), models: TrainedModels | None = None) -> DataFrame:
+    return policy.full_decisions(full_inputs(log, metrics, seconds, limits, cfg, models), limits)
 
 
 def online_inputs(log: DataFrame, seconds: int, rules: OnlineHeuristicConfig = OnlineHeuristicConfig()) -> DataFrame:
