@@ -83,7 +83,7 @@ class ParallelPattern:
     severity: float
 
 
-# The built-in bot patterns.
+# The built-in bot patterns.
 RAPID_CHECKOUT = SequencePattern(
     "rapid_checkout", ("/api/products", "/api/cart", "/api/checkout"), 100, 0.9)
 ENDPOINT_SCANNING = SequencePattern(
