@@ -152,3 +152,14 @@ def test_explanation_example(spark):
     assert e.primary_reason == "Abnormally high request rate"
     assert "Confidence: 87.00%\nAdaptive Limit: 50 req/min\n" in made.text
     assert "  - unique_ips: 2.00 (importance: 10.00%)\n" in made.text
+
+
+def test_repeated_and_missing_ids_keep_their_own_risk(make_log):
+    from trafficlens.plans.requests import full_request_inputs
+
+    quick = [(i * 0.02, "bot", e, {"request_id": None}) for i, e in enumerate(("/api/products", "/api/cart", "/api/checkout"))]
+    calm = [(i * 5.0, "calm", "/api/products", {"request_id": 7}) for i in range(3)]
+    rows = full_request_inputs(make_log(quick + calm), 60).collect()
+    assert len(rows) == 6
+    assert sorted(r.behavioral_risk for r in rows if r.user_id == "bot") == [0.0, 0.0, 0.9]
+    assert {r.behavioral_risk for r in rows if r.user_id == "calm"} == {0.0}

@@ -42,8 +42,9 @@ def online_request_decisions(log: DataFrame, seconds: int = 60, limits: LimitCon
 def full_request_inputs(log: DataFrame, seconds: int, limits: LimitConfig = FULL,
                         cfg: BehaviorConfig = BehaviorConfig()) -> DataFrame:
     """Everything the full formula reads, per request: its own user's share, flag and risk."""
-    risk = behavior.suspicion(log, cfg).select("request_id", F.col("suspicion_score").alias("behavioral_risk"))
-    rows = in_order(trailing_features(log, seconds), seconds).join(risk, "request_id", "left")
+    # the risk travels with its request, so that repeated and missing ids need no join
+    scored = behavior.suspicion(log, cfg).select(*log.columns, F.col("suspicion_score").alias("behavioral_risk"))
+    rows = in_order(trailing_features(scored, seconds), seconds)
     columns = set(rows.columns)
     flag = F.col("is_bot") if "is_bot" in columns else F.lit(0)
     sale = (F.col("traffic_type") == "flash_sale").cast("int") if "traffic_type" in columns else F.lit(0)
