@@ -54,13 +54,25 @@ def bot_requests(spark, sf_dir):
     return log(spark, sf_dir).where(F.col("is_bot") == 1).select("request_id", "user_id", "user_agent")
 
 
+def by_endpoint(spark, sf_dir):
+    whole = log(spark, sf_dir)
+    ends = ["/api/products", "/api/cart", "/api/checkout"]
+    return [whole.where(F.col("endpoint") == e) for e in ends] + [whole.where(~F.col("endpoint").isin(ends))]
+
+
 @check("merged_traffic", with_(LOG, select=SELECT_LOG))
 def merged_traffic(spark, sf_dir):
     """Sources split by endpoint and merged again."""
-    whole = log(spark, sf_dir)
-    ends = ["/api/products", "/api/cart", "/api/checkout"]
-    parts = [whole.where(F.col("endpoint") == e) for e in ends] + [whole.where(~F.col("endpoint").isin(ends))]
-    return out(request_log.merge_sources(*parts), *REQUEST_COLUMNS)
+    return out(request_log.merge_sources(*by_endpoint(spark, sf_dir)), *REQUEST_COLUMNS)
+
+
+@check("merged_traffic_in_order", with_(LOG, select=(
+    "SELECT request_id, ts, user_id, endpoint, row_number() OVER (ORDER BY ts, request_id) AS position FROM request_log")))
+def merged_traffic_in_order(spark, sf_dir):
+    """The sources merged into files in order of time; a row's position is its place in the files."""
+    path = shared_dir(spark, "merged-log")
+    request_log.write_merged(path, *by_endpoint(spark, sf_dir))
+    return out(request_log.read_merged(spark, path), "request_id", "ts", "user_id", "endpoint", "position")
 
 
 @check("dense_window_grid", with_(LOG, sql.windows(GAP), select="SELECT series_key, window_start, pos, request_count FROM wf"))

@@ -135,6 +135,34 @@ def test_trailing_equals_brute_force(make_log, max_rows):
         assert abs(g.avg_response_time - sum(r[3]["response_time"] for r in inside) / len(inside)) < 1e-9
 
 
+def test_busy_minute_is_many_tasks(spark):
+    """90% of the requests in one minute: sums equal those of sorted arrays, and no task gets much more than another."""
+    import numpy as np
+
+    from trafficlens.operators import trailing
+
+    n, width = 60_000, 60 * trailing.US
+    ids = F.col("id")
+    at = F.when(ids % 10 > 0, ids * 7919 % width + 40_000 * trailing.US).otherwise(ids * 104_729 % (86_400 * trailing.US))
+    rows = spark.range(n).select(ids.alias("request_id"), F.timestamp_micros(at).alias("ts"), (ids % 37).cast("string").alias("user_id"),
+                                 (ids % 11).cast("string").alias("ip"), F.lit(200).alias("status_code"), F.lit(1.5).alias("response_time"))
+    got = trailing.trailing_features(rows).orderBy("request_id").toPandas()
+    i = np.arange(n)
+    t = np.where(i % 10 > 0, i * 7919 % width + 40_000 * trailing.US, i * 104_729 % (86_400 * trailing.US))
+    whole = np.sort(t)
+    assert (got.request_count == np.searchsorted(whole, t, "right") - np.searchsorted(whole, t - width, "right")).all()
+    for user in range(37):
+        own = i % 37 == user
+        times = np.sort(t[own])
+        want = np.searchsorted(times, t[own], "right") - np.searchsorted(times, t[own] - width, "right")
+        assert (got.user_request_count[own] == want).all()
+    assert (got.avg_response_time == 1.5).all() and got.unique_users.max() == 37
+    events = spark.createDataFrame(np.concatenate([t, t + width]).tolist(), "long").toDF("at")
+    tasks = events.groupBy(F.pmod(F.hash(F.lit("all"), F.floor(F.col("at") / (width // trailing.SLICES))), F.lit(16)).alias("task")).count()
+    sizes = sorted(r["count"] for r in tasks.collect())
+    assert len(sizes) == 16 and sizes[-1] <= 5 * sizes[8]
+
+
 def test_sixty_seconds_old_is_outside_the_trailing_window(make_log):
     got = trailing_features(make_log([(0.0, "u", "/a"), (60.0, "v", "/a")])).orderBy("request_id").collect()
     assert [r.request_count for r in got] == [1, 1]

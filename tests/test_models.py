@@ -93,6 +93,30 @@ def test_quantiles_are_exact(spark):
     assert whole == pytest.approx(np.quantile(np.concatenate(list(data.values())), 0.25), rel=1e-12)
 
 
+def test_hot_key_is_ranked_in_small_parts(spark):
+    """Two million equally dense values under one key, close together: exact, and no ranked part has many of them."""
+    from trafficlens.functions import quantile as qt
+
+    n = 2_000_000
+    df = spark.range(n).select((F.lit(1.7e9) + F.col("id") * 7919 % n / 1024.0).alias("v"))
+    want = np.quantile(1.7e9 + np.arange(n) / 1024.0, [0.25, 0.5, 0.95])
+    got = exact_quantiles(df, [], "v", {"a": 0.25, "b": 0.5, "c": 0.95}).first()
+    assert list(got) == pytest.approx(want, rel=1e-15)
+    rows = df.select(F.lit(0).alias("k"), F.col("v").alias("_v")).withColumn(qt.CELL, qt.cell(F.col("_v")))
+    parts = qt.ranked_values(rows, qt.counted_cells(rows, ["k"]), ["k"]).groupBy(qt.CELL, qt.PART).count()
+    assert parts.agg(F.max("count")).first()[0] <= 2 * n / qt.PARTS
+
+
+def test_quantiles_of_unusual_values(spark):
+    data = {"signs": [-3.0, -0.0, 0.0, 2.0, 5e-324], "ends": [-1.7e308, 1e308, 1.7e308],
+            "infinite": [float("-inf"), 1.0, 1.5, float("inf")], None: [4.0, None, 4.5, 4.25]}
+    df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs] + [("none", None)], "k string, v double")
+    got = {r.k: r.m for r in exact_quantiles(df, ["k"], "v", {"m": 0.5}).collect()}
+    assert got == {"signs": 0.0, "ends": 1e308, "infinite": 1.25, None: 4.25}
+    nan = spark.createDataFrame([(1.0,), (float("nan"),), (2.0,)], "v double")
+    assert exact_quantiles(nan, [], "v", {"m": 0.5}).first().m == 2.0
+
+
 def test_auc_with_ties_and_one_class(spark):
     rng = np.random.default_rng(4)
     rows = [(int(y), float(np.round(s, 1))) for y, s in zip(rng.integers(0, 2, 300), rng.normal(size=300))]

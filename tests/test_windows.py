@@ -102,3 +102,27 @@ def test_small_groups_have_exact_quantiles(spark):
     for r in exact_quantiles(rows, ["n"], "v", {"low": 0.05, "mid": 0.5, "high": 0.95}).collect():
         want = np.quantile(values[r.n], [0.05, 0.5, 0.95])
         assert np.allclose([r.low, r.mid, r.high], want), r.n
+
+
+def test_merged_log_is_in_order_of_time(spark, make_log, tmp_path):
+    """Two overlapping logs with ties and one busy second, over many files: bounds follow each other, positions are dense."""
+    from trafficlens.sources.request_log import file_bounds, read_merged, write_merged
+
+    left = make_log([((i * 37 % 100) / 100 if i % 3 else i * 7 % 900, "l", "/a") for i in range(600)])
+    right = make_log([(i * 11 % 1000, "r", "/b") for i in range(400)]).withColumn("request_id", F.col("request_id") + 600)
+    right = right.withColumn("ts", F.when(F.col("request_id") != 700, F.col("ts")))
+    path = str(tmp_path / "merged")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_merged(path, left, right)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    bounds = file_bounds(spark, path).collect()
+    assert len(bounds) > 2 and all(b.in_order for b in bounds) and sum(b.rows for b in bounds) == 1000
+    placed = read_merged(spark, path)
+    assert "Sort" not in placed.drop("position")._jdf.queryExecution().optimizedPlan().toString()
+    rows = sorted(placed.collect(), key=lambda r: r.position)
+    assert [r.position for r in rows] == list(range(1, 1001))
+    order = [(r.ts is not None, r.ts, r.request_id) for r in rows]
+    assert order[0] == (False, None, 700) and order[1:] == sorted(order[1:])

@@ -8,6 +8,8 @@ length:
   are copied into the following one, so each chunk sees its own look-back.
 * ``running_sum`` / ``carried_lag``: for unbounded frames. One seed row per
   chunk carries the state left by the earlier chunks.
+* ``sliced_sum``: ``running_sum`` along time, over slices so short that a burst
+  is many of them; the slices themselves are summed up in two levels.
 * ``as_of``: a point-in-time join, by a value carried over slices of time.
 * ``time_chunk``: slices of time, for ``running_sum`` and ``carried_lag``.
 * ``row_blocks``: blocks of rows, for frames that reach back a limited number of
@@ -43,8 +45,9 @@ def own_rows(df: DataFrame) -> DataFrame:
     return df.where(F.col(OWN)).drop(CHUNK, OWN, BLOCK)
 
 
-def running_sum(df: DataFrame, keys: list[str], chunk: str, order: list, sums: dict[str, Column]) -> DataFrame:
-    """Cumulative sums per key in ``order``, computed chunk by chunk.
+def running_sum(df: DataFrame, keys: list[str], chunk: str, order: list, sums: dict[str, Column], *,
+                own: bool = True) -> DataFrame:
+    """Cumulative sums per key in ``order``, computed chunk by chunk; without the row itself unless ``own``.
 
     ``chunk`` must not decrease along ``order``. Chunk totals are aggregated
     before the shuffle; their prefix sums enter each chunk as a seed row.
@@ -58,7 +61,7 @@ def running_sum(df: DataFrame, keys: list[str], chunk: str, order: list, sums: d
         *keys, chunk, *[F.sum(t).over(before).alias(t) for t in temp], F.lit(1).alias("_seed"))
     union = rows.withColumn("_seed", F.lit(0)).unionByName(seeds, allowMissingColumns=True)
     within = Window.partitionBy(*keys, chunk).orderBy(F.col("_seed").desc(), *order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
+        Window.unboundedPreceding, Window.currentRow if own else -1)
     return (
         union.withColumns({n: F.sum(f"_v_{n}").over(within) for n in sums})
         .where(F.col("_seed") == 0)
@@ -66,6 +69,32 @@ def running_sum(df: DataFrame, keys: list[str], chunk: str, order: list, sums: d
     )
 
 
+def sliced_sum(df: DataFrame, keys: list[str], time: str, size: int, sums: dict[str, Column], *,
+               order: list[str] | None = None, part: int = 4096) -> DataFrame:
+    """Cumulative sums per key along ``time``, a whole number; computed in slices of ``size``.
+
+    Rows of one time count together; with ``order``, which starts with
+    ``time``, one after the other. Slice totals are aggregated before the
+    shuffle and summed up in parts of ``part`` slices, so that a task holds one
+    slice of rows, ``part`` totals of slices, or one total per part of a key.
+    """
+    temp = {f"_s_{n}": c for n, c in sums.items()}
+    rows = df.withColumns(temp).withColumn("_slice", floor_div(F.col(time), size))
+    totals = rows.groupBy(*keys, "_slice").agg(*[F.sum(t).alias(t) for t in temp]).withColumn(
+        "_part", floor_div(F.col("_slice"), part))
+    earlier = running_sum(totals, keys, "_part", ["_slice"], {f"_e{t}": F.col(t) for t in temp}, own=False)
+    seeds = earlier.select(*keys, "_slice", *[F.col(f"_e{t}").alias(t) for t in temp], F.lit(1).alias("_first"))
+    union = rows.withColumn("_first", F.lit(0)).unionByName(seeds, allowMissingColumns=True)
+    slices = Window.partitionBy(*keys, "_slice")
+    within = (slices.orderBy(F.col("_first").desc(), *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+              if order else slices.orderBy(F.asc_nulls_first(time)).rangeBetween(Window.unboundedPreceding, 0))
+    return (
+        union.withColumns({n: F.sum(f"_s_{n}").over(within) for n in sums})
+        .where(F.col("_first") == 0)
+        .drop("_first", "_slice", *temp)
+    )
+
+
 def carried_lag(df: DataFrame, keys: list[str], chunk: str, order: list[str], cols: dict[str, str]) -> DataFrame:
     """``lag(col)`` per key in ``order`` for ``{output: col}``, chunk by chunk."""
     carried = list(dict.fromkeys([*order, *cols.values()]))

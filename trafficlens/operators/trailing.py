@@ -9,58 +9,50 @@ subtracts when it leaves, so the work is one ordered pass:
 * distinct users and ips: a request stands for its user from the moment the
   user's previous request has left until it leaves itself.
 
-Keys are cut into time chunks. An entry that is still inside at the start of a
-chunk is repeated there, so running sums never need earlier chunks.
+The sums run over slices far shorter than the window. What earlier slices leave
+enters a slice as one seed row, so a minute with most of the traffic is the work
+of many tasks and no entry is repeated.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.chunks import CHUNK, running_sum
+from ..functions.chunks import CHUNK, carried_lag, sliced_sum
 from ..functions.columns import floor_div, indicator, micros, safe_ratio
 from .windows import SERIES
 
 US = 1_000_000
-CHUNK_WIDTHS = 4
+#: Slices per width. A single user or ip has fewer requests than its series.
+SLICES, KEY_SLICES = 256, 32
 
 
-def _event(at: Column, kind: str, query: bool = False) -> Column:
-    return F.struct(at.alias("at"), F.lit(kind).alias("kind"), F.lit(query).alias("query"))
+def _slice(width: int, slices: int) -> int:
+    return max(1, width // slices)
 
 
-def _chunk_events(df: DataFrame, events: list[Column], enter: Column, size: int) -> DataFrame:
-    """One row per event and chunk it matters in (``_e``, ``_chunk``).
+def _event(at: Column, kind: str) -> Column:
+    return F.struct(at.alias("at"), F.lit(kind).alias("kind"))
 
-    Events count in their own chunk; an event of an entry whose exit lies in a
-    later chunk is repeated there. Only the first copy of a query row is kept.
-    """
-    exploded = df.withColumn("_e", F.explode(F.filter(F.array(*events), lambda e: e.at.isNotNull())))
-    own = floor_div(F.col("_e.at"), size)
-    last = floor_div(F.col("_exit"), size)
-    return exploded.withColumn(CHUNK, F.explode(F.sequence(own, last))).withColumn(
-        "_query", F.col("_e.query") & (F.col(CHUNK) == own))
+
+def _events(df: DataFrame, *events: Column) -> DataFrame:
+    """One row per event (``_at``, ``_kind``) of each row."""
+    rows = df.withColumn("_e", F.explode(F.filter(F.array(*events), lambda e: e.at.isNotNull())))
+    return rows.withColumns({"_at": F.col("_e.at"), "_kind": F.col("_e.kind")}).drop("_e")
 
 
 def _key_statistics(df: DataFrame, key: str, width: int) -> DataFrame:
     """Add ``<key>_from`` (start as the key's representative) and the key's own count."""
-    size = CHUNK_WIDTHS * width
-    t = F.col("_t")
-    rows = _chunk_events(df, [_event(t, "in", True), _event(F.col("_exit"), "out")], t, size)
-    entered = F.col("_e.kind") == "in"
-    by = [SERIES, key, CHUNK]
-    ordered = Window.partitionBy(*by).orderBy("_e.at", F.col("_e.kind").desc(), "request_id")
-    so_far = Window.partitionBy(*by).orderBy("_e.at").rangeBetween(Window.unboundedPreceding, 0)
-    previous = F.last(F.when(entered, F.col("_exit")), ignorenulls=True).over(
-        ordered.rowsBetween(Window.unboundedPreceding, -1))
-    start = F.greatest(t, previous)
-    return (
-        rows.withColumns({
-            f"{key}_from": F.when(entered, F.when(start < F.col("_exit"), start)),
-            f"{key}_requests": F.sum(F.when(entered, 1).otherwise(-1)).over(so_far),
-        })
-        .where(F.col("_query")).drop("_e", "_query", CHUNK)
-    )
+    size = _slice(width, KEY_SLICES)
+    t, gone = F.col("_t"), F.col("_exit")
+    rows = carried_lag(df.withColumn(CHUNK, floor_div(t, size)), [SERIES, key], CHUNK, ["_t", "request_id"],
+                       {"_previous": "_exit"}).drop(CHUNK)
+    start = F.greatest(t, "_previous")
+    rows = _events(rows.withColumn(f"{key}_from", F.when(start < gone, start)).drop("_previous"),
+                   _event(t, "in"), _event(gone, "out"))
+    entered = F.col("_kind") == "in"
+    rows = sliced_sum(rows, [SERIES, key], "_at", size, {f"{key}_requests": F.when(entered, 1).otherwise(-1)})
+    return rows.where(entered).drop("_at", "_kind")
 
 
 def _exits(rows: DataFrame, width: int, max_rows: int | None) -> DataFrame:
@@ -73,8 +65,7 @@ def _exits(rows: DataFrame, width: int, max_rows: int | None) -> DataFrame:
     rows = rows.withColumn("_exit", F.col("_t") + width)
     if max_rows is None:
         return rows
-    placed = running_sum(rows.withColumn(CHUNK, floor_div(F.col("_t"), width)), [SERIES], CHUNK,
-                         ["_t", "request_id"], {"_position": F.lit(1)}).drop(CHUNK)
+    placed = sliced_sum(rows, [SERIES], "_t", _slice(width, SLICES), {"_position": F.lit(1)}, order=["_t", "request_id"])
     pushing = placed.select(SERIES, (F.col("_position") - max_rows).alias("_position"), F.col("_t").alias("_pushed"))
     return placed.join(pushing, [SERIES, "_position"], "left").withColumn(
         "_exit", F.least("_exit", "_pushed")).drop("_position", "_pushed")
@@ -93,12 +84,9 @@ def trailing_features(log: DataFrame, seconds: int = 60, *, max_rows: int | None
     rows = _exits(rows.withColumn("_t", micros(F.col("ts"))), width, max_rows)
     rows = _key_statistics(rows, "user_id", width)
     rows = _key_statistics(rows, "ip", width)
-    events = [
-        _event(F.col("_t"), "in", True), _event(F.col("_exit"), "out"),
-        _event(F.col("user_id_from"), "user"), _event(F.col("ip_from"), "ip"),
-    ]
-    rows = _chunk_events(rows, events, F.col("_t"), CHUNK_WIDTHS * width)
-    kind = F.col("_e.kind")
+    rows = _events(rows, _event(F.col("_t"), "in"), _event(F.col("_exit"), "out"),
+                   _event(F.col("user_id_from"), "user"), _event(F.col("ip_from"), "ip"))
+    kind = F.col("_kind")
     sign = F.when(kind == "in", 1).when(kind == "out", -1).otherwise(0)
     error = indicator(F.col("status_code") >= 400)
     exact = F.col("response_time").cast("decimal(38,12)")
@@ -106,15 +94,14 @@ def trailing_features(log: DataFrame, seconds: int = 60, *, max_rows: int | None
     def distinct(name, start):
         return F.when(kind == name, 1).when((kind == "out") & F.col(start).isNotNull(), -1).otherwise(0)
 
-    so_far = Window.partitionBy(SERIES, CHUNK).orderBy("_e.at").rangeBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({
-        "request_count": F.sum(sign).over(so_far),
-        "_errors": F.sum(sign * error).over(so_far),
+    rows = sliced_sum(rows, [SERIES], "_at", _slice(width, SLICES), {
+        "request_count": sign,
+        "_errors": sign * error,
         # exact sums: what leaves the window takes away just what it added
-        "_latency": F.sum(F.when(kind == "in", exact).when(kind == "out", -exact)).over(so_far),
-        "unique_users": F.sum(distinct("user", "user_id_from")).over(so_far),
-        "unique_ips": F.sum(distinct("ip", "ip_from")).over(so_far),
-    }).where(F.col("_query"))
+        "_latency": F.when(kind == "in", exact).when(kind == "out", -exact),
+        "unique_users": distinct("user", "user_id_from"),
+        "unique_ips": distinct("ip", "ip_from"),
+    }).where(kind == "in")
     n, hour = F.col("request_count"), F.hour("ts")
     return rows.withColumns({
         "error_rate": safe_ratio(F.col("_errors"), n),
@@ -124,7 +111,7 @@ def trailing_features(log: DataFrame, seconds: int = 60, *, max_rows: int | None
         "ip_concentration": safe_ratio(n, F.col("unique_ips")),
         "hour": hour,
         "is_business_hours": indicator(hour.between(9, 17)),
-    }).drop("_e", "_query", CHUNK, "_t", "_exit", "_errors", "_latency",
+    }).drop("_at", "_kind", "_t", "_exit", "_errors", "_latency",
             "user_id_from", "ip_from", "user_id_requests", "ip_requests")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 from ..schema import EVENTS, REQUEST_LOG
@@ -44,6 +44,43 @@ def merge_sources(*logs: DataFrame) -> DataFrame:
     return merged
 
 
+def write_merged(path: str, *logs: DataFrame) -> None:
+    """Merge request logs by time: the order of the files, and of the rows in a file, is ``ts``, then ``request_id``.
+
+    The times are dealt to tasks by sampled ranges, so a busy minute is many
+    files; rows without a time come first.
+    """
+    order = ["ts", "request_id"]
+    merge_sources(*logs).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
+def _with_place(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.parquet(path)
+    return rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
+def file_bounds(spark: SparkSession, path: str) -> DataFrame:
+    """Per file of a merged log: rows, first and last (ts, request_id), and whether it starts where its predecessor ends."""
+    key = F.struct(F.isnotnull("ts").alias("timed"), "ts", "request_id")
+    bounds = _with_place(spark, path).groupBy("_file").agg(
+        F.count("*").alias("rows"), F.min(key).alias("first"), F.max(key).alias("last"))
+    files = Window.orderBy("_file")  # one row per file
+    return bounds.withColumn("in_order", F.coalesce(F.lag("last").over(files) <= F.col("first"), F.lit(True)))
+
+
+def read_merged(spark: SparkSession, path: str, position: str = "position") -> DataFrame:
+    """A merged log with each row's place in the order of time, from 1.
+
+    The place comes from the row counts of the earlier files and the row's own
+    number in its file; no rows are sorted or shuffled.
+    """
+    rows = _with_place(spark, path)
+    files = rows.groupBy("_file").agg(F.count("*").alias("_rows"))  # one row per file
+    earlier = F.sum("_rows").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+    files = files.select("_file", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    return rows.join(files, "_file").withColumn(position, F.col("_before") + F.col("_row") + 1).drop("_file", "_row", "_before")
+
+
 # Event type to endpoint of the fixture view.
 EVENT_ENDPOINTS = {
     "view": "/api/products",
