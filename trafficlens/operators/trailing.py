@@ -9,50 +9,55 @@ subtracts when it leaves, so the work is one ordered pass:
 * distinct users and ips: a request stands for its user from the moment the
   user's previous request has left until it leaves itself.
 
-The sums run over slices far shorter than the window. What earlier slices leave
-enters a slice as one seed row, so a minute with most of the traffic is the work
-of many tasks and no entry is repeated.
+A user or ip is cut into time chunks; an entry that is still inside at the start
+of a chunk is repeated there. The sums of a series run over slices far shorter
+than the window. What earlier slices leave enters a slice as one seed row, so a
+minute with most of the traffic is the work of many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.chunks import CHUNK, carried_lag, sliced_sum
+from ..functions.chunks import CHUNK, sliced_sum
 from ..functions.columns import floor_div, indicator, micros, safe_ratio
+from ..session import materialize
 from .windows import SERIES
 
 US = 1_000_000
-#: Slices per width. A single user or ip has fewer requests than its series.
-SLICES, KEY_SLICES = 256, 32
+#: Slices of a series per width, and widths that a chunk of one user or ip spans.
+SLICES, CHUNK_WIDTHS = 64, 2
 
 
-def _slice(width: int, slices: int) -> int:
-    return max(1, width // slices)
+def _slice(width: int) -> int:
+    return max(1, width // SLICES)
 
 
-def _event(at: Column, kind: str) -> Column:
-    return F.struct(at.alias("at"), F.lit(kind).alias("kind"))
-
-
-def _events(df: DataFrame, *events: Column) -> DataFrame:
-    """One row per event (``_at``, ``_kind``) of each row."""
+def _events(df: DataFrame, **times: Column) -> DataFrame:
+    """One row per event (``_at``, ``_kind``) of each row; null times are none."""
+    events = [F.struct(at.alias("at"), F.lit(kind).alias("kind")) for kind, at in times.items()]
     rows = df.withColumn("_e", F.explode(F.filter(F.array(*events), lambda e: e.at.isNotNull())))
     return rows.withColumns({"_at": F.col("_e.at"), "_kind": F.col("_e.kind")}).drop("_e")
 
 
 def _key_statistics(df: DataFrame, key: str, width: int) -> DataFrame:
     """Add ``<key>_from`` (start as the key's representative) and the key's own count."""
-    size = _slice(width, KEY_SLICES)
+    size = CHUNK_WIDTHS * width
     t, gone = F.col("_t"), F.col("_exit")
-    rows = carried_lag(df.withColumn(CHUNK, floor_div(t, size)), [SERIES, key], CHUNK, ["_t", "request_id"],
-                       {"_previous": "_exit"}).drop(CHUNK)
-    start = F.greatest(t, "_previous")
-    rows = _events(rows.withColumn(f"{key}_from", F.when(start < gone, start)).drop("_previous"),
-                   _event(t, "in"), _event(gone, "out"))
+    rows = _events(df, **{"in": t, "out": gone})
+    # of an entry whose exit lies in a later chunk, both events are repeated there
+    own = floor_div(F.col("_at"), size)
+    rows = rows.withColumn(CHUNK, F.explode(F.sequence(own, floor_div(gone, size))))
     entered = F.col("_kind") == "in"
-    rows = sliced_sum(rows, [SERIES, key], "_at", size, {f"{key}_requests": F.when(entered, 1).otherwise(-1)})
-    return rows.where(entered).drop("_at", "_kind")
+    chunk = Window.partitionBy(SERIES, key, CHUNK)
+    previous = F.last(F.when(entered, gone), ignorenulls=True).over(
+        chunk.orderBy("_at", F.desc("_kind"), "request_id").rowsBetween(Window.unboundedPreceding, -1))
+    so_far = chunk.orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    start = F.greatest(t, previous)
+    return rows.withColumns({
+        f"{key}_from": F.when(entered, F.when(start < gone, start)),
+        f"{key}_requests": F.sum(F.when(entered, 1).otherwise(-1)).over(so_far),
+    }).where(entered & (F.col(CHUNK) == own)).drop("_at", "_kind", CHUNK)
 
 
 def _exits(rows: DataFrame, width: int, max_rows: int | None) -> DataFrame:
@@ -65,7 +70,7 @@ def _exits(rows: DataFrame, width: int, max_rows: int | None) -> DataFrame:
     rows = rows.withColumn("_exit", F.col("_t") + width)
     if max_rows is None:
         return rows
-    placed = sliced_sum(rows, [SERIES], "_t", _slice(width, SLICES), {"_position": F.lit(1)}, order=["_t", "request_id"])
+    placed = sliced_sum(rows, [SERIES], "_t", _slice(width), {"_position": F.lit(1)}, order=["_t", "request_id"])
     pushing = placed.select(SERIES, (F.col("_position") - max_rows).alias("_position"), F.col("_t").alias("_pushed"))
     return placed.join(pushing, [SERIES, "_position"], "left").withColumn(
         "_exit", F.least("_exit", "_pushed")).drop("_position", "_pushed")
@@ -75,6 +80,7 @@ def trailing_features(log: DataFrame, seconds: int = 60, *, max_rows: int | None
                       default_latency: float = 100.0) -> DataFrame:
     """Per request: count, distinct users and ips, error rate, mean latency,
     counts of its own user and ip, and requests per ip over ``(t - width, t]``.
+    What users and ips contribute is written once to the shared folder.
 
     ``max_rows`` limits the window to its newest requests, as an online
     gateway with a bounded buffer sees it (10,000 there).
@@ -82,10 +88,9 @@ def trailing_features(log: DataFrame, seconds: int = 60, *, max_rows: int | None
     width = seconds * US
     rows = log if SERIES in log.columns else log.withColumn(SERIES, F.lit("all"))
     rows = _exits(rows.withColumn("_t", micros(F.col("ts"))), width, max_rows)
-    rows = _key_statistics(rows, "user_id", width)
-    rows = _key_statistics(rows, "ip", width)
-    rows = _events(rows, _event(F.col("_t"), "in"), _event(F.col("_exit"), "out"),
-                   _event(F.col("user_id_from"), "user"), _event(F.col("ip_from"), "ip"))
+    rows = _key_statistics(_key_statistics(rows, "user_id", width), "ip", width)
+    rows = materialize(rows, "trailing")  # totals, seeds and rows of the slices read it
+    rows = _events(rows, **{"in": F.col("_t"), "out": F.col("_exit"), "user": F.col("user_id_from"), "ip": F.col("ip_from")})
     kind = F.col("_kind")
     sign = F.when(kind == "in", 1).when(kind == "out", -1).otherwise(0)
     error = indicator(F.col("status_code") >= 400)
@@ -94,7 +99,7 @@ def trailing_features(log: DataFrame, seconds: int = 60, *, max_rows: int | None
     def distinct(name, start):
         return F.when(kind == name, 1).when((kind == "out") & F.col(start).isNotNull(), -1).otherwise(0)
 
-    rows = sliced_sum(rows, [SERIES], "_at", _slice(width, SLICES), {
+    rows = sliced_sum(rows, [SERIES], "_at", _slice(width), {
         "request_count": sign,
         "_errors": sign * error,
         # exact sums: what leaves the window takes away just what it added
