@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from trafficlens.functions.columns import severity
@@ -15,11 +17,12 @@ from .registry import check
 from .sql import LOG, WINDOW_SCORE, add_score, d, r, with_
 
 
-def history(seconds: int) -> str:
-    """CTE hs: every request with its bounded history h of (t, e)."""
+def history(seconds: int, rows: int | None = 100) -> str:
+    """CTE hs: every request with its history h of (t, e), of at most ``rows`` requests."""
+    oldest = f"{rows - 1} PRECEDING" if rows else "UNBOUNDED PRECEDING"
     return f"""h0 AS (
   SELECT *, list(struct_pack(t := t, e := endpoint)) OVER (
-    PARTITION BY user_id ORDER BY ts, request_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS h1 FROM request_log),
+    PARTITION BY user_id ORDER BY ts, request_id ROWS BETWEEN {oldest} AND CURRENT ROW) AS h1 FROM request_log),
 hs AS (SELECT * EXCLUDE (h1), list_filter(h1, lambda x: x.t >= t - {seconds * 1_000_000}) AS h FROM h0)"""
 
 
@@ -68,13 +71,15 @@ check("bot_endpoint_scan", hits(sequence_hit(SCAN)))(pattern_query(SCAN))
 check("bot_parallel", hits(parallel_hit(PARALLEL)))(pattern_query(PARALLEL))
 check("bot_credential_stuffing", hits(sequence_hit(LOGINS)))(pattern_query(LOGINS))
 
-SUSPICION = (LOG, history(86_400), (
+MATCHED = ((
     f"m AS (SELECT *, {sequence_hit(CHECKOUT)} AS a, {sequence_hit(SCAN)} AS b, {parallel_hit(PARALLEL)} AS c, "
     f"{sequence_hit(LOGINS)} AS l FROM hs)"), (
     "sus AS (SELECT *, greatest(CASE WHEN a THEN 0.9::DOUBLE ELSE 0 END, CASE WHEN b THEN 0.95::DOUBLE ELSE 0 END, "
     "CASE WHEN c THEN 0.85::DOUBLE ELSE 0 END, CASE WHEN l THEN 0.9::DOUBLE ELSE 0 END) AS score, "
     "concat_ws(',', CASE WHEN a THEN 'rapid_checkout' END, CASE WHEN b THEN 'endpoint_scanning' END, "
     "CASE WHEN c THEN 'parallel_requests' END, CASE WHEN l THEN 'credential_stuffing' END) AS names FROM m)"))
+SUSPICION = (LOG, history(86_400), *MATCHED)
+WHOLE = replace(DAY, max_history=None)
 
 
 @check("suspicion_score", with_(*SUSPICION, select=(
@@ -84,6 +89,14 @@ def suspicion_score(spark, sf_dir):
                F.array_join("matched_patterns", ",").alias("matched_patterns"), "is_suspicious")
 
 
+@check("suspicion_of_whole_histories", with_(LOG, history(86_400, None), *MATCHED, select=(
+    f"SELECT request_id, {r('score')} AS suspicion_score, names AS matched_patterns FROM sus")))
+def suspicion_of_whole_histories(spark, sf_dir):
+    """As ``suspicion_score``, with histories that no number of rows bounds."""
+    return out(behavior.suspicion(log(spark, sf_dir), WHOLE), "request_id", "suspicion_score",
+               F.array_join("matched_patterns", ",").alias("matched_patterns"))
+
+
 BEHAVIOR = """gp AS (SELECT *, CASE WHEN len(h) >= 2 THEN list_transform(range(2, len(h) + 1), lambda i: (h[i].t - h[i - 1].t) / 1e6::DOUBLE) END AS g FROM {source}),
 bf AS (SELECT *, list_avg(g) AS avg_gap, list_stddev_pop(g) AS std_gap, list_min(g) AS min_gap,
          len(list_distinct(list_transform(h, lambda x: x.e))) AS uniq, len(h) AS n,
@@ -103,6 +116,15 @@ def behavior_features(spark, sf_dir):
                "unique_endpoints", "total_requests", "endpoint_diversity", "has_rapid_sequence", "request_rate")
 
 
+@check("features_of_whole_histories", with_(LOG, history(86_400, None), BEHAVIOR.format(source="hs"), select=(
+    f"SELECT request_id, {r('round(std_gap, 1)')} AS std_inter_request_time, {r('min_gap')} AS min_inter_request_time, "
+    "uniq::INT AS unique_endpoints, n::INT AS total_requests, rapid AS has_rapid_sequence FROM bf")))
+def features_of_whole_histories(spark, sf_dir):
+    rows = behavior.behavior_features(log(spark, sf_dir), WHOLE)
+    return out(rows, "request_id", F.round("std_inter_request_time", 1).alias("std_inter_request_time"),
+               "min_inter_request_time", "unique_endpoints", "total_requests", "has_rapid_sequence")
+
+
 @check("realtime_features", with_(*SUSPICION, BEHAVIOR.format(source="sus"), select=(
     f"SELECT request_id, 0 AS requests_per_minute, {r('0')} AS error_rate, 0 AS hour, {r('score')} AS behavioral_suspicion_score, "
     f"{r('coalesce(round(avg_gap, 1), 0)')} AS avg_inter_request_time, "
