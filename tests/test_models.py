@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trafficlens.config import ForestConfig
 from trafficlens.functions.quantile import exact_quantiles
 from trafficlens.operators import evaluate as ev, iforest, scaling
+from trafficlens.plans import training
 
 CFG = ForestConfig(n_estimators=20, max_samples=64)
 
@@ -166,3 +167,23 @@ def test_decisions_without_a_forecaster_keep_the_moving_average(spark, data):
     assert all(scored[p].predicted == plain[p].predicted for p in plain)
     assert all(0 < scored[p].anomaly_score < 1 for p in plain)
     assert any(scored[p].anomaly_score != plain[p].anomaly_score for p in plain)
+
+
+def busy(spark):
+    """Windows of which none is free of attacks."""
+    rows = [(float(i % 7), float(i), 1, i) for i in range(300)]
+    table = spark.createDataFrame(rows, "request_count double, other double, is_attack int, pos bigint")
+    return table.select(F.lit("all").alias("series_key"), F.col("pos").alias("window_no"), "*", F.timestamp_seconds("pos").alias("window_start"))
+
+
+def test_a_log_without_normal_windows_still_has_a_forest(spark):
+    table, names = busy(spark), ["request_count", "other"]
+    with pytest.warns(UserWarning, match="free of attacks"):
+        scaler, made = training.fit_forest(table, names, CFG, normal_only=True)
+    plain = training.fit_forest(table, names, CFG)[1]
+    scores = table.withColumn("features", scaler.vector()).select(made.score().alias("a"), plain.score().alias("b"))
+    assert scores.where("a = b").count() == 300
+    some = table.withColumn("is_attack", F.when(F.col("window_no") < 100, 0).otherwise(1))
+    assert training.fit_forest(some, names, CFG, normal_only=True)[1].samples == 64
+    few = table.withColumn("is_attack", F.when(F.col("window_no") < 10, 0).otherwise(1))
+    assert training.fit_forest(few, names, CFG, normal_only=True)[1].samples == 10  # normal windows alone, where there are some

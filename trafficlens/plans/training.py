@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -30,11 +31,19 @@ class TrainedModels:
 
 def fit_forest(table: DataFrame, names: list[str], cfg: ForestConfig, *, normal_only: bool = False,
                train: DataFrame | None = None) -> tuple[ScalerModel, iforest.IsolationForestModel]:
-    """Scaler and forest on a window table (or on the ``train`` part of it)."""
+    """Scaler and forest on a window table (or on the ``train`` part of it).
+
+    With ``normal_only`` the forest learns from windows without an attack. A
+    busy log may have none; then it learns from all windows, with a warning.
+    """
     rows = table if train is None else train
     scaler = fit_scaler(rows, names)
     if normal_only:
-        rows = rows.where(F.col("is_attack") == 0)
+        normal = rows.where(F.col("is_attack") == 0)
+        if normal.isEmpty():
+            warnings.warn("no window is free of attacks; the forest learns from all windows", stacklevel=2)
+        else:
+            rows = normal
     vectors = rows.select(*KEY, scaler.vector().alias("features"))
     return scaler, iforest.fit(vectors, "features", KEY, cfg)
 
