@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trafficlens.config import ForestConfig
 from trafficlens.functions.quantile import exact_quantiles
 from trafficlens.operators import evaluate as ev, iforest, scaling
-from trafficlens.plans import training
+from trafficlens.plans import comparison, training
 
 CFG = ForestConfig(n_estimators=20, max_samples=64)
 
@@ -187,3 +187,12 @@ def test_a_log_without_normal_windows_still_has_a_forest(spark):
     assert training.fit_forest(some, names, CFG, normal_only=True)[1].samples == 64
     few = table.withColumn("is_attack", F.when(F.col("window_no") < 10, 0).otherwise(1))
     assert training.fit_forest(few, names, CFG, normal_only=True)[1].samples == 10  # normal windows alone, where there are some
+
+
+def test_methods_are_compared_on_a_log_without_normal_windows(spark):
+    table = busy(spark).withColumn("user_ratio", F.lit(0.5))
+    with pytest.warns(UserWarning, match="free of attacks"):
+        got = comparison.forest_comparison(table, ["request_count", "other"], CFG, CFG).collect()
+    by = {r.method: r for r in got}
+    assert set(by) == {"fixed", "anomaly", "hybrid"}
+    assert all(by[m].tp + by[m].fn == 60 and by[m].roc_auc == 0.5 for m in ("anomaly", "hybrid"))
