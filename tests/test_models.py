@@ -196,3 +196,12 @@ def test_methods_are_compared_on_a_log_without_normal_windows(spark):
     by = {r.method: r for r in got}
     assert set(by) == {"fixed", "anomaly", "hybrid"}
     assert all(by[m].tp + by[m].fn == 60 and by[m].roc_auc == 0.5 for m in ("anomaly", "hybrid"))
+
+
+def test_report_has_both_classes(spark):
+    """As scikit-learn's with both labels named: a class that never occurs has zeros."""
+    rows = spark.createDataFrame([(1, 1)] * 5, "is_attack int, blocked int")
+    got = {r.label: (r.precision, r.recall, r.f1_score, r.support) for r in ev.classification_report(rows).collect()}
+    assert got == {0: (0.0, 0.0, 0.0, 0), 1: (1.0, 1.0, 1.0, 5)}
+    none = {r.label: r.support for r in ev.classification_report(rows.where("is_attack = 0")).collect()}
+    assert none == {0: 0, 1: 0}
