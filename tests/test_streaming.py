@@ -135,3 +135,40 @@ def test_rolling_forecast_counts_idle_windows(spark, parts):
     for no, row in by.items():
         before = [by[n].request_count if n in by else 0 for n in range(max(first, no - 10), no)]
         assert row.predicted == pytest.approx(sum(before) / len(before) if before else 20.0)
+
+
+def test_waiting_requests_take_one_timer(spark, parts, tmp_path):
+    """However many requests of a key wait, one timer looks at all that are due, and one clears the key."""
+    class Handle:
+        def __init__(self):
+            self.timers = set()
+
+        def getListState(self, *_):
+            return Rows()
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+    class Rows(list):
+        exists, get, appendList = (lambda self: bool(self)), (lambda self: iter(list(self))), list.extend
+
+        def put(self, rows):
+            self[:] = rows
+
+    class Times:
+        def __init__(self, mark):
+            self.getCurrentWatermarkInMs = lambda: mark
+
+    handle, made = Handle(), state._Patterns(DAY, "bigint")
+    made.init(handle)
+    n = 3000
+    rows = pd.DataFrame({"user": [f"U{i % 30}" for i in range(n)], "t": [i * 1_000_000 for i in range(n)], "request_id": range(n),
+                         "endpoint": "/login", "own": True})
+    list(made.handleInputRows((0, 0), iter([rows]), None))
+    assert len(handle.timers) == 2
+    half = pd.concat(made.handleExpiredTimer((0, 0), Times(1_500_000), None))
+    assert len(half) == 1500 - 2 * 30 and len(handle.timers) == 3 and len(made.waiting) == 1500
+    rest = pd.concat(made.handleExpiredTimer((0, 0), Times(3_000_000), None))
+    assert len(rest) == 1500 and not made.waiting and len(made.histories) == 30
+    list(made.handleExpiredTimer((0, 0), Times(10 * 86_400_000), None))
+    assert not made.histories

@@ -301,72 +301,100 @@ class _History:
 
 
 class _Patterns(StatefulProcessor):
-    """Bot patterns over the history of a user (in one time chunk), in event order.
+    """Bot patterns over the histories of a part of the users (in one time chunk), in event order.
 
     Requests wait until the watermark has passed them, so that none can come in
-    before them any more, and are then looked at in the order of their time.
+    before them any more, and are then looked at in the order of their time. One
+    timer, for the oldest waiting request, looks at all that are due.
     """
 
-    COLUMNS = ["user_id", "request_id", "suspicion_score", "matched_patterns"]
+    COLUMNS = ["user", "request_id", "suspicion_score", "matched_patterns"]
 
     def __init__(self, cfg: BehaviorConfig, id_type: str):
         self.cfg, self.id_type = cfg, id_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"t bigint, request_id {self.id_type}, endpoint string, own boolean")
-        self.state = handle.getValueState(
-            "history", "t array<bigint>, endpoint array<string>, seen bigint, start array<bigint>, row array<bigint>")
+        self.waiting = handle.getListState(
+            "waiting", f"user string, t bigint, request_id {self.id_type}, endpoint string, own boolean")
+        self.histories = handle.getListState(
+            "histories", "user string, t array<bigint>, endpoint array<string>, seen bigint, start array<bigint>, row array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues):
+        oldest = []
         for pdf in rows:
-            for row in pdf.itertuples(index=False):
-                self.waiting.appendValue((int(row.t), row.request_id, row.endpoint, bool(row.own)))
-            for due in {int(t) // 1000 + 1 for t in pdf["t"]}:
-                self.handle.registerTimer(due)
-        # nothing can look into a chunk after its end
-        self.handle.registerTimer((int(key[1]) + 1) * CHUNK_HISTORIES * self.cfg.history_seconds * 1000 + 1)
+            if len(pdf):
+                self.waiting.appendList(list(zip(*(pdf[c].tolist() for c in ("user", "t", "request_id", "endpoint", "own")))))
+                oldest.append(int(pdf["t"].min()))
+        if oldest:
+            self.handle.registerTimer(self._due(min(oldest)))
+            # nothing can look into a chunk after its end
+            self.handle.registerTimer(self._end(key) + 1)
         yield pd.DataFrame([], columns=self.COLUMNS)
 
+    def _due(self, t: int) -> int:
+        return t // 1000 + 1
+
+    def _end(self, key) -> int:
+        return (int(key[1]) + 1) * CHUNK_HISTORIES * self.cfg.history_seconds * 1000
+
+    def _look_at(self, due: list) -> tuple[list, list]:
+        """Suspicious requests of ``due``, and the histories that follow from it."""
+        histories = {user: _History(self.cfg, times, endpoints, seen, zip(start, row))
+                     for user, times, endpoints, seen, start, row in (self.histories.get() if self.histories.exists() else ())}
+        out = []
+        for user, t, request_id, endpoint, own in sorted(due, key=lambda r: r[1:]):
+            history = histories.get(user)
+            if history is None:
+                history = histories[user] = _History(self.cfg)
+            found = history.add(int(t), endpoint)
+            if own and found:
+                out.append((user, request_id, max(p.severity for p in found), ",".join(p.name for p in found)))
+        return out, [(user, [t for t, _ in h.rows], [e for _, e in h.rows], h.seen,
+                      [m[0] for m in h.matches], [m[1] for m in h.matches]) for user, h in histories.items()]
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        now = timerValues.getCurrentWatermarkInMs()
         waiting = list(self.waiting.get()) if self.waiting.exists() else []
-        due = sorted(r for r in waiting if r[0] // 1000 + 1 <= now)
+        due = [r for r in waiting if self._due(r[1]) <= now]
         out = []
         if due:
-            rest = [r for r in waiting if r[0] // 1000 + 1 > now]
-            self.waiting.put(rest) if rest else self.waiting.clear()
-            history = _History(self.cfg)
-            if self.state.exists():
-                times, endpoints, seen, start, row = self.state.get()
-                history = _History(self.cfg, times, endpoints, seen, zip(start, row))
-            for t, request_id, endpoint, own in due:
-                found = history.add(int(t), endpoint)
-                if own and found:
-                    out.append((key[0], request_id, max(p.severity for p in found), ",".join(p.name for p in found)))
-            self.state.update(([t for t, _ in history.rows], [e for _, e in history.rows], history.seen,
-                               [m[0] for m in history.matches], [m[1] for m in history.matches]))
-        if now > (int(key[1]) + 1) * CHUNK_HISTORIES * self.cfg.history_seconds * 1000:
-            self.state.clear()
+            out, histories = self._look_at(due)
+            rest = [r for r in waiting if self._due(r[1]) > now]
+            if rest:
+                self.waiting.put(rest)
+                self.handle.registerTimer(self._due(min(r[1] for r in rest)))
+            else:
+                self.waiting.clear()
+            if now <= self._end(key):
+                self.histories.put(histories)
+        if now > self._end(key):
+            self.histories.clear()
         yield pd.DataFrame(out, columns=self.COLUMNS)
 
     def close(self) -> None:
         pass
 
 
-def bot_patterns(stream: DataFrame, cfg: BehaviorConfig = BehaviorConfig(), delay: str = "10 minutes") -> DataFrame:
+def bot_patterns(stream: DataFrame, cfg: BehaviorConfig = BehaviorConfig(), delay: str = "10 minutes",
+                 parts: int = 512) -> DataFrame:
     """Suspicious requests with their patterns, once the watermark has passed them.
 
     Requests are looked at in event order whatever order they arrive in; those
-    older than the watermark are late and left out. Users are cut into the same time chunks as in the batch operator. State of
-    a chunk is dropped once the watermark passes its end, so it stays bounded
-    by the active chunks.
+    older than the watermark are late and left out. Time is cut into the same
+    chunks as in the batch operator, users are dealt over ``parts`` keys of a
+    chunk, so that a call of the state serves many requests. State of a chunk is
+    dropped once the watermark passes its end, so it stays bounded by the
+    active chunks.
     """
     reach = cfg.history_seconds * US
     timed = stream.withWatermark("ts", delay).withColumn("t", micros(F.col("ts")))
     cut = with_lookback(timed, F.col("t"), CHUNK_HISTORIES * reach, reach)
-    slim = cut.select("user_id", CHUNK, "ts", "t", "request_id", "endpoint", F.col(OWN).alias("own"))
-    return slim.groupBy("user_id", CHUNK).transformWithStateInPandas(
+    slim = cut.select(F.pmod(F.xxhash64("user_id"), F.lit(parts)).alias("part"), CHUNK, F.col("user_id").cast("string").alias("user"),
+                      "ts", "t", "request_id", "endpoint", F.col(OWN).alias("own"))
+    found = slim.groupBy("part", CHUNK).transformWithStateInPandas(
         statefulProcessor=_Patterns(cfg, stream.schema["request_id"].dataType.simpleString()),
-        outputStructType=_with(stream, ["user_id", "request_id"], "suspicion_score double, matched_patterns string"),
+        outputStructType=_with(stream, ["request_id"], "user string, suspicion_score double, matched_patterns string"),
         outputMode="Append", timeMode="EventTime")
+    return found.select(F.col("user").cast(stream.schema["user_id"].dataType).alias("user_id"),
+                        "request_id", "suspicion_score", "matched_patterns")
