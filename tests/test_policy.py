@@ -163,3 +163,22 @@ def test_repeated_and_missing_ids_keep_their_own_risk(make_log):
     assert len(rows) == 6
     assert sorted(r.behavioral_risk for r in rows if r.user_id == "bot") == [0.0, 0.0, 0.9]
     assert {r.behavioral_risk for r in rows if r.user_id == "calm"} == {0.0}
+
+
+def test_long_series_hand_python_no_other_column(spark):
+    """Only place and value of a request go through the fold; its other columns are joined to the chunks' limits."""
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, "a").alias("k"), F.floor(F.col("id") / 3).alias("n"), F.col("id").alias("other"))
+    rows = rows.withColumn("pos", F.when(F.col("k").isNull(), F.col("n") + 7).otherwise(2 * F.col("n") + F.col("other") % 3 - 1))
+    rows = rows.withColumn("raw", F.when(F.col("pos") < 200, 40.0).otherwise(F.pmod(F.xxhash64("other"), F.lit(90)) * 1.0)).drop("n")
+    got = limit_trajectory(rows, "k", "pos", "raw", start=20.0, alpha=0.2, low=5, high=60, size=100, levels=2, fan=4)
+    plan = got._jdf.queryExecution().analyzed().toString()
+    python = [line for line in plan.splitlines() if "FlatMap" in line]
+    assert python and not any("other" in line for line in python)
+    have = {(r.k, r.pos): (r.rate_limit, r.other) for r in got.collect()}
+    assert len(have) == 3000
+    for key in ("a", None):
+        limit = 20.0
+        for r in sorted((r for r in rows.collect() if r.k == key), key=lambda r: r.pos):
+            limit = int(min(max(0.2 * r.raw + (1 - 0.2) * limit, 5), 60))
+            assert have[(key, r.pos)] == (limit, r.other)

@@ -3,7 +3,8 @@
 For each request at time t the features describe the requests in
 ``(t - width, t]`` of its series. A sliding frame would be re-aggregated for
 every row; instead each request adds to running sums when it enters and
-subtracts when it leaves, so the work is one ordered pass:
+subtracts when it leaves, so the work is one ordered pass. The other columns of
+a request travel with its entry alone.
 
 * count, errors and response time: ``+`` at t, ``-`` at t + width;
 * distinct users and ips: a request stands for its user from the moment the
@@ -40,6 +41,11 @@ def _events(df: DataFrame, **times: Column) -> DataFrame:
     return rows.withColumns({"_at": F.col("_e.at"), "_kind": F.col("_e.kind")}).drop("_e")
 
 
+def _light(rows: DataFrame, full: Column, *read: str) -> DataFrame:
+    """Keep the columns that all rows are ``read`` for; ``_rest`` has the others, on the ``full`` rows only."""
+    return rows.select(*read, F.when(full, F.struct(*[c for c in rows.columns if c not in read])).alias("_rest"))
+
+
 def _key_statistics(df: DataFrame, key: str, width: int) -> DataFrame:
     """Add ``<key>_from`` (start as the key's representative) and the key's own count."""
     size = CHUNK_WIDTHS * width
@@ -49,6 +55,8 @@ def _key_statistics(df: DataFrame, key: str, width: int) -> DataFrame:
     own = floor_div(F.col("_at"), size)
     rows = rows.withColumn(CHUNK, F.explode(F.sequence(own, floor_div(gone, size))))
     entered = F.col("_kind") == "in"
+    rows = _light(rows, entered & (F.col(CHUNK) == own), SERIES, key, "request_id", "_t", "_exit",
+                  "_at", "_kind", CHUNK)
     chunk = Window.partitionBy(SERIES, key, CHUNK)
     previous = F.last(F.when(entered, gone), ignorenulls=True).over(
         chunk.orderBy("_at", F.desc("_kind"), "request_id").rowsBetween(Window.unboundedPreceding, -1))
@@ -57,7 +65,7 @@ def _key_statistics(df: DataFrame, key: str, width: int) -> DataFrame:
     return rows.withColumns({
         f"{key}_from": F.when(entered, F.when(start < gone, start)),
         f"{key}_requests": F.sum(F.when(entered, 1).otherwise(-1)).over(so_far),
-    }).where(entered & (F.col(CHUNK) == own)).drop("_at", "_kind", CHUNK)
+    }).where("_rest is not null").select("*", "_rest.*").drop("_at", "_kind", CHUNK, "_rest")
 
 
 def _exits(rows: DataFrame, width: int, max_rows: int | None) -> DataFrame:
@@ -90,14 +98,19 @@ def trailing_features(log: DataFrame, seconds: int = 60, *, max_rows: int | None
     rows = _exits(rows.withColumn("_t", micros(F.col("ts"))), width, max_rows)
     rows = _key_statistics(_key_statistics(rows, "user_id", width), "ip", width)
     rows = materialize(rows, "trailing")  # totals, seeds and rows of the slices read it
-    rows = _events(rows, **{"in": F.col("_t"), "out": F.col("_exit"), "user": F.col("user_id_from"), "ip": F.col("ip_from")})
+
+    def later(start):
+        return F.when(F.col(start) > F.col("_t"), F.col(start))  # one that starts on entering needs no event of its own
+
+    rows = _events(rows, **{"in": F.col("_t"), "out": F.col("_exit"), "user": later("user_id_from"), "ip": later("ip_from")})
     kind = F.col("_kind")
+    rows = _light(rows, kind == "in", SERIES, "_at", "_kind", "_t", "status_code", "response_time", "user_id_from", "ip_from")
     sign = F.when(kind == "in", 1).when(kind == "out", -1).otherwise(0)
     error = indicator(F.col("status_code") >= 400)
     exact = F.col("response_time").cast("decimal(38,12)")
 
     def distinct(name, start):
-        return F.when(kind == name, 1).when((kind == "out") & F.col(start).isNotNull(), -1).otherwise(0)
+        return F.when((kind == name) | ((kind == "in") & (F.col(start) == F.col("_t"))), 1).when((kind == "out") & F.col(start).isNotNull(), -1).otherwise(0)
 
     rows = sliced_sum(rows, [SERIES], "_at", _slice(width), {
         "request_count": sign,
@@ -106,7 +119,7 @@ def trailing_features(log: DataFrame, seconds: int = 60, *, max_rows: int | None
         "_latency": F.when(kind == "in", exact).when(kind == "out", -exact),
         "unique_users": distinct("user", "user_id_from"),
         "unique_ips": distinct("ip", "ip_from"),
-    }).where(kind == "in")
+    }).where(kind == "in").select("*", "_rest.*").drop("_rest")
     n, hour = F.col("request_count"), F.hour("ts")
     return rows.withColumns({
         "error_rate": safe_ratio(F.col("_errors"), n),
