@@ -202,3 +202,18 @@ def test_lonely_request_has_no_parallel_pattern(make_log):
     cfg = BehaviorConfig(history_seconds=60, patterns=(ParallelPattern("par", 1, 1000, 0.7),))
     got = scores(make_log([(0.0, "u", "/a"), (1.0, "u", "/a")]), cfg)
     assert [list(s[2]) for s in got] == [[], ["par"]]
+
+
+def test_other_columns_travel_once(make_log, monkeypatch):
+    """Of the events of a request only its entry has the columns that no sum reads."""
+    from trafficlens.operators import trailing
+
+    seen, plain = [], trailing.sliced_sum
+    monkeypatch.setattr(trailing, "sliced_sum", lambda df, *a, **k: (seen.append(df), plain(df, *a, **k))[1])
+    log = make_log([(10.0 * i, f"u{i}", "/a") for i in range(30)])
+    assert trailing_features(log).where("endpoint = '/a'").count() == 30
+    assert "endpoint" not in seen[0].columns
+    kinds = {r._kind: (r["count"], r.full) for r in seen[0].groupBy("_kind").agg(
+        F.count("*").alias("count"), F.count("_rest").alias("full")).collect()}
+    # users are new on entering; the one ip is taken over from the request before it until its last has left
+    assert kinds["in"] == (30, 30) and kinds["out"] == (30, 0) and kinds["ip"] == (29, 0) and "user" not in kinds
