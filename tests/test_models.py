@@ -198,6 +198,14 @@ def test_methods_are_compared_on_a_log_without_normal_windows(spark):
     assert all(by[m].tp + by[m].fn == 60 and by[m].roc_auc == 0.5 for m in ("anomaly", "hybrid"))
 
 
+def test_every_method_decides_every_window_of_a_log_without_normal_windows(spark):
+    """Without a normal window the fixed limiter had no threshold, and its windows were in no count."""
+    table = busy(spark).withColumn("user_ratio", F.lit(0.5))
+    with pytest.warns(UserWarning, match="free of attacks"):
+        got = comparison.forest_comparison(table, ["request_count", "other"], CFG, CFG).collect()
+    assert {r.method: r.tp + r.tn + r.fp + r.fn for r in got} == {"fixed": 60, "anomaly": 60, "hybrid": 60}
+
+
 def test_report_has_both_classes(spark):
     """As scikit-learn's with both labels named: a class that never occurs has zeros."""
     rows = spark.createDataFrame([(1, 1)] * 5, "is_attack int, blocked int")

@@ -14,10 +14,15 @@ WEIGHT_GRID = tuple(0.3 + i * 0.1 for i in range(7))
 SCORE_RANGES = 256
 
 
+def count_threshold(rows: DataFrame, p: float = 0.9, value: str = "request_count") -> DataFrame:
+    """Linear-interpolated percentile of the windows' counts, one row."""
+    found = exact_quantiles(rows, [], value, {"threshold": p})
+    return found.agg(F.max("threshold").alias("threshold"))  # a null row where there are no windows
+
+
 def normal_threshold(train: DataFrame, p: float = 0.9, value: str = "request_count") -> DataFrame:
-    """Linear-interpolated percentile of the normal windows' counts, one row."""
-    found = exact_quantiles(train.where(F.col("is_attack") == 0), [], value, {"threshold": p})
-    return found.agg(F.max("threshold").alias("threshold"))  # a null row where there are no normal windows
+    """``count_threshold`` of the normal windows."""
+    return count_threshold(train.where(F.col("is_attack") == 0), p, value)
 
 
 def fixed_limiter(test: DataFrame, threshold: DataFrame, value: str = "request_count") -> DataFrame:

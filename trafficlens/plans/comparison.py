@@ -9,7 +9,7 @@ from ..operators import evaluate
 from ..operators.rolling import chronological_split, smoothed_signal
 from ..operators.windows import KEY
 from ..session import materialize
-from .training import fit_forest
+from .training import fit_forest, normal_windows
 
 FIXED, SIMPLE_ANOMALY, HYBRID = "fixed", "anomaly", "hybrid"
 COLUMNS = ["method", *KEY, "is_attack", "blocked", "score"]
@@ -24,8 +24,9 @@ def _part(table: DataFrame, split: str) -> DataFrame:
     return table.where(F.col("split") == split)
 
 
-def fixed_predictions(table: DataFrame) -> DataFrame:
-    threshold = evaluate.normal_threshold(_part(table, "train"))
+def fixed_predictions(table: DataFrame, threshold: DataFrame | None = None) -> DataFrame:
+    """The fixed limiter on the test windows; without a ``threshold`` that of the normal training windows."""
+    threshold = evaluate.normal_threshold(_part(table, "train")) if threshold is None else threshold
     return evaluate.fixed_limiter(_part(table, "test"), threshold).withColumn("method", F.lit(FIXED))
 
 
@@ -58,10 +59,15 @@ def heuristic_comparison(table: DataFrame, anomaly: Column) -> DataFrame:
 def forest_comparison(table: DataFrame, names: list[str],
                       simple: ForestConfig = ForestConfig(n_estimators=50, contamination=0.15),
                       hybrid: ForestConfig = ForestConfig()) -> DataFrame:
-    """All three methods with forests fitted on the normal training windows."""
+    """All three methods, the threshold and the forests learned from the normal training windows.
+
+    Where no training window is free of attacks, all three learn from all of
+    them, so that every method decides every test window.
+    """
     prepared = materialize(chronological_split(smoothed_signal(table)), "comparison")
     train = _part(prepared, "train")
-    predictions = [fixed_predictions(prepared).select(*COLUMNS)]
+    threshold = evaluate.count_threshold(normal_windows(train))
+    predictions = [fixed_predictions(prepared, threshold).select(*COLUMNS)]
     scaler, forest = fit_forest(table, names, simple, normal_only=True, train=train)
     scored = forest.transform(prepared.withColumn("features", scaler.vector()))
     predictions.append(_part(scored, "test").select(

@@ -29,6 +29,15 @@ class TrainedModels:
         return self.forest.transform(self.scale(table))
 
 
+def normal_windows(rows: DataFrame) -> DataFrame:
+    """The windows without an attack; all windows, with a warning, where none is free of one."""
+    normal = rows.where(F.col("is_attack") == 0)
+    if not normal.isEmpty():
+        return normal
+    warnings.warn("no window is free of attacks; limits and forests learn from all windows", stacklevel=3)
+    return rows
+
+
 def fit_forest(table: DataFrame, names: list[str], cfg: ForestConfig, *, normal_only: bool = False,
                train: DataFrame | None = None) -> tuple[ScalerModel, iforest.IsolationForestModel]:
     """Scaler and forest on a window table (or on the ``train`` part of it).
@@ -39,11 +48,7 @@ def fit_forest(table: DataFrame, names: list[str], cfg: ForestConfig, *, normal_
     rows = table if train is None else train
     scaler = fit_scaler(rows, names)
     if normal_only:
-        normal = rows.where(F.col("is_attack") == 0)
-        if normal.isEmpty():
-            warnings.warn("no window is free of attacks; the forest learns from all windows", stacklevel=2)
-        else:
-            rows = normal
+        rows = normal_windows(rows)
     vectors = rows.select(*KEY, scaler.vector().alias("features"))
     return scaler, iforest.fit(vectors, "features", KEY, cfg)
 
