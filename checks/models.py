@@ -89,7 +89,7 @@ BLOCKED = "bl AS (SELECT *, CAST(NOT allow AS INT) AS blocked, anomaly_score AS
 
 @check("fixed_threshold_limiter", with_(*SIGNALS, select=f"SELECT window_no, blocked, {r('score')} AS score FROM fx"))
 def fixed_threshold_limiter(spark, sf_dir):
-    return out(comparison.fixed_predictions(prepared(spark, sf_dir)), "window_no", "blocked", "score")
+    return out(comparison.fixed_predictions(comparison.counts_and_labels(log(spark, sf_dir), HOUR)), "window_no", "blocked", "score")
 
 
 @check("weight_grid_search", with_(*SIGNALS, select=f"SELECT {r('w1')} AS w1, {r('f1')} AS f1 FROM bw"))

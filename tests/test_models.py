@@ -206,6 +206,21 @@ def test_every_method_decides_every_window_of_a_log_without_normal_windows(spark
     assert {r.method: r.tp + r.tn + r.fp + r.fn for r in got} == {"fixed": 60, "anomaly": 60, "hybrid": 60}
 
 
+def test_the_fixed_limiter_reads_counts_and_labels_only(spark, data):
+    """The log is read before the split, and no shares of users are made for it."""
+    from checks import models
+    from checks.fixture import HOUR
+    from trafficlens.sources.request_log import events_request_log
+
+    table = comparison.counts_and_labels(events_request_log(spark, data), HOUR)
+    assert set(table.columns) == {"series_key", "window_no", "pos", "request_count", "is_attack", "split"}
+    assert not any("events.parquet" in f for f in comparison.fixed_predictions(table).inputFiles())
+    rows = {r.window_no: r for r in models.prepared(spark, data).collect()}
+    got = table.collect()
+    assert len(got) == len(rows) and all((r.request_count, r.is_attack, r.split) == (
+        rows[r.window_no].request_count, rows[r.window_no].is_attack, rows[r.window_no].split) for r in got)
+
+
 def test_report_has_both_classes(spark):
     """As scikit-learn's with both labels named: a class that never occurs has zeros."""
     rows = spark.createDataFrame([(1, 1)] * 5, "is_attack int, blocked int")

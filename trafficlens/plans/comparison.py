@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..config import ForestConfig
 from ..operators import evaluate
 from ..operators.rolling import chronological_split, smoothed_signal
-from ..operators.windows import KEY
+from ..operators.windows import KEY, POS, simple_window_features
 from ..session import materialize
 from .training import fit_forest, normal_windows
 
@@ -20,6 +20,16 @@ def with_signals(table: DataFrame, anomaly: Column) -> DataFrame:
     return chronological_split(smoothed_signal(table)).withColumn("anomaly_probability", anomaly)
 
 
+def counts_and_labels(log: DataFrame, seconds: int) -> DataFrame:
+    """Split label, count and attack label per window: all that the fixed limiter reads.
+
+    The log is aggregated once, for both parts of the split, and no user or ip
+    of a window is told apart.
+    """
+    table = simple_window_features(log, seconds).select(*KEY, POS, "request_count", "is_attack")
+    return materialize(chronological_split(table), "counts")
+
+
 def _part(table: DataFrame, split: str) -> DataFrame:
     return table.where(F.col("split") == split)
 
