@@ -27,7 +27,8 @@ orw AS (SELECT *, {d(SIMPLE_LIMITS.base_limit)} * (0.6::DOUBLE * least(2.0::DOUB
     ELSE 'Rate ' || request_count || ' exceeds adaptive limit ' || rate_limit END AS reason
 FROM orw JOIN lim USING (pos)"""), recursive=True))
 def request_decisions_online(spark, sf_dir):
-    rows = requests.online_request_decisions(log(spark, sf_dir), TRAILING, SIMPLE_LIMITS, ONLINE_RULES)
+    slim = log(spark, sf_dir).select(*requests.ONLINE_COLUMNS)
+    rows = requests.online_request_decisions(slim, TRAILING, SIMPLE_LIMITS, ONLINE_RULES)
     return out(rows, "request_id", "request_count", "anomaly_score", "raw_limit", "rate_limit", "allow", "reason")
 
 

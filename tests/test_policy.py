@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from trafficlens.config import FULL, LimitConfig
 from trafficlens.functions.fold import clamped_sum, limit_trajectory
 from trafficlens.operators import behavior, explain, feedback as fb, heuristics, policy
+from trafficlens.plans import requests
+from trafficlens.sources.request_log import events_request_log
 
 ROW = ("series_key string, window_no bigint, pos bigint, request_count bigint, predicted double, anomaly_score double, "
        "behavioral_risk double, user_requests bigint, total_requests bigint, error_rate double, user_is_bot int, "
@@ -182,3 +184,18 @@ def test_long_series_hand_python_no_other_column(spark):
         for r in sorted((r for r in rows.collect() if r.k == key), key=lambda r: r.pos):
             limit = int(min(max(0.2 * r.raw + (1 - 0.2) * limit, 5), 60))
             assert have[(key, r.pos)] == (limit, r.other)
+
+
+def test_larger_tables_have_more_tasks_not_larger_ones(spark):
+    """A shuffle had as many parts as the setting said, 4 here, however many rows it carried."""
+    rows = spark.range(2_000_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    parts = rows.groupBy("id").agg(F.max("text").alias("text")).where("length(text) = 64").groupBy(F.spark_partition_id().alias("p")).count()
+    sizes = [r["count"] for r in parts.collect()]
+    assert sum(sizes) == 2_000_000 and len(sizes) > 4 and max(sizes) < 400_000
+
+
+def test_online_decisions_need_no_other_columns(spark, data):
+    log = events_request_log(spark, data)
+    whole, slim = (requests.online_request_decisions(rows, 3600).select("request_id", "request_count", "anomaly_score", "rate_limit", "reason")
+                   for rows in (log, log.select(*requests.ONLINE_COLUMNS)))
+    assert sorted(map(tuple, slim.collect())) == sorted(map(tuple, whole.collect()))

@@ -14,6 +14,8 @@ from ..operators.windows import POS, SERIES
 US = 1_000_000
 #: Levels of the limit fold: chunks of 4,096 requests, twice composed by 1,024.
 LEVELS = 2
+#: Columns of a log that the online decision of a request reads; others travel along to the result.
+ONLINE_COLUMNS = ("request_id", "ts", "user_id", "ip", "status_code", "response_time")
 
 
 def in_order(rows: DataFrame, seconds: int) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Bytes that one task of a batch job reads, and parts that a shuffle is written in before small ones are joined.
+TASK_BYTES, SHUFFLE_PARTS = "16m", "512"
 
 _SHIPPED: set[str] = set()
 
@@ -34,12 +36,19 @@ def prepare(spark: SparkSession) -> SparkSession:
     Joins of requests with window tables are often followed by an aggregation
     on the same keys. Skewed windows are split there too, at the price of one
     more shuffle and only when a join is found skewed at run time.
+
+    Tasks keep their size as tables grow: a scan or a shuffle is dealt out in
+    parts of ``TASK_BYTES``, so there are more of them. Streams are not touched
+    by that, they have as many partitions as their checkpoint says.
     """
     ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", TASK_BYTES)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", TASK_BYTES)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", SHUFFLE_PARTS)
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return spark
