@@ -172,3 +172,11 @@ def test_waiting_requests_take_one_timer(spark, parts, tmp_path):
     assert len(rest) == 1500 and not made.waiting and len(made.histories) == 30
     list(made.handleExpiredTimer((0, 0), Times(10 * 86_400_000), None))
     assert not made.histories
+
+
+def test_state_is_saved_as_changes(spark, parts, tmp_path):
+    """Each batch used to write whole snapshots of the state, and each write looked its key up again to count the keys."""
+    stream = sw.sliding_statistics(arriving(spark, parts[0]), "6 hours", "1 hour", "10 minutes")
+    drain(stream, "changes", path=f"{tmp_path}/data", checkpoint=f"{tmp_path}/checkpoint")
+    saved = [f for f in (tmp_path / "checkpoint" / "state").rglob("*") if f.is_file()]
+    assert any(f.suffix == ".changelog" for f in saved)
